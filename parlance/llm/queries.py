@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .langid import identify
+from .mixing import with_copies, words
 from .mpeg_audio import media_features, media_table
 from .ngram_join import ngram_components
+from .packing import packed
 from .toxicity import toxicity
 
 
@@ -22,6 +24,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
@@ -34,6 +40,10 @@ def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         "feature", "frames", "duration_us", "crc_checked", "crc_failed")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_copies(read(spark, sf_dir, "documents")).select("doc_id", "source", words(F.col("text")).alias("n_tokens"), F.round("mix_weight", 9).alias("weight"), F.col("mix_copies").alias("copies"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
