@@ -13,6 +13,7 @@ from .mixing import with_copies, words
 from .mpeg_audio import media_features, media_table
 from .ngram_join import ngram_components
 from .packing import packed
+from .quality import COUNTS, assessed
 from .toxicity import toxicity
 
 
@@ -24,6 +25,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assessed(read(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read(spark, sf_dir, "documents"))
 
