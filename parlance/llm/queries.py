@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import fold, new_path, read
 from .kneser_ney import scored
 from .langid import identify
 from .mixing import with_copies, words
@@ -15,6 +15,8 @@ from .mpeg_audio import media_features, media_table
 from .ngram_join import ngram_components
 from .packing import packed
 from .quality import COUNTS, assessed
+from .sharding import ShardStore
+from .token_counts import token_counts
 from .toxicity import toxicity
 
 
@@ -26,6 +28,22 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two arrivals, compaction, and the rows as the last version holds them."""
+    docs = read(spark, sf_dir, "documents")
+    store = ShardStore(spark, new_path(spark, "shards"), docs.schema)
+    for arrival in (0, 1):
+        store.append(docs.where(fold(F.col("doc_id"), 2) == arrival))
+    store.settle()
+    store.vacuum()
+    return store.read().select(
+        "doc_id", "lang", "source", "n_chars", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(read(spark, sf_dir, "documents"))
 
@@ -59,4 +77,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_sharding": """
+            SELECT doc_id, lang, source, n_chars, coalesce(strlen(text), 0) AS n_bytes, md5(coalesce(text, '')) AS text_md5
+            FROM documents""",
+    }
