@@ -157,22 +157,37 @@ def train(docs: DataFrame, dims: int = DIMS, gram: int = GRAM) -> tuple[list[str
     return langs, np.array([_unit(sums[k]) for k in langs]).reshape(len(langs), dims)
 
 
+def guesses(column: pa.Array, langs: list[str], prototypes: np.ndarray, encoder: Encoder) -> tuple[list[str], list[float]]:
+    """The language of each text and its cosine, cut to 0 and 1."""
+    names, scores = [], []
+    for text in column:
+        v = encoder.encode(text.as_py()) if langs else None
+        if v is None:
+            names.append("und")
+            scores.append(0.0)
+        else:
+            cosines = prototypes @ _unit(v)
+            best = int(np.argmax(cosines))
+            names.append(langs[best])
+            scores.append(float(min(1.0, max(0.0, cosines[best]))))
+    return names, scores
+
+
 def _predict(batches: Iterator[pa.RecordBatch], model, gram: int) -> Iterator[pa.RecordBatch]:
     langs, prototypes = model.value
     encoder = Encoder(prototypes.shape[1], gram)
     for batch in batches:
-        names, scores = [], []
-        for text in batch["text"]:
-            v = encoder.encode(text.as_py()) if langs else None
-            if v is None:
-                names.append("und")
-                scores.append(0.0)
-            else:
-                cosines = prototypes @ _unit(v)
-                best = int(np.argmax(cosines))
-                names.append(langs[best])
-                scores.append(float(min(1.0, max(0.0, cosines[best]))))
-        yield pa.RecordBatch.from_arrays([*(batch[c] for c in batch.schema.names if c != "text"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"])
+        names, scores = guesses(batch["text"], langs, prototypes, encoder)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+
+
+def _keep(batches: Iterator[pa.RecordBatch], model, gram: int, sure: float) -> Iterator[pa.RecordBatch]:
+    langs, prototypes = model.value
+    encoder = Encoder(prototypes.shape[1], gram)
+    for batch in batches:
+        names, scores = guesses(batch["text"], langs, prototypes, encoder)
+        told = batch["lang"].to_pylist()
+        yield batch.filter(pa.array([not langs or (n != "und" and (t is None or n == t or s < sure)) for n, s, t in zip(names, scores, told, strict=True)], pa.bool_()))
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], gram: int = GRAM) -> DataFrame:
@@ -182,6 +197,15 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], gram: int = GR
     return rows.mapInArrow(partial(_predict, model=shared, gram=gram), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def agreeing(docs: DataFrame, model: tuple[list[str], np.ndarray], sure: float = 0.5, gram: int = GRAM) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that have a letter and whose own lang isn't contradicted by a score of ``sure`` or more.
+
+    Rows without a lang stay if they have a letter; a model without languages rejects nothing.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(partial(_keep, model=shared, gram=gram, sure=sure), docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Learns from the rows whose fold by 4 is not 2 and predicts every row."""
     return predict(docs, train(docs.where(fold(F.col("doc_id"), 4) != 2)))

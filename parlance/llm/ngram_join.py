@@ -252,3 +252,17 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
 
     labels = classes.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("n", "d1", "d2", F.coalesce("component", "doc_id").alias("component_id"))
     return summary.join(labels, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, one for each component: that with the least id.
+
+    Of several rows with this id one stays.  Rows without an id can't be told apart and stay.
+    """
+    joined = stored(ngram_components(docs, n, percent), "joined")
+    first = joined.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    first = first.withColumnRenamed("doc_id", "_least").hint("merge")
+    kept = docs.join(first, F.col("doc_id").cast("long") == F.col("_least"))
+    single = kept.where("_rows = 1").select(*docs.columns)
+    several = kept.where("_rows > 1").dropDuplicates(["_least"]).select(*docs.columns)
+    return single.unionByName(several).unionByName(docs.where("doc_id is null"))

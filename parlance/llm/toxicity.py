@@ -108,19 +108,34 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.
     return fitted["slot"].to_numpy().astype(np.int64), fitted["weight"].to_numpy()
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def scores(column: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """The score of each text; ``weights`` has SLOTS entries and the bias."""
+    out = []
+    for row, slot, n in features(column):
+        used = weights[slot] != 0
+        keys = np.unique(row[used] * SLOTS + slot[used])
+        total = np.bincount(keys // SLOTS, weights[keys & (SLOTS - 1)], n) + weights[SLOTS]
+        out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def _dense(model) -> np.ndarray:
     at, w = model.value
     weights = np.zeros(SLOTS + 1)
     weights[at] = w
+    return weights
+
+
+def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    weights = _dense(model)
     for batch in batches:
-        scores = []
-        for row, slot, n in features(batch["text"]):
-            used = weights[slot] != 0
-            keys = np.unique(row[used] * SLOTS + slot[used])
-            total = np.bincount(keys // SLOTS, weights[keys & (SLOTS - 1)], n) + weights[SLOTS]
-            scores.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
-        rest = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*rest, "score"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(scores(batch["text"], weights))], ["doc_id", "held_out", "score"])
+
+
+def _keep(batches: Iterator[pa.RecordBatch], model, below: float) -> Iterator[pa.RecordBatch]:
+    weights = _dense(model)
+    for batch in batches:
+        yield batch.filter(pa.array(scores(batch["text"], weights) < below))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -130,6 +145,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     return rows.mapInArrow(partial(_score, model=shared), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], below: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is less than ``below``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(partial(_keep, model=shared, below=below), docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learns from labelled rows whose fold by 5 is not 0 and scores every row."""
     return score(docs, train(docs, labels.where(fold(F.col("doc_id"), 5) != 0)))
