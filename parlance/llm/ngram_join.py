@@ -220,7 +220,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     heavy = keyed.groupBy("w", "k").agg(F.count("*").alias("c")).where("c > 1")
     active = stored(keyed.join(heavy, ["w", "k"]).select("doc_id", "d1", F.xxhash64("w", "k").alias("k"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / SALT_ROWS)).alias("salt")), "active")
     near = stored(
-        docs.join(active, "doc_id").repartition("k", "salt").sortWithinPartitions("k", "salt", "doc_id").mapInArrow(partial(_grouping, n=n, percent=percent), link_schema), "near")
+        docs.join(active.hint("merge"), "doc_id").repartition("k", "salt").sortWithinPartitions("k", "salt", "doc_id").mapInArrow(partial(_grouping, n=n, percent=percent), link_schema), "near")
     drop_stored(active)
     groups = stored(components(near), "groups")
 
@@ -232,7 +232,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     placed = stored(
         classes.select("doc_id", "d1").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "d1", F.coalesce("component", "doc_id").alias("grp"), F.pmod(F.xxhash64("doc_id"), F.lit(BINS)).alias("bin")), "placed")
     found = stored(
-        docs.join(placed, "doc_id").mapInArrow(partial(_prefixes, n=n, percent=percent, sketch=sketch), "token long, doc_id long, grp long, bin long, np long")
+        docs.join(placed.hint("merge"), "doc_id").mapInArrow(partial(_prefixes, n=n, percent=percent, sketch=sketch), "token long, doc_id long, grp long, bin long, np long")
         .repartition("token").sortWithinPartitions("token", "grp").mapInArrow(partial(_candidates, percent=percent), "doc_id long, grp long, bin long").distinct(), "candidates")
 
     # the bins of a group fold to as many blocks as keep about BLOCK members each
@@ -246,7 +246,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     asks = wanted.join(salts, ["grp", "part"]).select("doc_id", "grp", "part", F.pmod(F.xxhash64("doc_id"), "salts").alias("salt"), F.lit(True).alias("is_query"))
     rows = stored(members.unionByName(asks).join(classes.select("doc_id", "d1"), "doc_id"), "rows")
     far = stored(
-        docs.join(rows, "doc_id").repartition("grp", "part", "salt").sortWithinPartitions("grp", "part", "salt", "is_query", "doc_id").mapInArrow(partial(_verify, n=n, percent=percent), link_schema), "far")
+        docs.join(rows.hint("merge"), "doc_id").repartition("grp", "part", "salt").sortWithinPartitions("grp", "part", "salt", "is_query", "doc_id").mapInArrow(partial(_verify, n=n, percent=percent), link_schema), "far")
     drop_stored(rows, wanted, groups, placed)
     whole = components(near.unionByName(far))
 
