@@ -5,9 +5,9 @@ Documents are compared as sets of distinct word shingles; two of them link when
 hashes) and is given as components of linked documents, never as all pairs of a group.
 
 1. *Classes.*  Equal sets share a 128-bit digest; one representative (least id) stands for them.
-2. *Groups.*  Representatives meet under two min-hash keys.  Keys with many of them are salted.
+2. *Groups.*  Representatives meet under a few min-hash keys.  Keys with many of them are salted.
    A streaming pass over the sorted rows verifies each against at most LEADERS leading sets and
-   keeps the exact links found; their components are the groups, in blocks of BLOCK members.
+   keeps all exact links found; their components are the groups, in blocks of BLOCK members.
 3. *Matrix.*  A global order puts frequent shingles last (a fixed-size sketch of counts).  Each
    representative gives its probing prefix; those rows, dealt by shingle, are the matrix of
    shingle against group.  Rows of one shingle that all belong to one group need no work.
@@ -40,14 +40,16 @@ from pyspark.sql import functions as F
 from .common import drop_stored, mix, shingle_sets, signed, stored
 from .components import components
 
-LEADERS = 8  # sets held per key while grouping; what matches none of them is left to the matrix
+LEADERS = 16  # sets held per key while grouping; what matches none of them is left to the matrix
+CENTRES = 6  # of these, the first ones are held even where they match others
 SALT_ROWS = 512  # representatives under one key and salt
 BLOCK = 64  # members of a block of the matrix
-BINS = 1 << 16  # hash bins that blocks are made of
+LINKS = "u long, v long"
 QUERY_ROWS = 2048  # queries that meet one copy of a block
 SKETCH = 1 << 20  # counters of the frequency sketch (4 MB), fixed at every scale
 
-_A, _B, _C, _D = (np.uint64(x) for x in (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25))
+_C, _D = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
+_KEYS = tuple(np.uint64(x) for x in (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x71D67FFFEDA60000))
 
 
 def linked(common: int, a: int, b: int, percent: int) -> bool:
@@ -71,9 +73,9 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 def _summaries(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(len(s), *_digest(s), *((int(signed(mix(s ^ k).min(keepdims=True))[0]) for k in (_A, _B)) if len(s) else (0, 0))) for s in shingle_sets(batch["text"], n)]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "n", "d1", "d2", "k1", "k2"])
+        rows = [(len(s), *_digest(s), [int(signed(mix(s ^ k).min(keepdims=True))[0]) for k in _KEYS] if len(s) else []) for s in shingle_sets(batch["text"], n)]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n", "d1", "d2", "keys"])
 
 
 def _frequent(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -98,13 +100,13 @@ def _grouping(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterat
                 key, leaders = (k, salt), []
             if not len(s) or _digest(s)[0] != d1:
                 continue  # another row with the id of a representative
+            size, alone = len(s), True
             for lead, held in leaders:
-                if min(len(s), len(held)) * 100 >= percent * max(len(s), len(held)) and linked(overlap(s, held), len(s), len(held), percent):
+                if min(size, len(held)) * 100 >= percent * max(size, len(held)) and linked(overlap(s, held), size, len(held), percent):
                     links.append((doc, lead))
-                    break
-            else:
-                if len(leaders) < LEADERS:
-                    leaders.append((doc, s))
+                    alone = False
+            if len(leaders) < LEADERS and (alone or len(leaders) < CENTRES):
+                leaders.append((doc, s))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["u", "v"])
 
 
@@ -137,14 +139,14 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, sketch) -
         at = pa.array(np.concatenate(rows))
         size_place = (np.concatenate(sizes) << 32) | np.concatenate(places)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(signed(np.concatenate(tokens))), batch["doc_id"].take(at), batch["grp"].take(at), batch["bin"].take(at), pa.array(size_place)], ["token", "doc_id", "grp", "bin", "np"])
+            [pa.array(signed(np.concatenate(tokens))), batch["doc_id"].take(at), batch["grp"].take(at), pa.array(size_place)], ["token", "doc_id", "grp", "np"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(query, block) pairs of different groups that a shingle's rows still allow; rows come sorted by shingle."""
     left: list[np.ndarray] = []
 
-    def pairs(token, doc, grp, bin_, size, place):
+    def pairs(token, doc, grp, size, place):
         found = []
         edge = np.flatnonzero(token[1:] != token[:-1]) + 1
         first, last = np.concatenate([[0], edge]), np.concatenate([edge, [len(token)]])
@@ -161,16 +163,16 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
                     ok = (size[other] <= size[q]) & (size[other] * 100 >= percent * size[q]) & (most * (100 + percent) >= percent * (size[q] + size[other]))
                     i, j = np.nonzero(ok)
                     if len(i):
-                        found.append(np.unique(np.stack([doc[q[i, 0]], grp[other[j]], bin_[other[j]]]), axis=1))
+                        found.append(np.unique(np.stack([doc[q[i, 0]], grp[other[j]]]), axis=1))
         return found
 
     def result(found):
         if found:
             rows = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["doc_id", "grp", "bin"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["doc_id", "grp"])
 
     for batch in batches:
-        cols = [batch[c].to_numpy(zero_copy_only=False) for c in ("token", "doc_id", "grp", "bin", "np")]
+        cols = [batch[c].to_numpy(zero_copy_only=False) for c in ("token", "doc_id", "grp", "np")]
         if left:
             cols = [np.concatenate(x) for x in zip(left, cols, strict=True)]
         if not len(cols[0]):
@@ -178,11 +180,11 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         cut = int(np.searchsorted(cols[0], cols[0][-1]))
         left = [x[cut:].copy() for x in cols]
         if cut:
-            token, doc, grp, bin_, np_ = (x[:cut] for x in cols)
-            yield from result(pairs(token, doc, grp, bin_, np_ >> 32, np_ & 0xFFFFFFFF))
+            token, doc, grp, np_ = (x[:cut] for x in cols)
+            yield from result(pairs(token, doc, grp, np_ >> 32, np_ & 0xFFFFFFFF))
     if left:
-        token, doc, grp, bin_, np_ = left
-        yield from result(pairs(token, doc, grp, bin_, np_ >> 32, np_ & 0xFFFFFFFF))
+        token, doc, grp, np_ = left
+        yield from result(pairs(token, doc, grp, np_ >> 32, np_ & 0xFFFFFFFF))
 
 
 def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -206,21 +208,32 @@ def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["u", "v"])
 
 
+def _far(docs: DataFrame, placed: DataFrame, sizes: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataFrame:
+    """Verified links (u, v) between the queries of ``wanted`` (doc_id, grp, part) and the members of those blocks."""
+    salts = wanted.groupBy("grp", "part").agg(F.ceil(F.count("*") / QUERY_ROWS).alias("salts"))
+    bins = placed.join(sizes, "grp").select("doc_id", "grp", F.pmod(F.xxhash64("doc_id"), "parts").alias("part"))
+    members = bins.join(salts, ["grp", "part"]).select("doc_id", "grp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("is_query"))
+    asks = wanted.join(salts, ["grp", "part"]).select("doc_id", "grp", "part", F.pmod(F.xxhash64("doc_id"), "salts").alias("salt"), F.lit(True).alias("is_query"))
+    rows = stored(members.unionByName(asks).join(placed.select("doc_id", "d1"), "doc_id"), "rows")
+    links = stored(
+        docs.join(rows.hint("merge"), "doc_id").repartition("grp", "part", "salt").sortWithinPartitions("grp", "part", "salt", "is_query", "doc_id").mapInArrow(partial(_verify, n=n, percent=percent), LINKS), "far")
+    drop_stored(rows, wanted)
+    return links
+
+
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    link_schema = "u long, v long"
-
-    summary = stored(docs.mapInArrow(partial(_summaries, n=n), "doc_id long, n long, d1 long, d2 long, k1 long, k2 long"), "summaries")
+    summary = stored(docs.mapInArrow(partial(_summaries, n=n), "doc_id long, n long, d1 long, d2 long, keys array<long>"), "summaries")
     classes = stored(
-        summary.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.first("k1").alias("k1"), F.first("k2").alias("k2")).where("doc_id is not null"), "classes")
+        summary.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")).where("doc_id is not null"), "classes")
 
-    keyed = classes.select("doc_id", "d1", F.explode(F.array(F.struct(F.lit(1).alias("w"), F.col("k1").alias("k")), F.struct(F.lit(2).alias("w"), F.col("k2").alias("k")))).alias("x")).select("doc_id", "d1", "x.*")
+    keyed = classes.select("doc_id", "d1", F.posexplode("keys").alias("w", "k"))
     heavy = keyed.groupBy("w", "k").agg(F.count("*").alias("c")).where("c > 1")
     active = stored(keyed.join(heavy, ["w", "k"]).select("doc_id", "d1", F.xxhash64("w", "k").alias("k"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / SALT_ROWS)).alias("salt")), "active")
     near = stored(
-        docs.join(active.hint("merge"), "doc_id").repartition("k", "salt").sortWithinPartitions("k", "salt", "doc_id").mapInArrow(partial(_grouping, n=n, percent=percent), link_schema), "near")
+        docs.join(active.hint("merge"), "doc_id").repartition("k", "salt").sortWithinPartitions("k", "salt", "doc_id").mapInArrow(partial(_grouping, n=n, percent=percent), LINKS), "near")
     drop_stored(active)
     groups = stored(components(near), "groups")
 
@@ -230,25 +243,23 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     sketch = spark.sparkContext.broadcast(sketch.clip(0, 2**31 - 1).astype(np.int32))
 
     placed = stored(
-        classes.select("doc_id", "d1").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "d1", F.coalesce("component", "doc_id").alias("grp"), F.pmod(F.xxhash64("doc_id"), F.lit(BINS)).alias("bin")), "placed")
+        classes.select("doc_id", "d1").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "d1", F.coalesce("component", "doc_id").alias("grp")), "placed")
     found = stored(
-        docs.join(placed.hint("merge"), "doc_id").mapInArrow(partial(_prefixes, n=n, percent=percent, sketch=sketch), "token long, doc_id long, grp long, bin long, np long")
-        .repartition("token").sortWithinPartitions("token", "grp").mapInArrow(partial(_candidates, percent=percent), "doc_id long, grp long, bin long").distinct(), "candidates")
-
-    # the bins of a group fold to as many blocks as keep about BLOCK members each
-    sizes = placed.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    wanted = found.join(sizes, "grp").select("doc_id", "grp", F.pmod("bin", "parts").alias("part")).distinct()
-    wanted = stored(wanted, "wanted")
-    drop_stored(found)
-    salts = wanted.groupBy("grp", "part").agg(F.ceil(F.count("*") / QUERY_ROWS).alias("salts"))
-    members = placed.join(wanted.select("grp").distinct(), "grp", "left_semi").join(sizes, "grp").select("doc_id", "grp", F.pmod("bin", "parts").alias("part")).join(salts, ["grp", "part"]).select(
-        "doc_id", "grp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("is_query"))
-    asks = wanted.join(salts, ["grp", "part"]).select("doc_id", "grp", "part", F.pmod(F.xxhash64("doc_id"), "salts").alias("salt"), F.lit(True).alias("is_query"))
-    rows = stored(members.unionByName(asks).join(classes.select("doc_id", "d1"), "doc_id"), "rows")
-    far = stored(
-        docs.join(rows.hint("merge"), "doc_id").repartition("grp", "part", "salt").sortWithinPartitions("grp", "part", "salt", "is_query", "doc_id").mapInArrow(partial(_verify, n=n, percent=percent), link_schema), "far")
-    drop_stored(rows, wanted, groups, placed)
-    whole = components(near.unionByName(far))
+        docs.join(placed.hint("merge"), "doc_id").mapInArrow(partial(_prefixes, n=n, percent=percent, sketch=sketch), "token long, doc_id long, grp long, np long")
+        .repartition("token").sortWithinPartitions("token", "grp").mapInArrow(partial(_candidates, percent=percent), "doc_id long, grp long").distinct(), "candidates")
+
+    # A group folds to blocks of about BLOCK members.  First each query meets one block of the largest
+    # group it was found with; what still lies in another component meets all blocks of its groups.
+    sizes = stored(placed.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.count("*").alias("members")), "sizes")
+    best = found.join(sizes, "grp").groupBy("doc_id").agg(F.max_by(F.struct("grp", "parts"), F.struct("members", -F.col("grp"))).alias("b")).select("doc_id", "b.grp", F.pmod(F.xxhash64("doc_id"), "b.parts").alias("part"))
+    links = [near, _far(docs, placed, sizes, stored(best, "wanted"), n, percent)]
+    label = stored(components(links[0].unionByName(links[1])), "labels")
+    of_query = found.join(label.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left")
+    open_ = of_query.join(label.select(F.col("node").alias("grp"), F.col("component").alias("g")), "grp", "left").where(F.coalesce("c", "doc_id") != F.coalesce("g", "grp"))
+    rest = open_.select("doc_id", "grp").join(sizes, "grp").select("doc_id", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    links.append(_far(docs, placed, sizes, stored(rest, "wanted"), n, percent))
+    drop_stored(found, sizes, groups, placed, label)
+    whole = components(links[0].unionByName(links[1]).unionByName(links[2]))
 
     labels = classes.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("n", "d1", "d2", F.coalesce("component", "doc_id").alias("component_id"))
     return summary.join(labels, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
