@@ -35,7 +35,9 @@ MAX_REPEATS = 2.0
 SEED = "mix-1"
 _BITS = 52
 
-_KEY = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
+
+def _source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
 
 
 def words(text: Column) -> Column:
@@ -100,7 +102,7 @@ def _key(passes: Column) -> Column:
 
 def choices(docs: DataFrame, **limits) -> DataFrame:
     """(mix_key, weight, passes, cut): a row of ``docs`` is used ``passes`` times, and once more if its key is at most ``cut``."""
-    narrow = stored(docs.select("doc_id", _KEY.alias("mix_key"), words(F.col("text")).alias("n_tokens")), "mix-tokens")
+    narrow = stored(docs.select("doc_id", _source_key().alias("mix_key"), words(F.col("text")).alias("n_tokens")), "mix-tokens")
     planned = plan(narrow, **limits)
     keyed = narrow.join(F.broadcast(planned.where("part > 0").select("mix_key", "passes", "part")), "mix_key").withColumn("key", _key(F.col("passes")))  # plan: at most MAX_SOURCES rows
     block = F.shiftright("key", _BITS - int(math.log2(BLOCKS))).alias("block")
@@ -117,7 +119,7 @@ def choices(docs: DataFrame, **limits) -> DataFrame:
 def with_copies(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` with ``mix_weight`` and ``mix_copies``, the number of times a row is used."""
     chosen = stored(choices(docs, **limits), "mix-choices")
-    joined = docs.withColumn("mix_key", _KEY).join(F.broadcast(chosen), "mix_key")
+    joined = docs.withColumn("mix_key", _source_key()).join(F.broadcast(chosen), "mix_key")
     return joined.select(*docs.columns, F.col("weight").alias("mix_weight"), (F.col("passes") + (_key(F.col("passes")) <= F.col("cut")).cast("long")).alias("mix_copies"))
 
 
