@@ -273,7 +273,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     joined = stored(ngram_components(docs, n, percent), "joined")
     first = joined.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     first = first.withColumnRenamed("doc_id", "_least").hint("merge")
-    kept = docs.join(first, F.col("doc_id").cast("long") == F.col("_least"))
-    single = kept.where("_rows = 1").select(*docs.columns)
-    several = kept.where("_rows > 1").dropDuplicates(["_least"]).select(*docs.columns)
+    kept = docs.select(F.struct("*").alias("_doc")).join(first, F.col("_doc.doc_id").cast("long") == F.col("_least"))  # no name of docs can clash
+    single = kept.where("_rows = 1").select("_doc.*")
+    several = kept.where("_rows > 1").dropDuplicates(["_least"]).select("_doc.*")
     return single.unionByName(several).unionByName(docs.where("doc_id is null"))
