@@ -29,6 +29,15 @@ TOPICS = {
     "delay/cancel": r"delay|delayed|cancel|cancelled|canceled|rebook|missed (?:my )?(?:flight|connection)|stranded",
     "baggage": r"bag|bags|baggage|luggage|suitcase|carry.?on|checked bag",
 }
+SEEDS = {
+    "account_access": r"can.?t (?:log|sign) ?in|cant (?:log|sign) ?in|log ?in|login|sign ?in|password|hacked|locked out|account (?:is )?(?:locked|disabled|suspended|hijack|compromis)|someone (?:else )?(?:is us|has|used) my|recover my account|verify my account",
+    "billing_subscription": r"charged|charge|charging|refund|money back|payment (?:failed|declined|issue)|billed|billing|invoice|double charg|cancel (?:my )?(?:premium|subscription)|unsubscrib|still (?:being )?charg",
+    "plans_eligibility": r"family plan|premium family|student (?:discount|plan|verif)|duo|upgrade to premium|free trial|promo|offer|discount|eligib|how much (?:is|does)|price|switch (?:to|my) plan|join (?:the )?family",
+    "content_availability": r"not available|isn.?t available|unavailable|available in|not (?:on|in) {brand}|missing from|removed|take[n]? off|why (?:isn.?t|is|aren.?t|are).{0,30}(?:on {brand}|available)|release|new album|when will .{0,20}be (?:on|available)",
+    "product_feature_feedback": r"please add|add (?:an? )?(?:option|feature|button)|would (?:love|be nice|be great)|wish (?:you|there|{brand})|suggestion|feature request|bring back|why can.?t (?:i|we|you)|needs? an? (?:option|feature|way)|option to|there (?:should|needs to) be|make it (?:possible|so)|hope you (?:add|fix)",
+    "app_device_technical": r"app (?:crash|keeps|won.?t|is|not)|crash|crashing|update the app|latest version|ios|android|apple watch|windows|web player|desktop app|chromecast|alexa|google home|car ?play|bluetooth|battery|connect to",
+    "playback_playlist": r"playlist|shuffle|skip|queue|offline|download(?:ed|ing)?|repeat|won.?t play|not play|stops? playing|keeps? pausing|song(?:s)? play|listen",
+}
 REASONS = ("account_access", "ambiguous", "existing_case", "failed_self_service", "high_frustration", "legal_rights", "out_of_scope", "payment_dispute", "public_pii", "safety_abuse", "security")
 # End of fixed values.
 
@@ -39,6 +48,11 @@ ROLES = {"licence": "independent", "insult": "independent", "english": "none", "
 MUST_FAMILIES = ("licence", "insult")
 
 
+def seeds(brand: str) -> dict[str, str]:
+    """The intent families of support messages, in matching order, for a brand's own name."""
+    return {name: pattern.replace("{brand}", brand) for name, pattern in SEEDS.items()}
+
+
 def template(reason: str) -> str:
     """A fixed handoff text for a reason; it promises nothing and takes nothing from the message."""
     return f"Thanks for writing. This concerns {reason.replace('_', ' ')}, so please send us a private message and our team will follow up there."

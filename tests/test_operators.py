@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parlance.functions import stats, text as t
-from parlance.lexicon import MUST, REASONS, template
+from parlance.lexicon import MUST, REASONS, TOPICS, seeds, template
 from parlance.operators import decisions, dedup, evaluation, replies, sampling, threads
 from parlance.sources import tables
 
@@ -192,3 +192,15 @@ def test_distant_lr(spark):
 def test_provider_hook(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, prompt string")
     assert {r.response for r in replies.with_provider(df, lambda xs: [x.upper() for x in xs]).collect()} == {"A", "B"}
+
+
+@pytest.mark.parametrize(("said", "intent"), [
+    ("I can't log in on my Android", "account_access"), ("I was charged for the family plan", "billing_subscription"), ("is there a student discount", "plans_eligibility"), ("why is it not on Acme yet", "content_availability"),
+    ("please add a sleep timer", "product_feature_feedback"), ("bluetooth drops", "app_device_technical"), ("shuffle is broken", "playback_playlist"), ("hello", "other_unclear"), ("", "other_unclear")])
+def test_seed_order(spark, said, intent):
+    assert one(spark, t.first_match(F.col("s"), seeds("acme"), "other_unclear"), s=said) == intent
+
+
+def test_topics(spark):
+    flags = t.matches(F.col("s"), TOPICS)
+    assert one(spark, F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in flags.items()))), ","), s="Thanks, my bag is stuck") == "technical/bug,praise,baggage"
