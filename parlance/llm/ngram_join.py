@@ -49,7 +49,7 @@ QUERY_ROWS = 2048  # queries that meet one copy of a block
 SKETCH = 1 << 20  # counters of the frequency sketch (4 MB), fixed at every scale
 
 _C, _D = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
-_KEYS = tuple(np.uint64(x) for x in (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x71D67FFFEDA60000))
+_KEYS = tuple(np.uint64(x) for x in (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x71D67FFFEDA60000, 0x8CB92BA72F3D8DD7, 0x5851F42D4C957F2D))
 
 
 def linked(common: int, a: int, b: int, percent: int) -> bool:
