@@ -11,7 +11,8 @@ hashes) and is given as components of linked documents, never as all pairs of a
 3. *Matrix.*  A global order puts frequent shingles last (a fixed-size sketch of counts).  Each
    representative gives its probing prefix; those rows, dealt by shingle, are the matrix of
    shingle against group.  Rows of one shingle that all belong to one group need no work.
-   Others yield (query, block) where sizes and positions still allow a link.
+   Others yield (query, group) where sizes and positions still allow a link: of two groups the one
+   with fewer rows of the shingle asks the other, so a large group doesn't ask for each stray copy.
 4. *Bound and open.*  For such a pair the overlap of the query with the block's shingle union
    is an upper bound for every member.  Only blocks whose bound reaches the need are opened
    and their members verified.
@@ -143,7 +144,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, sketch) -
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(query, block) pairs of different groups that a shingle's rows still allow; rows come sorted by shingle."""
+    """(query, group) pairs of different groups that a shingle's rows still allow; rows come sorted by shingle and group."""
     left: list[np.ndarray] = []
 
     def pairs(token, doc, grp, size, place):
@@ -153,17 +154,20 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         mixed = grp[first] != grp[last - 1]  # sorted by group within a shingle
         indexed = place < indexing(size, percent)
         for a, b in zip(first[mixed].tolist(), last[mixed].tolist(), strict=True):
-            held = np.flatnonzero(indexed[a:b]) + a
             cut = np.flatnonzero(grp[a + 1 : b] != grp[a : b - 1]) + a + 1
-            for c, d in zip([a, *cut.tolist()], [*cut.tolist(), b], strict=True):
-                other = held[(held < c) | (held >= d)]
-                for e in range(c, d, 256) if len(other) else ():
+            starts, ends = np.concatenate([[a], cut]), np.concatenate([cut, [b]])
+            held = np.repeat(ends - starts, ends - starts)  # rows of the shingle's group at each row
+            for c, d in zip(starts.tolist(), ends.tolist(), strict=True):
+                asked = np.flatnonzero((held > d - c) | ((held == d - c) & (grp[a:b] < grp[c]))) + a
+                for e in range(c, d, 256) if len(asked) else ():
                     q = np.arange(e, min(d, e + 256))[:, None]
-                    most = np.minimum(size[q] - place[q], size[other] - place[other])
-                    ok = (size[other] <= size[q]) & (size[other] * 100 >= percent * size[q]) & (most * (100 + percent) >= percent * (size[q] + size[other]))
+                    small, large = np.minimum(size[q], size[asked]), np.maximum(size[q], size[asked])
+                    most = np.minimum(size[q] - place[q], size[asked] - place[asked])
+                    ok = (indexed[q] & (size[q] == small)) | (indexed[asked] & (size[asked] == small))
+                    ok &= (small * 100 >= percent * large) & (most * (100 + percent) >= percent * (small + large))
                     i, j = np.nonzero(ok)
                     if len(i):
-                        found.append(np.unique(np.stack([doc[q[i, 0]], grp[other[j]]]), axis=1))
+                        found.append(np.unique(np.stack([doc[q[i, 0]], grp[asked[j]]]), axis=1))
         return found
 
     def result(found):
