@@ -5,7 +5,7 @@ The tokens of a text are its words with A-Z folded and one end token; the first
 1. Map tasks count word pairs of the training rows and send them, as one packed block for each
    bucket of the pair's hash, to the task of that bucket.  Pair hashes spread evenly, so a common
    word loads no task; a task holds about BUCKET_BYTES of text's pairs.
-2. That task adds up its blocks, writes the pairs kept (count >= MIN_COUNT) as an array sorted by
+2. That task adds up its blocks, writes its pairs (count >= MIN_COUNT, which is all) as an array sorted by
    hash to the shared folder, and sends for each word partial sums: as context (total, kept, pairs by
    count) and as follower (count, distinct contexts).  A common word has one row a bucket.
 3. The tasks of the words' buckets add these up and write arrays sorted by word hash.
@@ -13,8 +13,9 @@ The tokens of a text are its words with A-Z folded and one end token; the first
    into memory and look up the distinct pairs and words of a slice of texts by binary search.
 
 ``p(w | v) = max(c(v w) - D(c), 0) / c(v) + g(v) p1(w)``; p1 is the like over distinct contexts, with a
-uniform share for V words and an unknown one.  Pairs below MIN_COUNT give their whole mass to g(v),
-which keeps the sum over w at 1; they count in full in all totals, discounts and p1.
+uniform share for V words and an unknown one.  Where ``train`` is asked for a greater least count, pairs
+below it give their whole mass to g(v), which keeps the sum over w at 1; they count in full in all totals,
+discounts and p1.
 
 A written array is renamed into place, so a repeated task replaces it by an equal one.  Where the
 shared folder is no local path, a worker copies an array to an unlinked temporary file and maps that.
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import drop_stored, fold, gram_hashes, new_path, slices, stored, word_hashes, word_spans
 
 START, END = np.uint64(0x5bd1e9955bd1e995), np.uint64(0x9ddfea08eb382d69)  # hashes no word is expected to have
-MIN_COUNT = 2
+MIN_COUNT = 1  # every pair is stored
 BUCKET_BYTES = 12 << 20  # bytes of training text whose pairs make a bucket
 FLUSH_PAIRS = 3_000_000  # pairs a map task holds before it sends them
 WORD_FIELDS = ("count", "contexts", "total", "kept", "k1", "k2", "k3")

@@ -93,6 +93,16 @@ def test_model_equals_plain_python(spark):
         assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["start", *w], w, strict=False)))
 
 
+def test_pairs_seen_once_are_stored(spark):
+    texts = [f"a{i} b{i} c{i % 3} d" for i in range(40)]
+    model = kn.train(build(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]))
+    two = Counter(p for t in texts for p in zip(["start", *t.split()], [*t.split(), "end"], strict=True))
+    assert sum(two.values()) - len(two) and sum(model["pairs"].values()) == len(two)
+    # b5 and b6 occur alike, so only the pair (a5 b5), once after the only a5, tells the two texts apart
+    seen, never = (kn.score_slice(model, np.frombuffer(x, np.uint8), np.array([0, len(x)]))[3][0] for x in (b"a5 b5", b"a5 b6"))
+    assert 0 < model["d2"][0] < 1 and 10 ** (never - seen) < model["d2"][0]
+
+
 def test_piece_counts():
     vocabulary = [b"ab", b"abcd", b"bc", b"bcde", b"cdx", "é".encode(), token_counts.MARK + b"ab"]
     pieces = {*vocabulary, *(bytes([b]) for b in range(256))}
