@@ -1,6 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the distinct hashed words, word pairs and pairs with one word between.
+Features of a text are the distinct hashed words, word pairs and pairs with one word between, each with
+the words as they stand and with the words freed of ASCII punctuation at both ends ("scum!!" is also "scum").
 Training (McMahan et al. 2013) keeps a gradient sum and a squared-gradient sum for every
 coordinate, so each has its own rate, and the L1 term leaves most weights at zero; what is
 left is a short list that is broadcast for scoring.  ``SLOTS`` bounds it.
@@ -35,19 +36,37 @@ PRIOR = 0.1  # share of toxic texts assumed at the start of training
 
 _SKIP = np.uint64(0x9E6C63D0876A9A47)
 _SHIFT = np.uint64(64 - BITS)
+_SOLID = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])  # bytes of letters and digits; all of other scripts
+
+
+def bare_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words without ASCII punctuation at their ends, and where they differ; words of nothing else stay whole."""
+    solid = np.flatnonzero(_SOLID[data])
+    low, high = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+    new = np.flatnonzero(low < high)
+    first, last = solid[low[new]], solid[high[new] - 1] + 1
+    cut = (first > starts[new]) | (last < ends[new])
+    new, first, last = new[cut], first[cut], last[cut]
+    bare, differs = words.copy(), np.zeros(len(words), bool)
+    bare[new], differs[new] = word_hashes(data, first, last), True
+    return bare, differs
 
 
 def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """For each slice of rows: row of each feature, its slot, and the number of rows (with repeats)."""
     for _, _, data, offs in slices(column):
         starts, ends, bounds = word_spans(data, offs)
-        words = word_hashes(data, starts, ends)
         row = np.repeat(np.arange(len(offs) - 1), np.diff(bounds))
-        slots, rows = [words >> _SHIFT], [row]
-        for gap, hashed in ((1, gram_hashes(words, 2)), (2, mix(words[:-2] * np.uint64(3) + words[2:] * _SKIP) if len(words) > 2 else words[:0])):
-            same = row[:-gap] == row[gap:]
-            slots.append((hashed >> _SHIFT)[same])
-            rows.append(row[:-gap][same])
+        words = word_hashes(data, starts, ends)
+        slots, rows = [], []
+        for hashes, new in ((words, None), bare_words(data, starts, ends, words)):
+            for gap, hashed in enumerate((hashes, gram_hashes(hashes, 2), mix(hashes[:-2] * np.uint64(3) + hashes[2:] * _SKIP) if len(hashes) > 2 else hashes[:0])):
+                last = len(row) - gap
+                use = row[: max(last, 0)] == row[gap:]
+                if new is not None:
+                    use &= new[: max(last, 0)] | new[gap:]
+                slots.append((hashed >> _SHIFT)[use])
+                rows.append(row[: max(last, 0)][use])
         yield np.concatenate(rows), np.concatenate(slots).astype(np.int64), len(offs) - 1
 
 

@@ -44,6 +44,27 @@ def test_toxicity_learns_words(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_toxicity_sees_words_under_punctuation(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join([f"w{rng.randrange(300)}" for _ in range(40)] + (["vile"] if i % 4 == 0 else [])), "en", "s") for i in range(600)]
+    held = [i for i in range(600, 800) if zlib.crc32(str(i).encode()) % 5 == 0]
+    forms = ["vile!!", "##Vile", "(vile),", "vile***"]
+    rows += [(i, " ".join([f"w{rng.randrange(300)}" for _ in range(40)] + [forms[i % 4]]), "en", "s") for i in held]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(build(spark, rows), labels).collect()}
+    assert held and all(got[i] for i in held)
+
+
+def test_bare_words_have_the_slots_of_their_words():
+    sets = [set(slot.tolist()) for x in ("one two three", "(one) two!! ##three", "--- !! ---") for _, slot, _ in toxicity.features(pa.array([x], pa.string()))]
+    assert sets[0] < sets[1] and len(sets[2]) == 5
+    text = ["a! b", None, "", "c", "!d. e f", "é! ü"]
+    together = next(iter(toxicity.features(pa.array(text))))
+    for i, x in enumerate(text):
+        alone = next(iter(toxicity.features(pa.array([x], pa.string()))))
+        assert sorted(together[1][together[0] == i]) == sorted(alone[1])
+
+
 def test_language_accuracy(spark):
     docs = documents(spark)
     lang = {r.doc_id: r.lang for r in docs.collect()}
