@@ -170,16 +170,21 @@ def _agrees(data: bytes, at: int, h: Header) -> bool:
 def read_stream(data: bytes) -> Stream:
     out = Stream()
     at, end, kind, per_kind = _id3v2(data, out), len(data), None, {}
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        out.tags.setdefault("TIT2", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
+    closing = end - 128 if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" else -1
     synced, first = False, True
     while at + 4 <= end:
+        if at == closing:  # an ID3v1 tag; inside a frame these letters are audio
+            out.tags.setdefault("TIT2", data[at + 3 : at + 33].rstrip(b"\0 ").decode("latin-1"))
+            end = at
+            break
         h = parse_header(data[at : at + 4])
-        if h is None or at + h.length > end or (kind and h.kind != kind) or (not synced and not _agrees(data, at, h)):
+        cut = h is not None and at < closing < at + h.length and not _agrees(data, at, h)
+        if h is None or cut or at + h.length > end or (kind and h.kind != kind) or (not synced and not _agrees(data, at, h)):
             synced = False
             nxt = data.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
+            if at < closing < nxt:
+                nxt = closing
             out.skipped += nxt - at
             at = nxt
             continue

@@ -285,6 +285,19 @@ def test_audio_reader():
         assert mp.read_stream(junk).offsets == []
 
 
+def test_letters_of_a_tag_inside_the_last_frame_are_payload():
+    text = b"x" * 1097 + b"TAG" + b"y" * 52
+    payload = mp.padded(text)
+    media = mp.write_stream(payload, len(text))
+    assert media[-128:-125] == b"TAG" and len(payload) == len(text)
+    s = mp.read_stream(media)
+    assert mp.payload_of(media, s) == payload and s.skipped == 0 and s.table["frames"] == len(s.offsets) and "TIT2" not in s.tags
+    tagged = mp.read_stream(media + b"TAG" + b"song".ljust(125, b"\0"))
+    assert tagged.offsets == s.offsets and tagged.skipped == 0 and tagged.tags["TIT2"] == "song"
+    cut = mp.read_stream(media[:-100] + b"TAG" + b"song".ljust(125, b"\0"))
+    assert cut.offsets == s.offsets[:-1] and cut.tags["TIT2"] == "song"
+
+
 @pytest.mark.parametrize("text", [b"", b"a", b"\xff\xfb\x90\xc0" * 300, "é日".encode() * 500, b"x" * 576])
 def test_audio_round_trip(text):
     payload = mp.padded(text)
