@@ -29,7 +29,8 @@ from .common import fold, mix, seeded
 
 DIMS = 1024
 GRAM = 3
-MAX_LANGS = 4096  # bound of the prototype table that is broadcast (MAX_LANGS x DIMS numbers)
+PART_LANGS = 4096  # prototypes broadcast at once (32 MB); more languages take another pass over the texts
+HELD_LANGS = 512  # partial prototypes a task holds before it sends them
 MIN_LETTERS_CACHE = 1 << 15  # n-gram vectors kept by a worker
 
 
@@ -81,8 +82,6 @@ class Encoder:
         return total.astype(np.float64)
 
 
-_blank: dict[int, int] = {}
-
 
 def _letter_table() -> np.ndarray:
     """Code point to lower-case letter, or blank for what is no letter (the first 64 Ki code points)."""
@@ -130,80 +129,105 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def _sums(batches: Iterator[pa.RecordBatch], dims: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """One partial prototype a language and task, in fixed point so that any order gives the same sum."""
+    """Partial prototypes of a task, in fixed point so that any order gives the same sum."""
     encoder, sums = Encoder(dims, gram), {}
+
+    def rows():
+        langs = sorted(sums)
+        names = pa.array(np.repeat(np.arange(len(langs)), dims)).cast(pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(langs, pa.string()).take(names), pa.array(np.tile(np.arange(dims, dtype=np.int32), len(langs))), pa.array(np.concatenate([sums[k] for k in langs]))], ["lang", "dim", "total"])
+        sums.clear()
+
     for batch in batches:
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"], strict=True):
             v = encoder.encode(text.as_py())
             if v is not None:
+                if lang not in sums and len(sums) >= HELD_LANGS:
+                    yield from rows()
                 sums[lang] = sums.get(lang, np.zeros(dims, np.int64)) + np.rint(_unit(v) * (1 << 20)).astype(np.int64)
-    langs = sorted(sums)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([x for x in langs for _ in range(dims)], pa.string()), pa.array(list(range(dims)) * len(langs), pa.int32()), pa.array([int(x) for k in langs for x in sums[k]], pa.int64())], ["lang", "dim", "total"])
-
-
-def train(docs: DataFrame, dims: int = DIMS, gram: int = GRAM) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their unit prototypes, from rows (text, lang) with a lang."""
-    rows = (
-        docs.where("lang is not null").select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(partial(_sums, dims=dims, gram=gram), "lang string, dim int, total long")
-        .groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "total"))), lambda x: x).alias("parts")).limit(MAX_LANGS + 1).collect())
-    if len(rows) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    sums = {}
-    for r in rows:
-        sums[r.lang] = np.zeros(dims)
-        np.add.at(sums[r.lang], [x.dim for x in r.parts], [x.total for x in r.parts])
-    langs = sorted(sums)
-    return langs, np.array([_unit(sums[k]) for k in langs]).reshape(len(langs), dims)
-
-
-def guesses(column: pa.Array, langs: list[str], prototypes: np.ndarray, encoder: Encoder) -> tuple[list[str], list[float]]:
-    """The language of each text and its cosine, cut to 0 and 1."""
+    if sums:
+        yield from rows()
+
+
+Model = list[tuple[list[str], np.ndarray]]
+
+
+def train(docs: DataFrame, dims: int = DIMS, gram: int = GRAM) -> Model:
+    """Languages in order and their unit prototypes, in parts of PART_LANGS, from rows (text, lang) with a lang.
+
+    Tasks' sums are added by language and dimension, so what reaches the driver doesn't depend on their number.
+    """
+    rows = docs.where("lang is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    added = rows.mapInArrow(partial(_sums, dims=dims, gram=gram), "lang string, dim int, total long").groupBy("lang", "dim").agg(F.sum("total").alias("total"))
+    whole = added.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "total"))), lambda x: x.total).alias("sums"))  # dims entries
+    table = whole.toArrow()
+    order = sorted(range(table.num_rows), key=lambda i: table["lang"][i].as_py())
+    parts = []
+    for a in range(0, len(order), PART_LANGS):
+        some = order[a : a + PART_LANGS]
+        parts.append(([table["lang"][i].as_py() for i in some], np.array([_unit(np.array(table["sums"][i].as_py(), float)) for i in some])))
+    return parts
+
+
+def guesses(column: pa.Array, langs: list[str], prototypes: np.ndarray, encoder: Encoder) -> tuple[list[str | None], list[float]]:
+    """The nearest language of each text and its cosine; None and -2 for a text without a letter."""
     names, scores = [], []
     for text in column:
-        v = encoder.encode(text.as_py()) if langs else None
+        v = encoder.encode(text.as_py())
         if v is None:
-            names.append("und")
-            scores.append(0.0)
+            names.append(None)
+            scores.append(-2.0)
         else:
             cosines = prototypes @ _unit(v)
             best = int(np.argmax(cosines))
             names.append(langs[best])
-            scores.append(float(min(1.0, max(0.0, cosines[best]))))
+            scores.append(float(cosines[best]))
     return names, scores
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model, gram: int) -> Iterator[pa.RecordBatch]:
+def _guess(batches: Iterator[pa.RecordBatch], model, gram: int, name: str, score: str) -> Iterator[pa.RecordBatch]:
+    """Replaces the columns ``name`` and ``score`` where a language of this part of the model is nearer."""
     langs, prototypes = model.value
     encoder = Encoder(prototypes.shape[1], gram)
     for batch in batches:
         names, scores = guesses(batch["text"], langs, prototypes, encoder)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        held = zip(names, scores, batch[name].to_pylist(), batch[score].to_pylist(), strict=True)
+        best = [(n, s) if s > t else (m, t) for n, s, m, t in held]
+        cols = {**{c: batch[c] for c in batch.schema.names if c not in (name, score)}, name: pa.array([n for n, _ in best], pa.string()), score: pa.array([s for _, s in best], pa.float64())}
+        yield pa.RecordBatch.from_pydict({c: cols[c] for c in batch.schema.names})
 
 
-def _keep(batches: Iterator[pa.RecordBatch], model, gram: int, sure: float) -> Iterator[pa.RecordBatch]:
-    langs, prototypes = model.value
-    encoder = Encoder(prototypes.shape[1], gram)
-    for batch in batches:
-        names, scores = guesses(batch["text"], langs, prototypes, encoder)
-        told = batch["lang"].to_pylist()
-        yield batch.filter(pa.array([not langs or (n != "und" and (t is None or n == t or s < sure)) for n, s, t in zip(names, scores, told, strict=True)], pa.bool_()))
+def guessed(rows: DataFrame, model: Model, name: str, score: str, gram: int = GRAM) -> DataFrame:
+    """``rows`` (text, ...) with the nearest language and its cosine, null and -2 where there is none.
+
+    The model is broadcast part by part, each of at most PART_LANGS prototypes; texts usually need one pass.
+    """
+    out = rows.withColumn(name, F.lit(None).cast("string")).withColumn(score, F.lit(-2.0))
+    for part in model:
+        shared = rows.sparkSession.sparkContext.broadcast(part)
+        out = out.mapInArrow(partial(_guess, model=shared, gram=gram, name=name, score=score), out.schema)
+    return out
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], gram: int = GRAM) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def predict(docs: DataFrame, model: Model, gram: int = GRAM) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of each row; the score is the cosine, cut to 0 and 1."""
     rows = docs.select(F.col("doc_id").cast("long"), (fold(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(partial(_predict, model=shared, gram=gram), "doc_id long, held_out boolean, lang_pred string, score double")
+    out = guessed(rows, model, "lang_pred", "score", gram)
+    return out.select("doc_id", "held_out", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("score"))
 
 
-def agreeing(docs: DataFrame, model: tuple[list[str], np.ndarray], sure: float = 0.5, gram: int = GRAM) -> DataFrame:
+def agreeing(docs: DataFrame, model: Model, sure: float = 0.5, gram: int = GRAM) -> DataFrame:
     """The rows of ``docs``, with all their columns, that have a letter and whose own lang isn't contradicted by a score of ``sure`` or more.
 
     Rows without a lang stay if they have a letter; a model without languages rejects nothing.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(partial(_keep, model=shared, gram=gram, sure=sure), docs.schema)
+    if not model:
+        return docs
+    name, score = (next(n for n in (base + "_" * i for i in range(len(docs.columns) + 1)) if n not in docs.columns) for base in ("lang_guess", "lang_score"))
+    out = guessed(docs, model, name, score, gram)
+    told = F.col("lang").cast("string")
+    return out.where(F.col(name).isNotNull() & (told.isNull() | (F.col(name) == told) | (F.col(score) < sure))).select(*docs.columns)
 
 
 def identify(docs: DataFrame) -> DataFrame:
