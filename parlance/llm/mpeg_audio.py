@@ -1,9 +1,9 @@
 """MPEG audio media columns: frames that carry payload bytes, and a reader for such streams.
 
-``read_stream`` walks any MPEG-1/2/2.5 Layer I-III stream: it skips an ID3v2 tag (and reads its
-text frames), finds the first frame by two agreeing headers, follows frame lengths, resynchronises
-after damage, reads a Xing/Info or VBRI table, verifies the CRC-16 of protected Layer III frames
-and gives exact durations and the byte offset of every frame.
+``read_stream`` walks any MPEG-1/2/2.5 Layer I-III stream: it reads the text frames of an ID3v2 tag
+(undoing unsynchronisation, past an extended header and a footer), finds the first frame by two agreeing
+headers, follows frame lengths, resynchronises after damage, reads a Xing/Info or VBRI table, verifies the
+CRC-16 of protected frames of all layers and gives exact durations and the byte offset of every frame.
 
 ``write_stream`` stores bytes losslessly: each protected Layer III frame (48 kHz, mono, 224 kbit/s)
 has silent side information and carries 576 payload bytes as ancillary data; an ID3v2 tag holds the
@@ -20,18 +20,18 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes
+from .common import slices, stored
 
 UNIT = 576  # payload bytes of a frame
 PAD = b"\xff"
 
-# Fixed values of the MPEG audio standards: kbit/s by bitrate index, Hz by version, samples a frame.
+# Fixed values of the MPEG audio standards, that results depend on: kbit/s by bitrate index, Hz by version, samples a frame.
 KBITS = {
     (1, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
     (1, 2): (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
@@ -43,6 +43,9 @@ KBITS = {
 HERTZ = {1.0: (44100, 48000, 32000), 2.0: (22050, 24000, 16000), 2.5: (11025, 12000, 8000)}
 SAMPLES = {(1, 1): 384, (1, 2): 1152, (1, 3): 1152, (2, 1): 384, (2, 2): 1152, (2, 3): 576}
 SIDE_INFO = {(1, False): 32, (1, True): 17, (2, False): 17, (2, True): 9}  # Layer III: by version and mono
+# Layer II: bits of the allocation of each subband, as (subbands, bits), by allocation table
+ALLOCATION = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "low": ((4, 4), (7, 3), (19, 2))}
+# End of fixed values.
 
 
 @dataclass(frozen=True)
@@ -56,6 +59,7 @@ class Header:
     samples: int
     length: int
     side: int
+    checked_bits: int  # bits after the checksum that it covers; for Layer II those of the bit allocation
 
     @property
     def kind(self) -> tuple[float, int, int]:
@@ -66,6 +70,28 @@ class Header:
         return 4 + 2 * self.protected + self.side
 
 
+def _allocation(family: int, kbits: int, hertz: int, mono: bool) -> list[int]:
+    """Bits of each subband's allocation in a Layer II frame."""
+    each = kbits // (1 if mono else 2)
+    if family == 2:
+        table = "low"
+    elif each <= 48:
+        table = "d" if hertz == 32000 else "c"
+    else:
+        table = "b" if each > 80 and hertz != 48000 else "a"
+    return [bits for n, bits in ALLOCATION[table] for _ in range(n)]
+
+
+def _checked_bits(family: int, layer: int, kbits: int, hertz: int, mode: int, extension: int) -> int:
+    """Bits after the checksum that it covers (mode 1 is joint stereo, 3 mono); Layer II's scale factor selection comes on top."""
+    mono = mode == 3
+    if layer == 3:
+        return 8 * SIDE_INFO[family, mono]
+    widths = [4] * 32 if layer == 1 else _allocation(family, kbits, hertz, mono)
+    bound = 0 if mono else min(4 * (extension + 1), len(widths)) if mode == 1 else len(widths)  # subbands with two channels of their own
+    return 2 * sum(widths[:bound]) + sum(widths[bound:])
+
+
 @lru_cache(4096)
 def parse_header(word: bytes) -> Header | None:
     """The header in four bytes, or None where they are none (free format is not followed)."""
@@ -79,7 +105,7 @@ def parse_header(word: bytes) -> Header | None:
     kbits, hertz, padded, mono = KBITS[family, layer][rate], HERTZ[version][hz], word[2] >> 1 & 1, word[3] >> 6 == 3
     samples = SAMPLES[family, layer]
     length = (12000 * kbits // hertz + padded) * 4 if layer == 1 else samples // 8 * 1000 * kbits // hertz + padded
-    return Header(version, layer, not word[1] & 1, kbits, hertz, mono, samples, length, SIDE_INFO[family, mono] if layer == 3 else 0)
+    return Header(version, layer, not word[1] & 1, kbits, hertz, mono, samples, length, SIDE_INFO[family, mono] if layer == 3 else 0, _checked_bits(family, layer, kbits, hertz, word[3] >> 6, word[3] >> 4 & 3))
 
 
 def _crc_table() -> list[int]:
@@ -104,6 +130,37 @@ def crc16(data: bytes) -> int:
     return x
 
 
+def _crc_bits(x: int, data: bytes, start: int, bits: int) -> int:
+    """Continues the checksum ``x`` with ``bits`` bits of ``data`` from bit ``start``."""
+    for i in range(start, start + bits):
+        bit = data[i >> 3] >> (7 - (i & 7)) & 1
+        x = (x << 1 & 0xFFFF) ^ (0x8005 if (x >> 15) ^ bit else 0)
+    return x
+
+
+def _selected(body: bytes, mode: int, extension: int, widths: list[int]) -> int:
+    """Bits of the scale factor selection of a Layer II frame: two for each subband and channel with samples."""
+    at = found = 0
+    bound = 4 * (extension + 1) if mode == 1 else len(widths)
+    for band, width in enumerate(widths):
+        channels = 1 if mode == 3 else 2
+        for _ in range(channels if band < bound else 1):
+            value = int.from_bytes(body[at >> 3 : (at >> 3) + 2], "big") >> (16 - (at & 7) - width) & ((1 << width) - 1)
+            at += width
+            found += 2 * bool(value) * (1 if band < bound else channels)
+    return found
+
+
+def checksum(frame: bytes, h: Header) -> int:
+    """The checksum that a protected frame should have."""
+    bits = h.checked_bits
+    if h.layer == 2:
+        mode, extension = frame[3] >> 6, frame[3] >> 4 & 3
+        bits += _selected(frame[6:], mode, extension, _allocation(1 if h.version == 1.0 else 2, h.kbits, h.hertz, h.mono))
+    whole = bits // 8
+    return _crc_bits(crc16(frame[2:4] + frame[6 : 6 + whole]), frame, 8 * (6 + whole), bits - 8 * whole)
+
+
 @dataclass
 class Stream:
     tags: dict[str, str] = field(default_factory=dict)
@@ -117,22 +174,36 @@ class Stream:
     table: dict[str, object] = field(default_factory=dict)
 
 
+def _synchsafe(raw: bytes) -> int:
+    return sum((b & 0x7F) << 7 * i for i, b in enumerate(reversed(raw)))
+
+
 def _id3v2(data: bytes, out: Stream) -> int:
     """Reads a tag at the start; returns where it ends."""
     if data[:3] != b"ID3" or len(data) < 10:
         return 0
-    size = sum((b & 0x7F) << s for b, s in zip(data[6:10], (21, 14, 7, 0), strict=True))
-    at, end, major = 10, min(10 + size, len(data)), data[3]
-    while at + 10 <= end and data[at] != 0 and major in (3, 4):
-        name, raw = data[at : at + 4].decode("latin-1"), data[at + 4 : at + 8]
-        length = struct.unpack(">I", raw)[0] if major == 3 else sum((b & 0x7F) << s for b, s in zip(raw, (21, 14, 7, 0), strict=True))
-        body = data[at + 10 : min(at + 10 + length, end)]
+    major, flags = data[3], data[5]
+    end = min(10 + _synchsafe(data[6:10]), len(data))
+    tag = data[10:end]
+    if flags & 0x80 and major < 4:  # a zero byte follows each 255; version 4 marks it frame by frame
+        tag = tag.replace(b"\xff\0", b"\xff")
+    at = 0
+    if flags & 0x40 and len(tag) >= 4 and major in (3, 4):  # an extended header; its size counts itself in version 4 only
+        at = _synchsafe(tag[:4]) if major == 4 else 4 + struct.unpack(">I", tag[:4])[0]
+    while at + 10 <= len(tag) and tag[at] != 0 and major in (3, 4):
+        name, raw, how = tag[at : at + 4].decode("latin-1"), tag[at + 4 : at + 8], tag[at + 9]
+        length = struct.unpack(">I", raw)[0] if major == 3 else _synchsafe(raw)
+        body = tag[at + 10 : at + 10 + length]
+        if major == 4 and how & 1:  # a length that was meant for readers of unsynchronised frames
+            body = body[4:]
+        if major == 4 and (how & 2 or flags & 0x80):
+            body = body.replace(b"\xff\0", b"\xff")
         if name[0] == "T" and body:
             text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1"), "replace").rstrip("\0")
             key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
             out.tags[key] = value
         at += 10 + length
-    return end
+    return min(end + (10 if flags & 0x10 and major == 4 else 0), len(data))
 
 
 def _table(data: bytes, at: int, h: Header) -> dict[str, object]:
@@ -189,9 +260,9 @@ def read_stream(data: bytes) -> Stream:
             at = nxt
             continue
         synced, kind = True, h.kind
-        if h.protected and h.layer == 3:
+        if h.protected:
             out.checked += 1
-            out.failed += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != struct.unpack(">H", data[at + 4 : at + 6])[0]
+            out.failed += checksum(data[at : at + h.length], h) != struct.unpack(">H", data[at + 4 : at + 6])[0]
         if first and h.layer == 3 and (table := _table(data, at, h)):
             out.table = table
         else:
@@ -245,27 +316,26 @@ def feature(stream: Stream) -> str:
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offs = text_bytes(batch["text"])
-        media = pa.array([write_stream(padded(x), len(x)) for x in (data[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True))], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], media], ["doc_id", "media"])
+        for first, last, data, offs in slices(batch["text"]):
+            media = pa.array([write_stream(padded(x), len(x)) for x in (data[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, last - first), media], ["doc_id", "media"])
 
 
 SCHEMA = "doc_id long, n_bytes long, media binary, payload binary, frames long, samples long, duration_us long, frame_offsets array<long>, crc_checked long, crc_failed long, skipped long, feature string"
 
 
-def _read(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for row in range(0, whole.num_rows, step):
-            batch = whole.slice(row, step)
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    for batch in batches:
+        for first, last, whole, offs in slices(batch["media"]):
             rows = []
-            for data in batch["media"].to_pylist():
-                data = data or b""
+            for a, b in zip(offs[:-1], offs[1:], strict=True):
+                data = whole[a:b].tobytes()
                 s = read_stream(data)
                 size = s.tags.get("n_bytes", "")
                 rows.append((int(size) if size.isdigit() else None, data, payload_of(data, s), len(s.offsets), s.samples, s.micros, s.offsets, s.checked, s.failed, s.skipped, feature(s)))
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, last - first), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names)
 
 
 def media_table(docs: DataFrame) -> DataFrame:
@@ -276,4 +346,4 @@ def media_table(docs: DataFrame) -> DataFrame:
 
 def media_features(media: DataFrame) -> DataFrame:
     """Parses a media column (doc_id, media): payload, durations, seek offsets and checks (SCHEMA)."""
-    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(partial(_read), SCHEMA)
+    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(_read, SCHEMA)
