@@ -17,8 +17,9 @@ uniform share for V words and an unknown one.  Where ``train`` is asked for a gr
 below it give their whole mass to g(v), which keeps the sum over w at 1; they count in full in all totals,
 discounts and p1.
 
-A written array is renamed into place, so a repeated task replaces it by an equal one.  Where the
-shared folder is no local path, a worker copies an array to an unlinked temporary file and maps that.
+A written array is renamed into place, so a repeated task replaces it by an equal one.  Its length is that
+of its file, so the driver holds and broadcasts the folder and two dozen numbers whatever the input.  Where
+the shared folder is no local path, a worker reads an array into memory and holds HELD of them.
 
 Edge cases: null and blank texts are the end token alone; without training rows every word is unknown
 with probability 1; repeated rows count as often as they occur; other columns are ignored; an empty
@@ -27,7 +28,6 @@ table gives an empty result.  A null id counts as the empty text in the fold.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -44,6 +44,7 @@ from .common import drop_stored, fold, gram_hashes, new_path, slices, stored, wo
 START, END = np.uint64(0x5bd1e9955bd1e995), np.uint64(0x9ddfea08eb382d69)  # hashes no word is expected to have
 MIN_COUNT = 1  # every pair is stored
 BUCKET_BYTES = 12 << 20  # bytes of training text whose pairs make a bucket
+HELD = 16  # arrays that a worker holds where they can't be mapped
 FLUSH_PAIRS = 3_000_000  # pairs a map task holds before it sends them
 WORD_FIELDS = ("count", "contexts", "total", "kept", "k1", "k2", "k3")
 
@@ -150,6 +151,7 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
 # ---------------------------------------------------------------- arrays in the shared folder
 
 
+@lru_cache(64)
 def _open(folder: str):
     return pafs.FileSystem.from_uri(folder)
 
@@ -164,19 +166,8 @@ def write_array(folder: str, name: str, *arrays: np.ndarray) -> None:
     fs.move(part, f"{path}/{name}")
 
 
-@lru_cache(8192)
-def mapped(folder: str, name: str, rows: int, *kinds: str) -> tuple[np.ndarray, ...]:
-    """The arrays of a file, mapped into memory."""
-    fs, path = _open(folder)
-    if isinstance(fs, pafs.LocalFileSystem):
-        raw = np.memmap(f"{path}/{name}", np.uint8, "r")
-    else:
-        with tempfile.TemporaryFile() as copy, fs.open_input_stream(f"{path}/{name}") as source:
-            while part := source.read(1 << 22):
-                copy.write(part)
-            copy.flush()
-            raw = np.memmap(copy, np.uint8, "r")
-    out, at = [], 0
+def _columns(raw: np.ndarray, kinds: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    rows, out, at = len(raw) // sum(np.dtype(k).itemsize for k in kinds), [], 0
     for kind in kinds:
         size = rows * np.dtype(kind).itemsize
         out.append(raw[at : at + size].view(kind))
@@ -184,6 +175,30 @@ def mapped(folder: str, name: str, rows: int, *kinds: str) -> tuple[np.ndarray,
     return tuple(out)
 
 
+@lru_cache(8192)
+def _mapped(path: str, kinds: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    try:
+        return _columns(np.memmap(path, np.uint8, "r"), kinds)
+    except FileNotFoundError:
+        return _columns(np.zeros(0, np.uint8), kinds)
+
+
+@lru_cache(HELD)
+def _fetched(folder: str, name: str, kinds: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    fs, path = _open(folder)
+    try:
+        with fs.open_input_file(f"{path}/{name}") as source:
+            return _columns(np.frombuffer(source.read_buffer(), np.uint8), kinds)
+    except FileNotFoundError:
+        return _columns(np.zeros(0, np.uint8), kinds)
+
+
+def arrays(folder: str, name: str, *kinds: str) -> tuple[np.ndarray, ...]:
+    """The arrays of a file, mapped into memory; empty ones where the bucket has no rows and so no file."""
+    fs, path = _open(folder)
+    return _mapped(f"{path}/{name}", kinds) if isinstance(fs, pafs.LocalFileSystem) else _fetched(folder, name, kinds)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """Rows of sorted batches by bucket."""
     now, held = None, []
@@ -227,7 +242,7 @@ def _reduce_pairs(batches: Iterator[pa.RecordBatch], folder: str, buckets: int,
         of = bucket_of(words, buckets)
         edges = np.searchsorted(of, np.arange(buckets + 1))
         out = [(b, squeeze(np.diff(words[edges[b] : edges[b + 1]], prepend=np.uint64(0))), squeeze(sums[edges[b] : edges[b + 1]].T), None) for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist()]
-        out.append((-1, None, None, [bucket, len(keep), *((count == k).sum() for k in (1, 2, 3, 4))]))
+        out.append((-1, None, None, [int((count == k).sum()) for k in (1, 2, 3, 4)]))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], ["bucket", "words", "sums", "parts"])
 
 
@@ -239,7 +254,7 @@ def _reduce_words(batches: Iterator[pa.RecordBatch], folder: str, discounts: tup
         spare = total - kept + sum(d * n for d, n in zip(discounts, k, strict=True))
         share = np.where(total > 0, spare / np.maximum(total, 1), 1.0)
         write_array(folder, f"words-{bucket}", words, count, contexts, total, share)
-        stats = [bucket, len(words), int(count.sum()), int((count > 0).sum()), int(contexts.sum()), *(int((contexts == i).sum()) for i in (1, 2, 3, 4)), int((contexts > 2).sum())]
+        stats = [int(count.sum()), int((count > 0).sum()), int(contexts.sum()), *(int((contexts == i).sum()) for i in (1, 2, 3, 4)), int((contexts > 2).sum())]
         yield pa.RecordBatch.from_arrays([pa.array([stats], pa.list_(pa.int64()))], ["parts"])
 
 
@@ -261,35 +276,30 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT) -> dict:
     # each task gets one bucket by its number: a hash of the number would give some tasks several
     dealt = text.mapInArrow(partial(_count, buckets=buckets), PAIR_BLOCK).repartitionById(buckets, F.col("bucket").cast("int"))
     sums = stored(dealt.mapInArrow(partial(_reduce_pairs, folder=folder, buckets=buckets, min_count=min_count), WORD_BLOCK), "word-sums")
-    pair_rows = {}
-    n = np.zeros(4, np.int64)
-    for row in sums.where("bucket = -1").select("parts").toLocalIterator():  # one row a bucket
-        pair_rows[row.parts[0]] = row.parts[1]
-        n += row.parts[2:]
-    d2 = discounts(*n.tolist())
+    add = lambda df, n: [x or 0 for x in df.agg(*(F.sum(F.col("parts")[i]) for i in range(n))).first()]
+    d2 = discounts(*add(sums.where("bucket = -1"), 4))
     words = sums.where("bucket >= 0").select("bucket", "words", "sums").repartitionById(buckets, F.col("bucket").cast("int"))
-    stats = [r.parts for r in words.mapInArrow(partial(_reduce_words, folder=folder, discounts=d2), "parts array<long>").toLocalIterator()]
+    total = add(words.mapInArrow(partial(_reduce_words, folder=folder, discounts=d2), "parts array<long>"), 8)
     drop_stored(sums)
-    total = np.array(stats, np.int64).reshape(-1, 10).sum(axis=0)
     return {
-        "folder": folder, "buckets": buckets, "pairs": pair_rows, "words": {s[0]: s[1] for s in stats}, "tokens": int(total[2]), "types": int(total[3]), "contexts": int(total[4]),
-        "d2": d2, "d1": discounts(*total[5:9].tolist()), "n1": (int(total[5]), int(total[6]), int(total[9]))}
+        "folder": folder, "buckets": buckets, "tokens": total[0], "types": total[1], "contexts": total[2],
+        "d2": d2, "d1": discounts(*total[3:7]), "n1": (total[3], total[4], total[7])}
 
 
 def _lookup(model: dict, kind: str, keys: np.ndarray, kinds: tuple[str, ...]) -> list[np.ndarray]:
     """Values of sorted distinct ``keys``, 0 where a key is absent."""
-    rows, out = model[kind], [np.zeros(len(keys), k) for k in kinds]
+    out = [np.zeros(len(keys), k) for k in kinds]
     bucket = bucket_of(keys, model["buckets"])
-    edges = np.searchsorted(bucket, np.arange(model["buckets"] + 1))
-    for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-        if rows.get(b):
-            held, *values = mapped(model["folder"], f"{kind}-{b}", rows[b], "u8", *kinds)
-            mine = keys[edges[b] : edges[b + 1]]
+    cut = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+    for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)], strict=True) if len(keys) else ():
+        held, *values = arrays(model["folder"], f"{kind}-{bucket[a]}", "u8", *kinds)
+        if len(held):
+            mine = keys[a:z]
             at = np.searchsorted(held, mine)
             at[at == len(held)] = 0
             hit = held[at] == mine
             for x, v in zip(out, values, strict=True):
-                x[edges[b] : edges[b + 1]][hit] = v[at[hit]]
+                x[a:z][hit] = v[at[hit]]
     return out
 
 
@@ -328,7 +338,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # the arrays' names and lengths, not the arrays
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # where the arrays are, not the arrays
     rows = docs.select(F.col("doc_id").cast("long"), (fold(F.col("doc_id"), 7) == 2).alias("held_out"), F.col("text").cast("string"))
     scored = rows.mapInArrow(partial(_score, shared=shared), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")

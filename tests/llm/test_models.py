@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -118,7 +119,7 @@ def test_pairs_seen_once_are_stored(spark):
     texts = [f"a{i} b{i} c{i % 3} d" for i in range(40)]
     model = kn.train(build(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]))
     two = Counter(p for t in texts for p in zip(["start", *t.split()], [*t.split(), "end"], strict=True))
-    assert sum(two.values()) - len(two) and sum(model["pairs"].values()) == len(two)
+    assert sum(two.values()) - len(two) and sum(len(kn.arrays(model["folder"], f"pairs-{b}", "u8", "u4")[0]) for b in range(model["buckets"])) == len(two)
     # b5 and b6 occur alike, so only the pair (a5 b5), once after the only a5, tells the two texts apart
     seen, never = (kn.score_slice(model, np.frombuffer(x, np.uint8), np.array([0, len(x)]))[3][0] for x in (b"a5 b5", b"a5 b6"))
     assert 0 < model["d2"][0] < 1 and 10 ** (never - seen) < model["d2"][0]
@@ -202,6 +203,65 @@ def test_special_text_has_the_tokenizers_ids():
         assert packing.token_ids(text, packing.default_path()).tolist() == bpe.encode(text, add_special_tokens=False).ids
 
 
+def fewest(sizes, capacity):
+    """The least number of bins, by trying every packing."""
+    best = len(sizes)
+
+    def place(rest, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if not rest:
+            best = len(bins)
+            return
+        for i in {b: i for i, b in enumerate(bins) if b + rest[0] <= capacity}.values():
+            place(rest[1:], [*bins[:i], bins[i] + rest[0], *bins[i + 1 :]])
+        place(rest[1:], [*bins, rest[0]])
+
+    place(sorted(sizes, reverse=True), [])
+    return best
+
+
+def test_packing_against_every_packing():
+    rng = random.Random(1)
+    for _ in range(300):
+        capacity = rng.choice([10, 20, 30])
+        sizes = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 9))]
+        bins = packing.pack(sizes, capacity)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and max(sum(sizes[i] for i in b) for b in bins) <= capacity
+        assert packing.least_bins(sizes, capacity) <= fewest(sizes, capacity) <= len(bins) <= len(packing.best_fit(sizes, capacity))
+
+
+@pytest.mark.parametrize(("bins", "capacity"), [
+    ([[4, 3], [4, 3], [2, 1]], 10),  # two moves
+    ([[6, 3], [7, 2], [4, 1, 1]], 12),  # pieces of the last bin find room one by one
+    ([[5, 3], [6, 2], [4]], 10),  # the four goes for the three or the two, which then find room
+    ([[6, 3], [2, 2]], 13),  # a move and an exchange
+    ([[8], [7, 1], [2, 2]], 10),  # a two goes in, the other goes for the one
+])
+def test_exchanges_empty_a_bin(bins, capacity):
+    sizes = [x for b in bins for x in b]
+    numbers = iter(range(len(sizes)))
+    first = [[next(numbers) for _ in b] for b in bins]
+    after = packing.local_search(first, sizes, capacity)
+    assert len(after) == fewest(sizes, capacity) < len(bins) and sorted(i for b in after for i in b) == list(range(len(sizes)))
+
+
+def test_many_short_pieces_end():
+    sizes = [1025] * 40 + [2] * 10_000
+    start = time.process_time()
+    assert len(packing.pack(sizes, 2048)) == 40 and time.process_time() - start < 5
+
+
+def test_squared_fill_grows(monkeypatch):
+    seen = []
+    listed = packing.Bins.list
+    monkeypatch.setattr(packing.Bins, "list", lambda self, b: (listed(self, b), seen.append(sum(f * f for f in self.fill)))[0])
+    sizes = np.random.default_rng(3).integers(300, 900, 300).tolist()
+    packing.pack(sizes, 2048)
+    assert len(set(seen)) > 20 and seen == sorted(seen)
+
+
 def test_local_search_gains():
     sizes = np.random.default_rng(1).integers(500, 1000, 1500).tolist()
     first = packing.best_fit(sizes, 2048)
