@@ -1,16 +1,21 @@
 """Shards by size-tiered compaction, with a versioned manifest.
 
-``append`` writes an arrival as small immutable Parquet shards.  ``compact`` sorts the live shards
-below the target size into tiers by size; a tier with at least FAN_IN shards is a run of similar
-files, which is read and written again as files of about the target size.  The merge only joins read
-partitions, so nothing is shuffled and no task holds more than a target file's rows in its writer.
+``append`` writes an arrival as a folder of small immutable Parquet shards.  ``compact`` sorts the live
+folders whose shards are below half the target size into tiers by shard size; a tier with at least FAN_IN
+shards is a run of similar files, which is read and written again as files of about the target size.  The
+merge only joins read partitions, so nothing is shuffled and no task holds more than a target file's rows
+in its writer.
 
-A version of the manifest lists the live shards with their rows and bytes.  It is written aside and
-renamed to its number, which fails if that number exists: a version appears whole or not at all, and
-one of two writers has to try again on the newer version.  Readers take the newest version; files of
-older ones stay until ``vacuum``.
+A version of the manifest lists the live folders with their files, rows and bytes: one row for each arrival
+or merge, whatever the number of shards.  It is written aside and renamed to its number, which fails if that
+number exists: a version appears whole or not at all, and one of two writers has to try again on the newer
+version.  Readers take the newest version.
 
-Only DataFrame operations touch the rows; the driver handles one line of metadata for each shard.
+``vacuum`` deletes folders that an older version lists and the newest doesn't, then those versions.  What
+another writer has written but not committed is in no version, so it stays; folders that no version lists
+go once they are older than ``grace`` seconds, which must exceed the longest write.
+
+Only DataFrame operations touch the rows; the driver handles one line of metadata for each folder.
 
 Edge cases: rows are stored as they are, with nulls, repeats and any columns; an empty arrival adds
 a version and no shard; an empty store reads as an empty table of the given schema; a tier that is
@@ -20,6 +25,7 @@ too small, or of one shard, is left alone; merging again without new arrivals ch
 from __future__ import annotations
 
 import math
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -31,15 +37,23 @@ TARGET_BYTES = 64 << 20
 SHARD_ROWS = 2_000  # rows of an arriving shard at most
 FAN_IN = 4
 TIER = 4  # ratio of sizes between tiers
-MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("bytes", T.LongType())])
+GRACE = 7 * 24 * 3600.0  # seconds an unlisted folder is kept: a writer may still be about to commit it
+MANIFEST = T.StructType([T.StructField("path", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("files", "rows", "bytes"))])
 
 
 @dataclass(frozen=True)
-class Shard:
+class Shards:
+    """A folder of shards that one arrival or merge wrote."""
+
     path: str
+    files: int
     rows: int
     bytes: int
 
+    @property
+    def size(self) -> float:
+        return self.bytes / self.files
+
 
 class Conflict(RuntimeError):
     """Another writer committed the version first."""
@@ -57,25 +71,36 @@ class ShardStore:
     def _fs(self):
         return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def versions(self) -> list[int]:
+        fs, folder = self._fs(), self._path(f"{self.root}/manifest")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(n[1:]) for n in names if n[:1] == "v")
+
     def version(self) -> int:
         """The newest committed version, 0 for a new store."""
-        fs, folder = self._fs(), self._path(f"{self.root}/manifest")
-        if not fs.exists(folder):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return max((int(n[1:]) for n in names if n[:1] == "v"), default=0)
+        return max(self.versions(), default=0)
 
-    def shards(self, version: int | None = None) -> list[Shard]:
-        version = self.version() if version is None else version
+    def shards(self, version: int) -> list[Shards]:
+        """The live folders of a version."""
         if not version:
             return []
         rows = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/v{version:012d}").orderBy("path").collect()
-        return [Shard(r.path, r.rows, r.bytes) for r in rows]
+        return [Shards(r.path, r.files, r.rows, r.bytes) for r in rows]
 
-    def commit(self, shards: list[Shard], after: int) -> int:
+    def newest(self) -> tuple[int, list[Shards]]:
+        """The newest version and its folders; looks again if it goes while it is read."""
+        while True:
+            now = self.version()
+            try:
+                return now, self.shards(now)
+            except Exception:
+                if self.version() == now:
+                    raise
+
+    def commit(self, shards: list[Shards], after: int) -> int:
         """Publishes ``shards`` as the version that follows ``after``."""
         aside = f"{self.root}/aside/{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(s.path, s.rows, s.bytes) for s in shards], MANIFEST).coalesce(1).write.parquet(aside)
+        self.spark.createDataFrame([(s.path, s.files, s.rows, s.bytes) for s in shards], MANIFEST).coalesce(1).write.parquet(aside)
         fs = self._fs()
         fs.mkdirs(self._path(f"{self.root}/manifest"))
         to = f"{self.root}/manifest/v{after + 1:012d}"
@@ -83,7 +108,7 @@ class ShardStore:
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark._jsc.hadoopConfiguration())
         plain = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         source, target = (fs.makeQualified(self._path(p)) for p in (aside, to))
-        if fs.exists(target):
+        if self.version() > after:  # an older number may be free again after a vacuum
             raise Conflict(to)
         try:
             context.rename(source, target, plain)
@@ -95,69 +120,86 @@ class ShardStore:
 
     # ------------------------------------------------------------ files
 
-    def _written(self, df: DataFrame, limit: int) -> list[Shard]:
+    def _written(self, df: DataFrame, limit: int) -> list[Shards]:
+        """Writes a folder of shards of at most ``limit`` rows (0: any number); none for an empty table."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").option("maxRecordsPerFile", limit).parquet(folder)
-        sizes = {s.getPath().getName(): (s.getPath().toString(), s.getLen()) for s in self._fs().listStatus(self._path(folder)) if s.getPath().getName().startswith("part-")}
-        counts = self.spark.read.schema(self.schema).parquet(folder).groupBy(F.col("_metadata.file_name").alias("name")).count().collect() if sizes else []
-        return [Shard(sizes[r.name][0], r["count"], sizes[r.name][1]) for r in counts]
+        each = self.spark.read.schema(self.schema).parquet(folder).groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).agg(F.count("*").alias("n"))
+        found = each.agg(F.count("*").alias("files"), F.sum("n").alias("rows"), F.sum("size").alias("bytes")).first()
+        return [Shards(folder, found.files, found.rows, found.bytes)] if found.files else []
 
     def append(self, df: DataFrame) -> int:
         """Adds an arrival and returns the new version."""
         new = self._written(df.select(*self.schema.names), SHARD_ROWS)
         while True:
-            now = self.version()
+            now, live = self.newest()
             try:
-                return self.commit([*self.shards(now), *new], now)
+                return self.commit([*live, *new], now)
             except Conflict:
                 continue
 
-    def tiers(self, shards: list[Shard]) -> list[list[Shard]]:
+    def tiers(self, shards: list[Shards]) -> list[list[Shards]]:
         """Runs of similarly sized shards that are worth merging, smallest first."""
-        found: dict[int, list[Shard]] = {}
+        found: dict[int, list[Shards]] = {}
         for s in shards:
-            if s.bytes < self.target / 2:
-                found.setdefault(int(math.log(max(s.bytes, 4096) / 4096, TIER)), []).append(s)
-        return [sorted(found[k], key=lambda s: s.path) for k in sorted(found) if len(found[k]) >= FAN_IN]
+            if s.size < self.target / 2:
+                found.setdefault(int(math.log(max(s.size, 4096) / 4096, TIER)), []).append(s)
+        return [sorted(found[k], key=lambda s: s.path) for k in sorted(found) if sum(s.files for s in found[k]) >= FAN_IN]
 
     def compact(self) -> int:
-        """Merges every run; returns the version afterwards."""
-        now = self.version()
-        live = self.shards(now)
+        """Merges every run; returns the version afterwards.  Raises Conflict, and leaves the store as it was, if another writer commits meanwhile."""
+        now, live = self.newest()
         gone, new = set(), []
-        for run in self.tiers(live):
-            files = max(1, round(sum(s.bytes for s in run) / self.target))
-            merged = self._written(self.spark.read.schema(self.schema).parquet(*(s.path for s in run)).coalesce(files), 0)
-            if sum(s.rows for s in merged) != sum(s.rows for s in run):
-                raise RuntimeError("a merge changed the number of rows")
-            gone |= {s.path for s in run}
-            new += merged
-        return self.commit([*(s for s in live if s.path not in gone), *new], now) if gone else now
-
-    def settle(self, rounds: int = 8) -> int:
-        """Compacts until no run is left."""
-        for _ in range(rounds):
+        try:
+            for run in self.tiers(live):
+                files = max(1, round(sum(s.bytes for s in run) / self.target))
+                merged = self._written(self.spark.read.schema(self.schema).parquet(*(s.path for s in run)).coalesce(files), 0)
+                new += merged
+                if sum(s.rows for s in merged) != sum(s.rows for s in run):
+                    raise RuntimeError("a merge changed the number of rows")
+                gone |= {s.path for s in run}
+            return self.commit([*(s for s in live if s.path not in gone), *new], now) if gone else now
+        except Exception as e:
+            for s in new:
+                self._fs().delete(self._path(s.path), True)
+            if not isinstance(e, Conflict) and self.version() > now:  # a vacuum may have taken what was being read
+                raise Conflict(f"version {now} is no longer the newest") from e
+            raise
+
+    def settle(self) -> int:
+        """Compacts until no run is left, again from the newest version where another writer was faster.
+
+        A run becomes fewer files each time, so this ends when arrivals do.
+        """
+        while True:
             before = self.version()
-            if self.compact() == before:
-                break
-        return self.version()
-
-    def vacuum(self) -> None:
-        """Deletes files that the newest version doesn't list, and older versions."""
-        fs, now = self._fs(), self.version()
-        live = {s.path for s in self.shards(now)}
-        if fs.exists(self._path(f"{self.root}/data")):
-            for folder in fs.listStatus(self._path(f"{self.root}/data")):
-                for file in fs.listStatus(folder.getPath()):
-                    if file.getPath().getName().startswith("part-") and file.getPath().toString() not in live:
-                        fs.delete(file.getPath(), False)
-        for old in fs.listStatus(self._path(f"{self.root}/manifest")):
-            if old.getPath().getName()[:1] == "v" and int(old.getPath().getName()[1:]) < now:
-                fs.delete(old.getPath(), True)
+            try:
+                if self.compact() == before:
+                    return before
+            except Conflict:
+                continue
+
+    def vacuum(self, grace: float = GRACE) -> None:
+        """Deletes folders that only older versions list, those versions, and unlisted folders older than ``grace`` seconds."""
+        fs = self._fs()
+        now, kept = self.newest()
+        live = {s.path.rpartition("/")[2] for s in kept}
+        for old in self.versions():
+            if old < now:
+                for s in self.shards(old):
+                    if s.path.rpartition("/")[2] not in live:
+                        fs.delete(self._path(s.path), True)
+                fs.delete(self._path(f"{self.root}/manifest/v{old:012d}"), True)
+        newest = {s.path.rpartition("/")[2] for s in self.newest()[1]}
+        for kind in ("data", "aside"):
+            if fs.exists(self._path(f"{self.root}/{kind}")):
+                for folder in fs.listStatus(self._path(f"{self.root}/{kind}")):
+                    if folder.getPath().getName() not in live | newest and folder.getModificationTime() < (time.time() - grace) * 1000:
+                        fs.delete(folder.getPath(), True)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, the newest by default."""
-        paths = [s.path for s in self.shards(version)]
+        paths = [s.path for s in (self.newest()[1] if version is None else self.shards(version))]
         if not paths:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)

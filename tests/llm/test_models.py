@@ -301,23 +301,64 @@ def test_exponent_limits():
     assert mixing.exponent(t, 1e9) == 0 and mixing.exponent([], 2) == 0
 
 
-def test_shards(spark):
+def shard_store(spark):
     df = spark.range(4000).selectExpr("id", "repeat(md5(cast(id as string)), 3) as text")
-    store = sharding.ShardStore(spark, new_path(spark, "shards"), df.schema, target_bytes=150_000)
+    return df, sharding.ShardStore(spark, new_path(spark, "shards"), df.schema, target_bytes=150_000)
+
+
+def test_shards(spark):
+    df, store = shard_store(spark)
     for a in range(4):
         store.append(df.where(f"id % 4 = {a}").coalesce(2))
-    before = store.shards()
     old = store.version()
-    store.settle()
-    after = store.shards()
-    assert len(after) < len(before) and sum(s.rows for s in after) == 4000 and not store.tiers(after)
+    before = store.shards(old)
+    after = store.shards(store.settle())
+    assert sum(s.files for s in after) < sum(s.files for s in before) and sum(s.rows for s in after) == 4000 and not store.tiers(after)
     assert store.read(old).count() == 4000  # older versions still read
     with pytest.raises(sharding.Conflict):
         store.commit(before, old)
     store.vacuum()
+    assert store.versions() == [store.version()]
+    with pytest.raises(sharding.Conflict):
+        store.commit(before, old - 1)  # its number is free again
     assert sorted(map(tuple, store.read().collect())) == sorted(map(tuple, df.collect())) and store.settle() == store.version()
 
 
+def test_vacuum_spares_a_writer_before_its_commit(spark):
+    df, store = shard_store(spark)
+    for a in range(3):
+        store.append(df.where(f"id % 4 = {a}").repartition(2))
+    other = sharding.ShardStore(spark, store.root, df.schema, store.target)
+    written = other._written(df.where("id % 4 = 3"), 0)
+    store.settle()
+    store.vacuum()
+    now, live = other.newest()
+    other.commit([*live, *written], now)
+    assert sorted(map(tuple, store.read().collect())) == sorted(map(tuple, df.collect()))
+    lost = other._written(df.limit(3), 0)[0].path
+    store.vacuum(grace=3600)
+    assert spark.read.parquet(lost).count() == 3
+    store.vacuum(grace=-3600)
+    assert not store._fs().exists(store._path(lost)) and store.read().count() == 4000
+
+
+def test_settle_tries_again_after_another_commit(spark, monkeypatch):
+    df, store = shard_store(spark)
+    for a in range(3):
+        store.append(df.where(f"id % 4 = {a}").repartition(2))
+    real, other = store.commit, sharding.ShardStore(spark, store.root, df.schema, store.target)
+
+    def late(shards, after):
+        if store.version() == 3:
+            other.append(df.where("id % 4 = 3"))
+        return real(shards, after)
+
+    monkeypatch.setattr(store, "commit", late)
+    store.settle()
+    assert store.version() > 4 and not store.tiers(store.newest()[1])
+    assert sorted(map(tuple, store.read().collect())) == sorted(map(tuple, df.collect()))
+
+
 def frame(kbits, padding=0, protected=True, body=b""):
     index = mp.KBITS[1, 3].index(kbits)
     word = bytes([0xFF, 0xFA if protected else 0xFB, index << 4 | padding << 1, 0xC0])
