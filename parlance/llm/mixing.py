@@ -13,6 +13,14 @@ and in that one documents in key order.  Block sums are aggregated before anythi
 source of any size sorts its blocks and the rows of one block only.  What remains is one cut-off key
 for each source, so choosing the copies of a row needs no shuffle of texts.
 
+The same keys realise the order.  A copy in pass p with key k (as a fraction) stands at (p + k) / uses of
+the whole run, where uses are its source's passes, the part pass included.  RUN_BLOCKS equal intervals of
+the run are its blocks: each holds every source at about its weight, as the copies of a source are spread
+evenly, and is itself permuted by another digest.  ``scheduled`` gives each copy its block and place key;
+sorting by them is the training order, and it too needs no shuffle.
+
+More than PLAN_ROWS sources are planned by aggregations over a table of sources and joined by a shuffle.
+
 Edge cases: a null source is a source of its own; null and blank texts have no tokens, and a source
 without tokens is used once; rows with equal id and source share a key and are taken together; a
 null id is the empty text in the key; other columns are kept; an empty table gives an empty result.
@@ -30,9 +38,11 @@ from pyspark.sql.window import Window
 from .common import stored
 
 BLOCKS = 4096
-MAX_SOURCES = 100_000  # bound of the plan that is gathered and broadcast
+RUN_BLOCKS = 256
+PLAN_ROWS = 100_000  # sources up to which the plan is made on the driver and broadcast
 MAX_REPEATS = 2.0
 SEED = "mix-1"
+SALTS = 64
 _BITS = 52
 
 
@@ -77,12 +87,48 @@ def whole_budget(tokens: list[int], w: list[float]) -> float:
 PLAN = T.StructType([T.StructField(n, t) for n, t in (("mix_key", T.StringType()), ("tokens", T.LongType()), ("weight", T.DoubleType()), ("passes", T.LongType()), ("part", T.LongType()))])
 
 
-def plan(docs: DataFrame, max_repeats: float = MAX_REPEATS, max_entropy: float | None = None, budget: float | None = None) -> DataFrame:
-    """For each source: tokens, weight, whole passes and the tokens of the part pass.  ``docs`` has mix_key and n_tokens."""
-    rows = docs.groupBy("mix_key").agg(F.sum("n_tokens").alias("t")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows = sorted((r.mix_key, int(r.t)) for r in rows)
+def _large_plan(sources: DataFrame, max_repeats: float, max_entropy: float | None, budget: float | None) -> DataFrame:
+    """As ``plan``, for a table of sources (mix_key, t) of any length: every step of the bisection is an aggregation."""
+    used = sources.where("t > 0")
+    tokens = used.agg(F.sum("t").alias("n")).first().n or 0
+    share = F.col("t") / tokens
+
+    def tried(a: float) -> tuple[float, float, float]:
+        """Sum of the powers, the budget, and the entropy at exponent ``a``."""
+        total = used.agg(F.sum(F.pow(share, F.lit(a))).alias("s")).first().s
+        w = F.pow(share, F.lit(a)) / total
+        r = used.agg(F.max(F.col("t") / w).alias("b"), F.sum(F.when(w > 0, -w * F.log(w))).alias("e")).first()
+        return total, budget if budget is not None else r.b, r.e
+
+    def fits(a: float) -> bool:
+        total, run, entropy = tried(a)
+        most = used.agg(F.max(run * F.pow(share, F.lit(a)) / total / F.col("t")).alias("m")).first().m
+        return most <= max_repeats * (1 + 1e-12) and (max_entropy is None or entropy <= max_entropy)
+
+    if not tokens:
+        return sources.select("mix_key", F.lit(0).cast("long").alias("tokens"), F.lit(0.0).alias("weight"), F.lit(1).cast("long").alias("passes"), F.lit(0).cast("long").alias("part"))
+    low, high = 0.0, 1.0
+    if fits(0.0):
+        high = 0.0
+    for _ in range(60 if high else 0):
+        mid = (low + high) / 2
+        low, high = (low, mid) if fits(mid) else (mid, high)
+    total, run, _ = tried(high)
+    some = F.col("t") > 0
+    weight = F.when(some, F.pow(share, F.lit(high)) / total).otherwise(0.0)
+    want = F.rint(run * F.col("weight")).cast("long")
+    return sources.withColumn("weight", weight).select("mix_key", F.col("t").alias("tokens"), "weight", F.when(some, F.floor(want / F.col("t"))).otherwise(1).cast("long").alias("passes"), F.when(some, want % F.col("t")).otherwise(0).cast("long").alias("part"))
+
+
+def plan(docs: DataFrame, max_repeats: float = MAX_REPEATS, max_entropy: float | None = None, budget: float | None = None) -> tuple[DataFrame, bool]:
+    """For each source: tokens, weight, whole passes and the tokens of the part pass; and whether that is short enough to broadcast.
+
+    ``docs`` has mix_key and n_tokens.
+    """
+    sources = stored(docs.groupBy("mix_key").agg(F.sum("n_tokens").alias("t")), "mix-sources")
+    if sources.count() > PLAN_ROWS:
+        return stored(_large_plan(sources, max_repeats, max_entropy, budget), "mix-plan"), False
+    rows = sorted((r.mix_key, int(r.t)) for r in sources.collect())
     used = [(k, t) for k, t in rows if t]
     tokens = [t for _, t in used]
     out = [(k, 0, 0.0, 1, 0) for k, t in rows if not t]
@@ -92,7 +138,15 @@ def plan(docs: DataFrame, max_repeats: float = MAX_REPEATS, max_entropy: float |
         for (k, t), x in zip(used, w, strict=True):
             want = round(total * x)
             out.append((k, t, x, want // t, want % t))
-    return docs.sparkSession.createDataFrame(out, PLAN)
+    return docs.sparkSession.createDataFrame(out, PLAN), True
+
+
+def _with_plan(docs: DataFrame, planned: DataFrame, short: bool) -> DataFrame:
+    """``docs`` joined with one row of its source.  A long plan is dealt under salts, as one source may hold a third of all rows."""
+    if short:
+        return docs.join(F.broadcast(planned), "mix_key")  # at most PLAN_ROWS rows
+    salted = planned.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return docs.withColumn("mix_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["mix_key", "mix_salt"]).drop("mix_salt")
 
 
 def _key(passes: Column) -> Column:
@@ -100,30 +154,62 @@ def _key(passes: Column) -> Column:
     return F.conv(F.substring(digest, 1, _BITS // 4), 16, 10).cast("long")
 
 
-def choices(docs: DataFrame, **limits) -> DataFrame:
-    """(mix_key, weight, passes, cut): a row of ``docs`` is used ``passes`` times, and once more if its key is at most ``cut``."""
+def choices(docs: DataFrame, **limits) -> tuple[DataFrame, bool]:
+    """(mix_key, weight, passes, cut, uses): a row of ``docs`` is used ``passes`` times, and once more if its key is at most ``cut``."""
     narrow = stored(docs.select("doc_id", _source_key().alias("mix_key"), words(F.col("text")).alias("n_tokens")), "mix-tokens")
-    planned = plan(narrow, **limits)
-    keyed = narrow.join(F.broadcast(planned.where("part > 0").select("mix_key", "passes", "part")), "mix_key").withColumn("key", _key(F.col("passes")))  # plan: at most MAX_SOURCES rows
+    planned, short = plan(narrow, **limits)
+    keyed = _with_plan(narrow, planned.where("part > 0").select("mix_key", "passes", "part"), short).withColumn("key", _key(F.col("passes")))
     block = F.shiftright("key", _BITS - int(math.log2(BLOCKS))).alias("block")
     totals = keyed.groupBy("mix_key", "part", block).agg(F.sum("n_tokens").alias("n"))
     running = totals.withColumn("upto", F.sum("n").over(Window.partitionBy("mix_key").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)))
     edge = running.where("upto > part").groupBy("mix_key").agg(F.min(F.struct("block", (F.col("upto") - F.col("n")).alias("before"), "part")).alias("e")).select("mix_key", "e.*")
-    inside = keyed.select("mix_key", "n_tokens", "key", block).join(F.broadcast(edge), ["mix_key", "block"])  # one row a source
+    inside = keyed.select("mix_key", "n_tokens", "key", block).join(F.broadcast(edge) if short else edge, ["mix_key", "block"])  # one row a source
     upto = inside.withColumn("upto", F.col("before") + F.sum("n_tokens").over(Window.partitionBy("mix_key").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)))
     shift = F.shiftleft(F.col("block").cast("long"), _BITS - int(math.log2(BLOCKS))) - 1
     cuts = upto.groupBy("mix_key").agg(F.max(F.when(F.col("upto") <= F.col("part"), F.col("key"))).alias("last"), F.min(shift).alias("start")).select("mix_key", F.coalesce("last", "start").alias("cut"))
-    return planned.join(cuts, "mix_key", "left").select("mix_key", "weight", "passes", F.coalesce("cut", F.lit(-1)).alias("cut"))
+    cut = F.coalesce("cut", F.lit(-1).cast("long"))
+    return planned.join(cuts, "mix_key", "left").select("mix_key", "weight", "passes", cut.alias("cut"), (F.col("passes") + (cut + 1) / F.lit(float(1 << _BITS))).alias("uses")), short
+
+
+def _chosen(docs: DataFrame, limits: dict) -> DataFrame:
+    """``docs`` as a struct ``_doc``, its source's choices, and the number of times it is used; no name of docs can clash."""
+    chosen, short = choices(docs, **limits)
+    rows = docs.select(F.struct("*").alias("_doc"), "doc_id", _source_key().alias("mix_key"))
+    joined = _with_plan(rows, stored(chosen, "mix-choices"), short)
+    return joined.withColumn("copies", F.col("passes") + (_key(F.col("passes")) <= F.col("cut")).cast("long"))
 
 
 def with_copies(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` with ``mix_weight`` and ``mix_copies``, the number of times a row is used."""
-    chosen = stored(choices(docs, **limits), "mix-choices")
-    joined = docs.withColumn("mix_key", _source_key()).join(F.broadcast(chosen), "mix_key")
-    return joined.select(*docs.columns, F.col("weight").alias("mix_weight"), (F.col("passes") + (_key(F.col("passes")) <= F.col("cut")).cast("long")).alias("mix_copies"))
+    return _chosen(docs, limits).select("_doc.*", F.col("weight").alias("mix_weight"), F.col("copies").alias("mix_copies"))
+
+
+def _position(passes: Column) -> Column:
+    """Where in the run, from 0 to 1, the copy of this pass stands."""
+    return (passes + _key(passes) / F.lit(float(1 << _BITS))) / F.col("uses")
+
+
+def block_of(position: Column) -> Column:
+    return F.least(F.lit(RUN_BLOCKS - 1), F.floor(position * RUN_BLOCKS).cast("int"))
+
+
+def scheduled(docs: DataFrame, **limits) -> DataFrame:
+    """One row for each use of a row of ``docs``, with its columns and ``mix_pass``, ``mix_block`` and ``mix_place``.
+
+    Sorted by block and place, this is the order of the run.
+    """
+    each = _chosen(docs, limits).where("copies > 0").withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    place = F.md5(F.concat_ws(":", F.lit(SEED), F.lit("place"), F.col("p").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "mix_key"))
+    return each.select("_doc.*", F.col("p").alias("mix_pass"), block_of(_position(F.col("p"))).alias("mix_block"), place.alias("mix_place"))
+
+
+def blocks(docs: DataFrame, **limits) -> DataFrame:
+    """(_doc, weight, copies, blocks): each row of ``docs`` with the blocks of the run its copies are in."""
+    chosen = _chosen(docs, limits)
+    upto = F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array().cast("array<long>"))
+    return chosen.select("_doc", "weight", "copies", F.transform(upto, lambda p: block_of(_position(p))).alias("blocks"))
 
 
 def mixed(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs``, each as often as it is used, with its own columns only."""
-    copies = with_copies(docs, **limits).where("mix_copies > 0")
-    return copies.withColumn("mix_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*docs.columns)
+    return scheduled(docs, **limits).select(*docs.columns)

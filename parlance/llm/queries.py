@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import fold, new_path, read
 from .kneser_ney import scored
 from .langid import identify
-from .mixing import with_copies, words
+from .mixing import blocks, words
 from .mpeg_audio import media_features, media_table
 from .ngram_join import ngram_components
 from .packing import packed
@@ -69,7 +69,9 @@ def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_copies(read(spark, sf_dir, "documents")).select("doc_id", "source", words(F.col("text")).alias("n_tokens"), F.round("mix_weight", 9).alias("weight"), F.col("mix_copies").alias("copies"))
+    rows = blocks(read(spark, sf_dir, "documents"))
+    return rows.select(
+        "_doc.doc_id", "_doc.source", words(F.col("_doc.text")).alias("n_tokens"), F.round("weight", 9).alias("weight"), "copies", F.array_join(F.col("blocks").cast("array<string>"), ",").alias("blocks"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -291,6 +291,35 @@ def test_mixing_equals_plain_python(spark):
     assert {r.doc_id: r.mix_copies for r in mixing.with_copies(docs, max_repeats=1.4).collect()} == want
 
 
+def test_mixing_order(spark, monkeypatch):
+    """Every block of the run holds each source at about its weight, and later passes stand later."""
+    monkeypatch.setattr(mixing, "RUN_BLOCKS", 8)
+    rows = [(i, "w " * 10, "en", f"s{min(i % 16, 2)}") for i in range(4000)]
+    docs = build(spark, rows)
+    run = mixing.scheduled(docs, max_repeats=3.0).collect()
+    share = {r.source: r.mix_weight for r in mixing.with_copies(docs, max_repeats=3.0).collect()}
+    assert Counter(r.doc_id for r in run) == {r.doc_id: r.mix_copies for r in mixing.with_copies(docs, max_repeats=3.0).collect()}
+    for block in range(8):
+        held = Counter(r.source for r in run if r.mix_block == block)
+        assert sum(held.values()) == pytest.approx(len(run) / 8, rel=0.1)
+        assert all(held[k] / sum(held.values()) == pytest.approx(w, rel=0.25) for k, w in share.items())
+    for of in {d: sorted((r.mix_pass, r.mix_block) for r in run if r.doc_id == d) for d in range(0, 4000, 97)}.values():
+        assert [p for p, _ in of] == list(range(len(of))) and [b for _, b in of] == sorted(b for _, b in of)  # later passes stand later
+    keys = {(r.mix_pass, r.mix_place) for r in run}
+    assert len(keys) == len(run)
+    for r in mixing.blocks(docs, max_repeats=3.0).select("_doc.doc_id", "blocks").collect()[:50]:
+        assert sorted(r.blocks) == sorted(x.mix_block for x in run if x.doc_id == r.doc_id)
+
+
+@pytest.mark.parametrize("limits", [{"max_repeats": 1.4}, {"max_repeats": 1e9, "max_entropy": 2.5, "budget": 5e4}])
+def test_mixing_by_table_equals_mixing_on_the_driver(spark, monkeypatch, limits):
+    docs = documents(spark)
+    want = {r.doc_id: (r.mix_copies, round(r.mix_weight, 9)) for r in mixing.with_copies(docs, **limits).collect()}
+    monkeypatch.setattr(mixing, "PLAN_ROWS", 3)
+    monkeypatch.setattr(mixing, "SALTS", 2)
+    assert {r.doc_id: (r.mix_copies, round(r.mix_weight, 9)) for r in mixing.with_copies(docs, **limits).collect()} == want
+
+
 def test_exponent_limits():
     t = [1000, 100, 10]
     a = mixing.exponent(t, 2.0)
