@@ -1,22 +1,27 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant.
 
 Each text gives counts (``COUNTS``) and a vector of transformed statistics (``FEATURES``).  For each
-language and source the location and scatter of the vectors are estimated from the half that lies
-closest together (Rousseeuw and Van Driessen 1999): start from medians and quartile ranges, then
-repeat concentration steps, each of which keeps the HALF nearest rows by Mahalanobis distance.
-A reweighted estimate follows.  Rows beyond the cut-off distance are rejected.
+language and source the location and scatter of the vectors are estimated from the HALF that lies
+closest together (Rousseeuw and Van Driessen 1999).  Concentration steps, each of which keeps the HALF
+nearest rows by Mahalanobis distance, run from three starts that no random choice enters: medians and
+quartile ranges, mean and covariance, and spatial signs around the medians (Hubert and others 2012).
+The result with the least determinant is kept, and a reweighted estimate follows.  Rows beyond the
+cut-off distance are rejected.
 
 Every step is one aggregation over all rows: rows fall into distance bins, each bin has its count,
 sums and cross products, and the nearest HALF is a prefix of the bins.  So a step moves at most BINS
-rows a group and task, the estimate covers all rows, and no group is gathered.
+rows a group, start and task, the estimate covers all rows, and no group is gathered.  Quartiles come
+from counts on a fixed grid, so they don't depend on how rows are dealt to tasks.
 
-Groups with fewer than MIN_ROWS rows use the pooled rest of their language, then of all languages;
-where even that is too small the rules alone decide.
+Estimates are made for all rows, for each language, and for each language and source.  A language's is
+drawn towards that of all rows, and a source's towards its language's, as if PRIOR further rows had been
+seen there: the fewer rows a group has, the more it borrows.  The rule is the same at every size.
 
 Edge cases: null and blank texts have no words and fail the base rule; null language or source is
 a value of its own; constant statistics get the least spread in FEATURES, so a group of equal texts
-rejects nothing but what differs from them; repeated rows count as often as they occur; other
-columns are ignored; an empty table gives an empty result.
+rejects nothing but what differs from them; a group all of whose rows fail the base rule has no estimate
+and rejects nothing more; repeated rows count as often as they occur; other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,14 +35,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import drop_stored, gram_hashes, mix, seeded, slices, stored, word_spans
 
 HALF = 0.75
 STEPS = 5
-MIN_ROWS = 200
+PRIOR = 200.0  # rows that the wider group's estimate counts as
 BINS = 512
+GRID = 256  # steps of the quartiles' grid in a unit of a statistic
+SALTS = 64
 QUANTILE = 0.99999  # of the chi-squared distribution, for the cut-off
 MAX_MODELS = 100_000  # models are broadcast up to this many, joined by a shuffle beyond
 #: Statistic and its least standard deviation, which keeps near-constant ones from rejecting small changes.
@@ -62,7 +68,7 @@ def _exact_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def _sums(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _between(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of ``flags`` between consecutive bounds."""
     total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
     return total[at[1:]] - total[at[:-1]]
@@ -92,8 +98,8 @@ def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
         np.add.at(inside, starts, 1)
         np.add.at(inside, ends, -1)
         chars = (np.cumsum(inside[:-1]) > 0) & ((data & 0xC0) != 0x80)
-        out = {"n_words": np.diff(bounds), "word_chars": _sums(chars, offs), "n_symbols": _sums(_SYMBOL[data], offs)}
-        out["n_upper"] = _sums((data >= 65) & (data <= 90), offs)
+        out = {"n_words": np.diff(bounds), "word_chars": _between(chars, offs), "n_symbols": _between(_SYMBOL[data], offs)}
+        out["n_upper"] = _between((data >= 65) & (data <= 90), offs)
         # lines: after each row start and each \n
         breaks = np.flatnonzero(data == 10)
         line_starts = np.unique(np.concatenate([offs[:-1][offs[:-1] < offs[1:]], breaks + 1]))
@@ -113,7 +119,7 @@ def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
         cover = np.zeros(len(hashes) + 1, np.int64)
         np.add.at(cover, at[twice], 1)
         np.add.at(cover, at[twice] + WINDOW, -1)
-        out["n_repeat_words"] = _sums(np.cumsum(cover[:-1]) > 0, bounds)
+        out["n_repeat_words"] = _between(np.cumsum(cover[:-1]) > 0, bounds)
         for k, v in out.items():
             parts.setdefault(k, []).append(v)
     return {k: np.concatenate(parts[k]).astype(np.int64) if parts else np.zeros(0, np.int64) for k in (*COUNTS, "n_upper")}
@@ -173,39 +179,89 @@ def chi2_quantile(q: float, k: int) -> float:
 
 _P = len(FEATURES)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
-MODEL = "g string, rows long, mean array<double>, inverse array<double>"
+_LEAST = np.diag([s**2 for _, s in FEATURES])
+MODEL = "g string, start int, rows long, mean array<double>, scatter array<double>, inverse array<double>"
 
 
-def _model(mean: np.ndarray, scatter: np.ndarray, scale: float) -> tuple[list[float], list[float]]:
-    """Mean and the packed inverse of the scatter, whose diagonal has the least spreads added."""
-    least = np.array([s for _, s in FEATURES]) ** 2
-    inverse = np.linalg.inv(scatter * scale + np.diag(least))
-    return mean.tolist(), [float(inverse[i, j]) * (1 if i == j else 2) for i, j in _PAIRS]
+def _packed(m: np.ndarray) -> list[float]:
+    return [float(m[i, j]) for i, j in _PAIRS]
 
 
-def _update(frame: pd.DataFrame, keep: float, scale: float, by_distance: bool) -> pd.DataFrame:
-    """The model of one group from its bins (at most BINS rows): the nearest share, or all within a distance."""
-    frame = frame.sort_values("bin")
-    n = frame["n"].to_numpy(float)
-    rows = n.sum()
-    used = frame["bin"].to_numpy() <= keep if by_distance else np.concatenate([[0], np.cumsum(n)[:-1]]) < keep * rows
-    used[0] = True
-    total = n[used].sum()
-    mean = frame.loc[used, [f"s{i}" for i in range(_P)]].sum().to_numpy(float) / total
-    scatter = np.zeros((_P, _P))
-    for i, j in _PAIRS:
-        scatter[i, j] = scatter[j, i] = frame.loc[used, f"p{i}_{j}"].sum() / total - mean[i] * mean[j]
-    mean, inverse = _model(mean, scatter, scale)
-    return pd.DataFrame({"g": [frame["g"].iloc[0]], "rows": [int(rows)], "mean": [mean], "inverse": [inverse]})
+def _square(packed) -> np.ndarray:
+    m = np.zeros((_P, _P))
+    for x, (i, j) in zip(packed, _PAIRS, strict=True):
+        m[i, j] = m[j, i] = x
+    return m
 
 
-def _start(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        models = []
-        for q in f["q"]:
-            low, middle, high = np.array([list(x) for x in q], float).T
-            models.append(_model(middle, np.diag(((high - low) / 1.349) ** 2), 1.0))
-        yield pd.DataFrame({"g": f["g"], "rows": f["rows"], "mean": [m for m, _ in models], "inverse": [i for _, i in models]})
+def _inverse(scatter: np.ndarray) -> list[float]:
+    """The packed inverse of the scatter, whose diagonal has the least spreads added; off the diagonal twice."""
+    inverse = np.linalg.inv(scatter + _LEAST)
+    return [float(inverse[i, j]) * (1 if i == j else 2) for i, j in _PAIRS]
+
+
+def _frame(g: str, models: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """(MODEL) rows of (start, rows, mean, scatter)."""
+    return pd.DataFrame({
+        "g": g, "start": [m[0] for m in models], "rows": [m[1] for m in models], "mean": [m[2].tolist() for m in models],
+        "scatter": [_packed(m[3]) for m in models], "inverse": [_inverse(m[3]) for m in models]})
+
+
+_SUMS = ["n", *(f"s{i}" for i in range(_P)), *(f"p{i}_{j}" for i, j in _PAIRS)]
+
+
+def _moments(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from rows of _SUMS."""
+    total = sums.sum(axis=0)
+    mean = total[1 : 1 + _P] / total[0]
+    return mean, _square(total[1 + _P :] / total[0]) - np.outer(mean, mean)
+
+
+def _concentrated(frame: pd.DataFrame, half: float, scale: float) -> pd.DataFrame:
+    """The next model of each start of a group from its bins (at most BINS rows each): that of the nearest share."""
+    frame = frame.sort_values(["start", "bin"])
+    starts, sums, models = frame["start"].to_numpy(), frame[_SUMS].to_numpy(float), []
+    for start in np.unique(starts).tolist():
+        bins = sums[starts == start]
+        n = bins[:, 0]
+        mean, scatter = _moments(bins[np.concatenate([[0], np.cumsum(n)[:-1]]) < half * n.sum()])
+        models.append((start, int(n.sum()), mean, scatter * scale))
+    return _frame(frame["g"].iloc[0], models)
+
+
+def _least(frame: pd.DataFrame) -> pd.DataFrame:
+    """The start whose scatter has the least determinant; the first of equal ones."""
+    frame = frame.sort_values("start").reset_index(drop=True)
+    size = [np.linalg.slogdet(_square(x) + _LEAST)[1] for x in frame["scatter"]]
+    return frame.iloc[[int(np.argmin(np.round(size, 9)))]]
+
+
+def _reweighted(frame: pd.DataFrame, upto: int, scale: float) -> pd.DataFrame:
+    """The model of a group from its rows in bins up to ``upto``, or in its first bin."""
+    bins, sums = frame["bin"].to_numpy(), frame[_SUMS].to_numpy(float)
+    mean, scatter = _moments(sums[bins <= max(upto, bins.min())])
+    return _frame(frame["g"].iloc[0], [(int(frame["start"].iloc[0]), int(sums[:, 0].sum()), mean, scatter * scale)])
+
+
+def _quartiles(frame: pd.DataFrame) -> pd.DataFrame:
+    """Medians and quartile ranges of a group from its counts on the grid."""
+    middle, spread = np.zeros(_P), np.zeros(_P)
+    rows = frame.sort_values(["f", "at"])[["f", "at", "n"]].to_numpy(float)
+    for f in range(_P):
+        _, at, n = rows[rows[:, 0] == f].T
+        upto = np.cumsum(n)
+        at = at[np.minimum(np.searchsorted(upto, np.array([0.25, 0.5, 0.75]) * upto[-1]), len(upto) - 1)] / GRID
+        middle[f], spread[f] = at[1], (at[2] - at[0]) / 1.349
+    return _frame(frame["g"].iloc[0], [(0, 0, middle, np.diag(spread**2))])
+
+
+def _signs(frame: pd.DataFrame) -> pd.DataFrame:
+    """Three starts of a group from the sums of all its rows and of its rows' spatial signs; ``mean`` and ``scatter`` are the quartile start's."""
+    row = frame.iloc[0]
+    middle, spread = np.array(row["mean"]), np.sqrt(np.diag(_square(row["scatter"]) + _LEAST))
+    mean, whole = _moments(frame[_SUMS].to_numpy(float))
+    sign = _square([row[f"q{i}_{j}"] / row["n"] for i, j in _PAIRS]) * _P  # the trace of a sign matrix is one
+    return _frame(row["g"], [(0, int(row["n"]), middle, _square(row["scatter"])), (1, int(row["n"]), mean, whole), (2, int(row["n"]), middle, sign * np.outer(spread, spread))])
 
 
 def distance() -> Column:
@@ -225,49 +281,103 @@ def bin_of(d2: float) -> int:
     return max(0, min(BINS - 1, math.floor(16 * math.log2(d2 + 1e-4) + 220)))
 
 
-def _joined(rows: DataFrame, models: DataFrame, how: str) -> DataFrame:
+def _joined(rows: DataFrame, models: DataFrame, how: str, *columns: str) -> DataFrame:
+    """``rows`` with the models of their group ``g``.  Many models are dealt under salts, as one group may hold a third of all rows."""
+    models = models.select("g", *columns)
     if models.count() <= MAX_MODELS:
-        models = F.broadcast(models)
-    return rows.join(models.select("g", "mean", "inverse"), "g", how)
+        return rows.join(F.broadcast(models), "g", how)
+    salted = models.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("x0", "x1", "x4"), F.lit(SALTS)).cast("int")).join(salted, ["g", "salt"], how).drop("salt")
 
 
-def grouped(stats: DataFrame) -> DataFrame:
-    """Adds the group ``g``: language and source, the rest of the language, or the rest of all."""
+def group_names(lang: Column, source: Column) -> list[Column]:
+    """The groups of a row, from the widest: all rows, its language, its language and source."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
-    level = stats.groupBy("lang", "source").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n"))
-    level = level.withColumn("rest", F.when(F.col("n") < MIN_ROWS, F.col("n")).otherwise(0))
-    level = level.withColumn("of_lang", F.sum("rest").over(Window.partitionBy("lang")))
-    level = level.select(
-        F.col("lang").alias("l"), F.col("source").alias("s"),
-        F.when(F.col("n") >= MIN_ROWS, F.concat_ws("\x1f", name(F.col("lang")), name(F.col("source")))).when(F.col("of_lang") >= MIN_ROWS, name(F.col("lang"))).otherwise("").alias("g"))
-    return stats.join(level, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s")
+    return [F.lit(""), name(lang), F.concat_ws("\x1f", name(lang), name(source))]
 
 
-def fit(rows: DataFrame, half: float = HALF, steps: int = STEPS) -> DataFrame:
-    """(MODEL) the estimate of each group of ``rows`` (g, x0, ...)."""
-    quartiles = rows.groupBy("g").agg(F.count("*").alias("rows"), F.array(*(F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000) for i in range(_P))).alias("q"))
-    models = stored(quartiles.mapInPandas(_start, MODEL), "models")
-    inner = half / chi2_cdf(chi2_quantile(half, _P), _P + 2)  # makes the nearest part's scatter that of all
-    rest = 0.975
-    outer = rest / chi2_cdf(chi2_quantile(rest, _P), _P + 2)
-    sums = [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(_P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in _PAIRS)]
-    for step in range(steps + 1):
-        last = step == steps
-        bins = _joined(rows, models, "inner").withColumn("bin", distance_bin(distance())).groupBy("g", "bin").agg(*sums)
-        update = partial(_update, keep=bin_of(chi2_quantile(rest, _P)) if last else half, scale=outer if last else inner, by_distance=last)
-        after = stored(bins.groupBy("g").applyInPandas(update, MODEL), "models")
+def _sums() -> list[Column]:
+    return [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(_P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in _PAIRS)]
+
+
+def _binned(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """The sums of each distance bin under each model of a row's group."""
+    return _joined(rows, models, "inner", "start", "mean", "inverse").withColumn("bin", distance_bin(distance())).groupBy("g", "start", "bin").agg(*_sums())
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    grid = rows.select("g", F.posexplode(F.array(*(F.round(F.col(f"x{i}") * GRID).cast("int") for i in range(_P)))).alias("f", "at")).groupBy("g", "f", "at").agg(F.count("*").alias("n"))
+    middle = stored(grid.groupBy("g").applyInPandas(_quartiles, MODEL), "models")
+    at = _joined(rows, middle, "inner", "mean", "scatter")
+    spread = [F.sqrt(F.col("scatter")[_PAIRS.index((i, i))] + F.lit(float(_LEAST[i, i]))) for i in range(_P)]
+    at = at.select("*", *(((F.col(f"x{i}") - F.col("mean")[i]) / spread[i]).alias(f"z{i}") for i in range(_P)))
+    norm = F.greatest(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(_P)), F.lit(0.0)), F.lit(1e-12))
+    signs = [F.sum(F.col(f"z{i}") * F.col(f"z{j}") / norm).alias(f"q{i}_{j}") for i, j in _PAIRS]
+    sums = at.groupBy("g").agg(*_sums(), *signs, F.first("mean").alias("mean"), F.first("scatter").alias("scatter"))
+    models = stored(sums.groupBy("g").applyInPandas(_signs, MODEL), "models")
+    drop_stored(middle)
+    return models
+
+
+def concentrated(rows: DataFrame, half: float = HALF, steps: int = STEPS) -> DataFrame:
+    """(MODEL) for each group of ``rows`` (g, x0, ...) the mean and scatter of the HALF with the least determinant that the starts lead to."""
+    scale = half / chi2_cdf(chi2_quantile(half, _P), _P + 2)  # makes the nearest part's scatter that of all
+    models = _starts(rows)
+    for step in range(steps):
+        after = _binned(rows, models).groupBy("g").applyInPandas(partial(_concentrated, half=half, scale=scale), MODEL)
+        after = stored(after.groupBy("g").applyInPandas(_least, MODEL) if step == steps - 1 else after, "models")
         drop_stored(models)
         models = after
     return models
 
 
+def fit(rows: DataFrame, half: float = HALF, steps: int = STEPS) -> DataFrame:
+    """(MODEL) the reweighted estimate of each group of ``rows`` (g, x0, ...)."""
+    rest = 0.975
+    scale = rest / chi2_cdf(chi2_quantile(rest, _P), _P + 2)
+    models = concentrated(rows, half, steps)
+    final = stored(_binned(rows, models).groupBy("g").applyInPandas(partial(_reweighted, upto=bin_of(chi2_quantile(rest, _P)), scale=scale), MODEL), "models")
+    drop_stored(models)
+    return final
+
+
+def _drawn(rows: int, mean: np.ndarray, scatter: np.ndarray, wide_mean: np.ndarray, wide_scatter: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """A group's mean and scatter as if ``prior`` rows of the wider group had been seen in it."""
+    a = rows / (rows + prior)
+    gap = wide_mean - mean
+    return a * mean + (1 - a) * wide_mean, a * scatter + (1 - a) * wide_scatter + a * (1 - a) * np.outer(gap, gap)
+
+
+def _drawn_frames(frames: Iterator[pd.DataFrame], prior: float) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        out = []
+        for r in f.itertuples():
+            models = [(n, np.array(m), _square(s)) for n, m, s in ((r.rows0, r.mean0, r.scatter0), (r.rows1, r.mean1, r.scatter1), (r.rows2, r.mean2, r.scatter2))]
+            mean, scatter = models[0][1:]
+            for n, m, s in models[1:]:
+                mean, scatter = _drawn(n, m, s, mean, scatter, prior)
+            out.append(_frame(r.g, [(0, models[2][0], mean, scatter)]))
+        yield pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in MODEL.split(", ")})
+
+
+def drawn(models: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """(MODEL) the estimate of each language and source, drawn towards its language's and that towards all rows'."""
+    sep = "\x1f"
+    narrow = models.where(F.contains("g", F.lit(sep))).select("g", F.substring_index("g", sep, 1).alias("k"), *(F.col(c).alias(f"{c}2") for c in ("rows", "mean", "scatter")))
+    of_lang = models.where((F.col("g") != "") & ~F.contains("g", F.lit(sep))).select(F.col("g").alias("k"), *(F.col(c).alias(f"{c}1") for c in ("rows", "mean", "scatter")))
+    of_all = models.where("g = ''").select(*(F.col(c).alias(f"{c}0") for c in ("rows", "mean", "scatter")))
+    return narrow.join(of_lang, "k").crossJoin(F.broadcast(of_all)).mapInPandas(partial(_drawn_frames, prior=prior), MODEL)  # one row
+
+
 def assessed(docs: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, COUNTS, base_failed, kept, distance) of each row of ``docs``."""
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     stats = stored(statistics(docs).withColumn("base_failed", base), "stats")
-    rows = stored(grouped(stats), "grouped")
-    drop_stored(stats)
-    models = fit(rows.where("not base_failed")).where(F.col("rows") >= MIN_ROWS)
-    out = _joined(rows, models, "left").withColumn("distance", distance())
+    names = group_names(F.col("lang"), F.col("source"))
+    every = stats.where("not base_failed").select(F.explode(F.array(*names)).alias("g"), *(f"x{i}" for i in range(_P)))
+    wide = fit(every)
+    models = stored(drawn(wide), "models")
+    drop_stored(wide)
+    out = _joined(stats.withColumn("g", names[-1]), models, "left", "mean", "inverse").withColumn("distance", distance())
     fine = F.coalesce(F.col("distance") <= chi2_quantile(quantile, _P), F.lit(True))
     return out.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & fine).alias("kept"), "distance")

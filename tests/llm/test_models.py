@@ -1,6 +1,7 @@
 """Classifiers, the language model, counts, packing, mixing, shards and media against plain Python."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -171,6 +172,31 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert all(got[i] for i in range(500)) and not any(got[1000 + i] for i in range(60))
 
 
+def test_least_determinant_against_every_subset(spark):
+    """Of fourteen rows eleven are kept; the least determinant of all subsets of eleven is found, or nearly."""
+    names, near = [f"x{i}" for i in range(6)], 0
+    sets = {f"g{seed}": np.random.default_rng(seed).normal(0, 0.3, (14, 6)) + np.array([5, 5, 0.2, 0.2, 0.1, 0.1]) for seed in range(6)}
+    for x in sets.values():
+        x[:3, :2] += 6
+    rows = spark.createDataFrame([(g, *map(float, r)) for g, x in sets.items() for r in x], ["g", *names])
+    found = {r.g: r for r in quality.concentrated(rows).collect()}
+    scale = quality.HALF / quality.chi2_cdf(quality.chi2_quantile(quality.HALF, 6), 8)
+    size = lambda scatter: np.linalg.slogdet(scatter + quality._LEAST)[1]
+    for g, x in sets.items():
+        least = min(size(np.cov(x[list(c)].T, bias=True) * scale) for c in itertools.combinations(range(14), 11))
+        got = size(quality._square(found[g].scatter))
+        assert got - least < 0.3 and found[g].mean[0] < 6
+        near += abs(got - least) < 1e-6
+    assert near >= 3
+
+
+def test_a_small_group_borrows_from_a_large_one():
+    mean, scatter, wide = np.zeros(6), np.eye(6), np.full(6, 3.0)
+    for rows, share in ((0, 0.0), (200, 0.5), (10**9, 1.0)):
+        m, s = quality._drawn(rows, mean, scatter, wide, 2 * np.eye(6), 200.0)
+        assert m == pytest.approx((1 - share) * wide, abs=1e-5) and s[0, 0] == pytest.approx(share + 2 * (1 - share) + 9 * share * (1 - share), abs=1e-4)
+
+
 def test_chi_squared():
     assert quality.chi2_cdf(quality.chi2_quantile(0.975, 6), 6) == pytest.approx(0.975)
     assert quality.chi2_quantile(0.95, 2) == pytest.approx(-2 * math.log(0.05))
