@@ -8,11 +8,13 @@ hashes) and is given as components of linked documents, never as all pairs of a
 2. *Groups.*  Representatives meet under a few min-hash keys.  Keys with many of them are salted.
    A streaming pass over the sorted rows verifies each against at most LEADERS leading sets and
    keeps all exact links found; their components are the groups, in blocks of BLOCK members.
-3. *Matrix.*  A global order puts frequent shingles last (a fixed-size sketch of counts).  Each
-   representative gives its probing prefix; those rows, dealt by shingle, are the matrix of
-   shingle against group.  Rows of one shingle that all belong to one group need no work.
-   Others yield (query, group) where sizes and positions still allow a link: of two groups the one
-   with fewer rows of the shingle asks the other, so a large group doesn't ask for each stray copy.
+3. *Matrix.*  A global order puts frequent shingles last: tasks count those that several of their rows
+   have, and the FREQUENT most frequent make the order.  Each representative gives its probing prefix;
+   those rows, dealt by shingle, are the matrix of shingle against group.  Rows of one shingle that all
+   belong to one group need no work.  Others yield (query, group) where sizes and positions still allow
+   a link: of two groups the one with fewer members asks the other, so a large group doesn't ask for
+   each stray copy.  A shingle that so many rows may have in their prefix that one task would be long at
+   it is a square of cells of about CELL_ROWS rows by as many, and each cell a row of tasks' work alone.
 4. *Bound and open.*  For such a pair the overlap of the query with the block's shingle union
    is an upper bound for every member.  Only blocks whose bound reaches the need are opened
    and their members verified.
@@ -24,8 +26,9 @@ set; a link within a group changes nothing.  So leaving the latter unverified lo
 
 Edge cases: null or blank texts have the empty set and link with nothing; texts with fewer
 than ``n`` words are one shingle; repeated rows get the same values; a row without an id
-joins the component of an equal set that has one, else its component is null; other columns
-are ignored; an empty table gives an empty result.
+joins the component of an equal set that has one, else its component is null; rows that share an id but
+differ in text get the component of their own text, and where that id is the least of both texts' classes
+the links of both count for it; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,7 +50,10 @@ SALT_ROWS = 512  # representatives under one key and salt
 BLOCK = 64  # members of a block of the matrix
 LINKS = "u long, v long"
 QUERY_ROWS = 2048  # queries that meet one copy of a block
-SKETCH = 1 << 20  # counters of the frequency sketch (4 MB), fixed at every scale
+FREQUENT = 1 << 20  # shingles at most in the list of frequent ones (12 MB), fixed at every scale
+REPEATS = 4  # rows of a task that must have a shingle for it to be counted
+COUNTED = 4_000_000  # shingles a task counts before it forgets those met once
+CELL_ROWS = 4096  # rows of a shingle that are compared with as many in one cell
 
 _C, _D = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 _KEYS = tuple(np.uint64(x) for x in (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x71D67FFFEDA60000, 0x8CB92BA72F3D8DD7, 0x5851F42D4C957F2D))
@@ -80,15 +86,49 @@ def _summaries(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
 
 
 def _frequent(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Counts, by slot of the sketch, of shingles that two or more rows of a batch have."""
+    """Shingles that REPEATS or more rows of a task have, and how many."""
+    token, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
         sets = [s for s in shingle_sets(batch["text"], n) if len(s)]
         if not sets:
             continue
-        token, count = np.unique(np.concatenate(sets), return_counts=True)
-        token, count = token[count > 1], count[count > 1]
-        slot, at = np.unique(token & np.uint64(SKETCH - 1), return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(np.bincount(at, count, len(slot)).astype(np.int64))], ["slot", "count"])
+        fresh, times = np.unique(np.concatenate(sets), return_counts=True)
+        if len(token):
+            token, at = np.unique(np.concatenate([token, fresh]), return_inverse=True)
+            count = np.bincount(at, np.concatenate([count, times]), len(token)).astype(np.int64)
+        else:
+            token, count = fresh, times
+        if len(token) > COUNTED:
+            token, count = token[count > 1], count[count > 1]
+    often = count >= REPEATS
+    yield pa.RecordBatch.from_arrays([pa.array(signed(token[often])), pa.array(count[often])], ["token", "count"])
+
+
+def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, at most FREQUENT, sorted, and their counts."""
+    counted = stored(docs.select("text").mapInArrow(partial(_frequent, n=n), "token long, count long").groupBy("token").agg(F.sum("count").alias("count")), "frequent")
+    size = F.ceil(F.log2("count") * 8).cast("int")
+    least, held = 0, 0
+    for row in counted.groupBy(size.alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect():  # a few hundred rows
+        held += row.n
+        if held > FREQUENT:
+            least = row.size + 1
+            break
+    table = counted.where(size >= least).toArrow()
+    drop_stored(counted)
+    token = table["token"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], table["count"].to_numpy()[order]
+
+
+def _often(s: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How often each shingle was counted, 0 where it isn't in the list."""
+    token, count = order
+    if not len(token):
+        return np.zeros(len(s), np.int64)
+    at = np.searchsorted(token, s)
+    at[at == len(token)] = 0
+    return np.where(token[at] == s, count[at], 0)
 
 
 def _grouping(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -119,76 +159,94 @@ def indexing(n: np.ndarray | int, percent: int):
     return n - (2 * percent * n + 99 + percent) // (100 + percent) + 1
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, sketch) -> Iterator[pa.RecordBatch]:
-    """The probing prefix of each set in the global order: rare shingles first."""
-    seen = sketch.value
+def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, order) -> Iterator[pa.RecordBatch]:
+    """The probing prefix of each set in the global order: rare shingles first.
+
+    Cell 0 is a whole shingle.  A row of a shingle with cells is in band ``doc_id`` modulo their number; it is
+    held in the cells of its column and asks in those of its row (``role`` 1 and 2; 3 is both).
+    """
+    names = ["token", "cell", "doc_id", "grp", "members", "np", "role"]
     for batch in batches:
-        tokens, rows, places, sizes = [], [], [], []
+        tokens, rows, places, sizes, counts = [], [], [], [], []
         d1 = batch["d1"].to_numpy(zero_copy_only=False)
         for i, s in enumerate(shingle_sets(batch["text"], n)):
             if not len(s) or _digest(s)[0] != d1[i]:
                 continue
             keep = probing(len(s), percent)
-            often = seen[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-            order = np.argsort(often, kind="stable")[:keep] if often.any() else np.arange(keep)
-            tokens.append(s[order])
+            often = _often(s, order.value)
+            at = np.argsort(often, kind="stable")[:keep] if often.any() else np.arange(keep)
+            tokens.append(s[at])
             rows.append(np.full(keep, i))
             places.append(np.arange(keep, dtype=np.int64))
             sizes.append(np.full(keep, len(s), np.int64))
+            counts.append(often[at])
         if not tokens:
             continue
-        at = pa.array(np.concatenate(rows))
-        size_place = (np.concatenate(sizes) << 32) | np.concatenate(places)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(signed(np.concatenate(tokens))), batch["doc_id"].take(at), batch["grp"].take(at), pa.array(size_place)], ["token", "doc_id", "grp", "np"])
+        token, row, place, size, count = (np.concatenate(x) for x in (tokens, rows, places, sizes, counts))
+        doc = batch["doc_id"].to_numpy(zero_copy_only=False)[row]
+        bands = -(-count // CELL_ROWS)
+        one = np.flatnonzero(bands <= 1)
+        cell, source, role = [np.zeros(len(one), np.int64)], [one], [np.full(len(one), 3, np.int8)]
+        for i in np.flatnonzero(bands > 1).tolist():
+            k = int(bands[i])
+            band, each = int(mix(doc[i : i + 1].astype(np.uint64))[0] % np.uint64(k)), np.arange(k)
+            cell += [1 + band * k + each, 1 + each * k + band]  # asks along its row, is held down its column
+            source.append(np.full(2 * k, i))
+            role.append(np.repeat(np.array([2, 1], np.int8), k))
+        at, cell, role = np.concatenate(source), np.concatenate(cell), np.concatenate(role)
+        taken = pa.array(row[at])
+        cols = [pa.array(signed(token[at])), pa.array(cell), pa.array(doc[at]), batch["grp"].take(taken), batch["members"].take(taken), pa.array(((size << 32) | place)[at]), pa.array(role)]
+        yield pa.RecordBatch.from_arrays(cols, names)
+
+
+def _pairs(grp: np.ndarray, members: np.ndarray, doc: np.ndarray, size: np.ndarray, place: np.ndarray, role: np.ndarray, percent: int) -> list[np.ndarray]:
+    """(query, group) pairs that the rows of one cell, sorted by group, still allow."""
+    found = []
+    indexed = place < indexing(size, percent)
+    holds = np.flatnonzero(role & 1)
+    asks = np.flatnonzero(role & 2)
+    for a in range(0, len(asks), 256):
+        q = asks[a : a + 256, None]
+        asked = holds[(members[holds] >= members[q].min())]
+        less = (members[q] < members[asked]) | ((members[q] == members[asked]) & (grp[q] > grp[asked]))
+        small, large = np.minimum(size[q], size[asked]), np.maximum(size[q], size[asked])
+        most = np.minimum(size[q] - place[q], size[asked] - place[asked])
+        ok = less & ((indexed[q] & (size[q] == small)) | (indexed[asked] & (size[asked] == small)))
+        ok &= (small * 100 >= percent * large) & (most * (100 + percent) >= percent * (small + large))
+        i, j = np.nonzero(ok)
+        if len(i):
+            found.append(np.unique(np.stack([doc[q[i, 0]], grp[asked[j]]]), axis=1))
+    return found
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(query, group) pairs of different groups that a shingle's rows still allow; rows come sorted by shingle and group."""
+    """(query, group) pairs of different groups that a shingle's rows still allow; rows come sorted by shingle, cell and group."""
+    names = ("token", "cell", "grp", "members", "doc_id", "np", "role")
     left: list[np.ndarray] = []
 
-    def pairs(token, doc, grp, size, place):
-        found = []
-        edge = np.flatnonzero(token[1:] != token[:-1]) + 1
+    def result(cols):
+        token, cell, grp, members, doc, np_, role = cols
+        edge = np.flatnonzero((token[1:] != token[:-1]) | (cell[1:] != cell[:-1])) + 1
         first, last = np.concatenate([[0], edge]), np.concatenate([edge, [len(token)]])
-        mixed = grp[first] != grp[last - 1]  # sorted by group within a shingle
-        indexed = place < indexing(size, percent)
-        for a, b in zip(first[mixed].tolist(), last[mixed].tolist(), strict=True):
-            cut = np.flatnonzero(grp[a + 1 : b] != grp[a : b - 1]) + a + 1
-            starts, ends = np.concatenate([[a], cut]), np.concatenate([cut, [b]])
-            held = np.repeat(ends - starts, ends - starts)  # rows of the shingle's group at each row
-            for c, d in zip(starts.tolist(), ends.tolist(), strict=True):
-                asked = np.flatnonzero((held > d - c) | ((held == d - c) & (grp[a:b] < grp[c]))) + a
-                for e in range(c, d, 256) if len(asked) else ():
-                    q = np.arange(e, min(d, e + 256))[:, None]
-                    small, large = np.minimum(size[q], size[asked]), np.maximum(size[q], size[asked])
-                    most = np.minimum(size[q] - place[q], size[asked] - place[asked])
-                    ok = (indexed[q] & (size[q] == small)) | (indexed[asked] & (size[asked] == small))
-                    ok &= (small * 100 >= percent * large) & (most * (100 + percent) >= percent * (small + large))
-                    i, j = np.nonzero(ok)
-                    if len(i):
-                        found.append(np.unique(np.stack([doc[q[i, 0]], grp[asked[j]]]), axis=1))
-        return found
-
-    def result(found):
+        mixed = grp[first] != grp[last - 1]  # sorted by group within a cell
+        found = [x for a, b in zip(first[mixed].tolist(), last[mixed].tolist(), strict=True) for x in _pairs(grp[a:b], members[a:b], doc[a:b], np_[a:b] >> 32, np_[a:b] & 0xFFFFFFFF, role[a:b], percent)]
         if found:
             rows = np.unique(np.concatenate(found, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["doc_id", "grp"])
 
     for batch in batches:
-        cols = [batch[c].to_numpy(zero_copy_only=False) for c in ("token", "doc_id", "grp", "np")]
+        cols = [batch[c].to_numpy(zero_copy_only=False) for c in names]
         if left:
             cols = [np.concatenate(x) for x in zip(left, cols, strict=True)]
         if not len(cols[0]):
             continue
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        whole = (cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1])
+        cut = int(np.flatnonzero(whole)[-1]) + 1 if whole.any() else 0  # the last cell may go on in the next batch
         left = [x[cut:].copy() for x in cols]
         if cut:
-            token, doc, grp, np_ = (x[:cut] for x in cols)
-            yield from result(pairs(token, doc, grp, np_ >> 32, np_ & 0xFFFFFFFF))
+            yield from result([x[:cut] for x in cols])
     if left:
-        token, doc, grp, np_ = left
-        yield from result(pairs(token, doc, grp, np_ >> 32, np_ & 0xFFFFFFFF))
+        yield from result(left)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -241,16 +299,13 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     drop_stored(active)
     groups = stored(components(near), "groups")
 
-    sketch_rows = docs.select("text").mapInArrow(partial(_frequent, n=n), "slot int, count long").groupBy("slot").agg(F.sum("count").alias("count")).toArrow()
-    sketch = np.zeros(SKETCH, np.int64)
-    sketch[sketch_rows["slot"].to_numpy()] = sketch_rows["count"].to_numpy()
-    sketch = spark.sparkContext.broadcast(sketch.clip(0, 2**31 - 1).astype(np.int32))
-
+    order = spark.sparkContext.broadcast(frequent(docs, n))
+    sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("members")), "component").withColumnRenamed("node", "doc_id")
     placed = stored(
-        classes.select("doc_id", "d1").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "d1", F.coalesce("component", "doc_id").alias("grp")), "placed")
+        classes.select("doc_id", "d1").join(sized, "doc_id", "left").select("doc_id", "d1", F.coalesce("component", "doc_id").alias("grp"), F.coalesce("members", F.lit(1).cast("long")).alias("members")), "placed")
+    prefixes = docs.join(placed.hint("merge"), "doc_id").mapInArrow(partial(_prefixes, n=n, percent=percent, order=order), "token long, cell long, doc_id long, grp long, members long, np long, role byte")
     found = stored(
-        docs.join(placed.hint("merge"), "doc_id").mapInArrow(partial(_prefixes, n=n, percent=percent, sketch=sketch), "token long, doc_id long, grp long, np long")
-        .repartition("token").sortWithinPartitions("token", "grp").mapInArrow(partial(_candidates, percent=percent), "doc_id long, grp long").distinct(), "candidates")
+        prefixes.repartition("token", "cell").sortWithinPartitions("token", "cell", "grp").mapInArrow(partial(_candidates, percent=percent), "doc_id long, grp long").distinct(), "candidates")
 
     # A group folds to blocks of about BLOCK members.  First each query meets one block of the largest
     # group it was found with; what still lies in another component meets all blocks of its groups.
@@ -272,12 +327,12 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, one for each component: that with the least id.
 
-    Of several rows with this id one stays.  Rows without an id can't be told apart and stay.
+    Of several rows with this id that with the least text digest stays.  Rows without an id can't be told apart and stay.
     """
     joined = stored(ngram_components(docs, n, percent), "joined")
     first = joined.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     first = first.withColumnRenamed("doc_id", "_least").hint("merge")
     kept = docs.select(F.struct("*").alias("_doc")).join(first, F.col("_doc.doc_id").cast("long") == F.col("_least"))  # no name of docs can clash
     single = kept.where("_rows = 1").select("_doc.*")
-    several = kept.where("_rows > 1").dropDuplicates(["_least"]).select("_doc.*")
+    several = kept.where("_rows > 1").groupBy("_least").agg(F.min_by("_doc", F.coalesce(F.md5(F.col("_doc.text").cast("binary")), F.lit(""))).alias("_doc")).select("_doc.*")
     return single.unionByName(several).unionByName(docs.where("doc_id is null"))

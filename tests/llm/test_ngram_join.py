@@ -38,10 +38,10 @@ def brute(rows, n, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("seed", "percent"), [(1, 80), (2, 60), (3, 90)])
-def test_components_equal_brute_force(spark, monkeypatch, seed, percent):
+@pytest.mark.parametrize(("seed", "percent", "bounds"), [(1, 80, {}), (2, 60, {"REPEATS": 1, "CELL_ROWS": 2}), (3, 90, {"REPEATS": 2, "FREQUENT": 40, "CELL_ROWS": 3}), (4, 80, {"REPEATS": 2, "COUNTED": 20, "CELL_ROWS": 1})])
+def test_components_equal_brute_force(spark, monkeypatch, seed, percent, bounds):
     """Copies edited again and again, a shared passage, short texts; bounds so small that every path is taken."""
-    for name, value in (("SALT_ROWS", 5), ("BLOCK", 3), ("QUERY_ROWS", 2), ("LEADERS", 3), ("CENTRES", 1)):
+    for name, value in (("SALT_ROWS", 5), ("BLOCK", 3), ("QUERY_ROWS", 2), ("LEADERS", 3), ("CENTRES", 1), *bounds.items()):
         monkeypatch.setattr(nj, name, value)
     rng = random.Random(seed)
     word = lambda: f"w{rng.randrange(400)}"
@@ -59,6 +59,19 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 5, percent)
 
 
+def test_frequent_shingles(spark, monkeypatch):
+    """Whole tasks are counted, not batches, and the list keeps the most frequent."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    rows = [(i, f"a b c d e x{i} y{i} z{i} u{i} v{i}" + (" k l m n o" if i % 2 else "")) for i in range(40)]
+    docs = build(spark, [(i, t, "en", "s") for i, t in rows]).coalesce(1)
+    token, count = nj.frequent(docs, 5)
+    assert sorted(count.tolist()) == [20, 40] and (token[1:] > token[:-1]).all()
+    monkeypatch.setattr(nj, "FREQUENT", 1)
+    assert nj.frequent(docs, 5)[1].tolist() == [40]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert nj.frequent(docs.where("false"), 5)[1].tolist() == []
+
+
 def test_threshold_is_exact(spark):
     # ten shingles against nine of them and one other: 9 / 11 links at 80, 8 / 12 does not
     base = [f"a{i}" for i in range(14)]
@@ -79,3 +92,9 @@ def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (7, 8)], "u long, v long")
     assert {r.component for r in components(edges).collect()} == {0}
     assert components(edges.where("false")).count() == 0
+
+
+def test_one_of_each_is_the_same_however_rows_are_dealt(spark):
+    rows = [(1, "a b c d e f", "en", "s"), (1, "a b c d e f", "de", "s"), (2, "a b c d e f", "en", "s"), (3, "p q r s t", "en", "s"), (3, "u v w x y", "en", "s"), (4, None, "en", "s"), (None, "a b c d e f", "en", "s")]
+    kept = [sorted((r.doc_id or 0, r.text or "") for r in nj.one_of_each(build(spark, of)).collect()) for of in (rows, rows[::-1])]
+    assert kept[0] == kept[1] and [i for i, _ in kept[0]] == [0, 1, 3, 4]
