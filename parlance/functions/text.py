@@ -42,22 +42,39 @@ def tokens(text: Column) -> Column:
 
 def shingle_set(text: Column, n: int = 3) -> Column:
     """Distinct word n-grams; a shorter text is one shingle, a blank one none."""
-    t = tokens(text)
-    grams = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))
-    return F.when(F.size(t) == 0, F.array().cast("array<string>")).when(F.size(t) < n, F.array(F.array_join(t, " "))).otherwise(F.array_distinct(grams))
+
+    def grams(t: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) == 0, F.array().cast("array<string>")).when(F.size(t) < n, F.array(F.array_join(t, " "))).otherwise(F.array_distinct(each))
+
+    return F.transform(F.array(tokens(text)), grams)[0]  # a list of one, so that the tokens are computed once
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two arrays taken as sets; 0 where either is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / F.size(F.array_union(a, b)))
+
+    def of(x: Column) -> Column:
+        both = F.size(F.array_intersect(x["a"], x["b"]))
+        return F.when((F.size(x["a"]) == 0) | (F.size(x["b"]) == 0), F.lit(0.0)).otherwise(both / F.size(F.array_union(x["a"], x["b"])))
+
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), of)[0]
 
 
 def echoes(reply: Column, source: Column, n: int = 6) -> Column:
     """Whether any n-token window of ``source`` stands in ``reply``, ignoring case."""
-    t = tokens(F.lower(source))
-    windows = F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return F.exists(windows, lambda w: F.contains(F.lower(reply), w))
+    def grams(t: Column, n: int, first: int = 1, last: int = 0) -> Column:
+        """Joined runs of n tokens that start at ``first`` or later and end ``last`` tokens before the end or earlier."""
+        upto = F.size(t) - (n - 1) - last
+        return F.when(upto >= first, F.transform(F.sequence(F.lit(first), F.greatest(upto, F.lit(first))), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def found(x: Column) -> Column:
+        # a window's inner words stand in the reply as whole words, so texts that share no run of them need no search
+        shared = F.arrays_overlap(grams(x["source"], n - 2, 2, 1), grams(x["words"], n - 2))
+        return shared & F.exists(grams(x["source"], n), lambda w: F.contains(x["reply"], w))
+
+    low = F.lower(reply)
+    once = F.array(F.struct(tokens(F.lower(source)).alias("source"), F.split(low, " ").alias("words"), low.alias("reply")))
+    return F.coalesce(F.exists(once, found), F.lit(False))  # a list of one, so that each part is computed once
 
 
 def first_match(text: Column, families: dict[str, str], otherwise: str) -> Column:

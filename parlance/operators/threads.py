@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import stored
+from ..sources.tables import discard, stored
 
 MAX_JUMPS = 63  # doubling steps, so threads up to 2**63 deep
 
@@ -27,9 +27,10 @@ def thread_roots(messages: DataFrame) -> DataFrame:
     for _ in range(MAX_JUMPS):
         further = now.select(F.col("id").alias("at"), F.col("root").alias("to"))
         after = stored(now.join(further, F.col("root") == F.col("at")).select("id", F.col("to").alias("root"), (F.col("to") != F.col("root")).alias("moved")), "pointers")
-        now = after.select("id", "root")
+        discard(now)
+        now = after
         if after.where("moved").isEmpty():
-            return now
+            return now.select("id", "root")
     raise RuntimeError("the reply graph has a cycle")
 
 
@@ -64,6 +65,11 @@ def opener_pairs(frame: DataFrame, splits: tuple[tuple[str, str, str], ...]) ->
     return openers.join(first_replies(frame), "thread", "left").withColumn("split", split_of(F.col("created_at"), splits))
 
 
+def straddling(rows: DataFrame, group: str) -> DataFrame:
+    """(group, splits) of groups whose rows are in more than one split."""
+    return rows.groupBy(group).agg(F.count_distinct("split").alias("splits")).where("splits > 1")
+
+
 def missing_either_way(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys that only one of two tables has, and which."""
     left, right = a.select(key).distinct().withColumn("in_a", F.lit(True)), b.select(key).distinct().withColumn("in_b", F.lit(True))

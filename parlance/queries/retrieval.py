@@ -9,9 +9,10 @@ from ..functions.stats import rate
 from ..lexicon import FAMILIES
 from ..operators import clusters, retrieval as op
 from ..registry import query
-from ..sources.bindings import documents
-from ..sources.tables import table
-from .text import sql_has
+from ..sources.bindings import documents, with_ctes
+from ..sources.tables import stored, table
+from .text import _STRIPPED, sql_has
+from .threads import pairs
 
 K = 3
 
@@ -34,8 +35,8 @@ def sql_idf(tf: str, n: str, least: int) -> str:
 _INDEX = f"src AS (SELECT doc_id AS id, text FROM documents), {sql_terms('dt', 'src')}, idf AS {sql_idf('dt', '(SELECT count(*) FROM src)', 2)}, {sql_weights('dw', 'dt', 'idf')}"
 
 
-def sql_search(queries: str, top: int, where: str = "") -> str:
-    return f"""{_INDEX}, qs AS ({queries}), {sql_terms('qt', 'qs')}, {sql_weights('qw', 'qt', 'idf')},
+def sql_search(queries: str, top: int, where: str = "", index: str | None = None) -> str:
+    return f"""{index or _INDEX}, qs AS ({queries}), {sql_terms('qt', 'qs')}, {sql_weights('qw', 'qt', 'idf')},
     scored AS (SELECT qw.id AS q, dw.id AS id, round(sum(qw.w * dw.w), 6) AS cosine FROM qw JOIN dw USING (term) {where} GROUP BY qw.id, dw.id),
     hits AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, id) AS place FROM scored QUALIFY place <= {top})"""
 
@@ -53,19 +54,34 @@ def tfidf_weights(spark, sf_dir):
 
 
 _BENCH = "SELECT item_id AS id, text FROM benchmark"
-_GUARDED = f"""{sql_search(_BENCH, 40)}, g AS (SELECT h.*, CASE WHEN h.id = q THEN 'self' WHEN source = 'src' || (q % 20) THEN 'customer' WHEN h.id // 10 = q THEN 'thread' WHEN cosine >= 0.9 THEN 'near_dup' ELSE '' END AS guard
-      FROM hits h JOIN documents d ON d.doc_id = h.id),
+
+
+def sql_shingled(name: str, source: str) -> str:
+    """Common table expression with (id, sh): the distinct three-word shingles of ``source`` (id, text)."""
+    return f"""{name}_t AS (SELECT id, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS tk FROM ({source})),
+    {name} AS (SELECT id, list_distinct(CASE WHEN len(tk) = 0 THEN [] WHEN len(tk) < 3 THEN [array_to_string(tk, ' ')] ELSE list_transform(range(1, len(tk) - 1), lambda i: tk[i] || ' ' || tk[i + 1] || ' ' || tk[i + 2]) END) AS sh FROM {name}_t)"""
+
+
+def sql_near(a: str, b: str) -> str:
+    """Whether two lists of shingles have a similarity of 0.8."""
+    return f"(len(list_intersect({a}, {b})) > 0 AND len(list_intersect({a}, {b})) >= 0.8 * len(list_distinct(list_concat({a}, {b}))))"
+
+
+_GUARDED = f"""{sql_search(_BENCH, 40)}, {sql_shingled('qsh', 'SELECT id, text FROM qs')}, {sql_shingled('hsh', 'SELECT doc_id AS id, text FROM documents WHERE doc_id IN (SELECT id FROM hits)')},
+    g AS (SELECT h.*, CASE WHEN h.id = h.q THEN 'self' WHEN source = 'src' || (h.q % 20) THEN 'customer' WHEN h.id // 10 = h.q THEN 'thread' WHEN {sql_near('qsh.sh', 'hsh.sh')} THEN 'near_dup' ELSE '' END AS guard
+      FROM hits h JOIN documents d ON d.doc_id = h.id JOIN hsh ON hsh.id = h.id JOIN qsh ON qsh.id = h.q),
     seen AS (SELECT * FROM (SELECT *, coalesce(count(*) FILTER (WHERE guard = '') OVER (PARTITION BY q ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS passed FROM g) WHERE passed < {K})"""
 
 
 def _hits(spark, sf_dir):
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    hits = op.search(queries, _index(spark, sf_dir))
-    return hits.join(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "source"), "id")
+    hits = op.search(queries, _index(spark, sf_dir), top=op.oversample(K))
+    texts = hits.join(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", "text"), "id").join(queries.select(F.col("id").alias("q"), F.col("text").alias("asked")), "q")
+    return texts.select("q", "id", "cosine", "place", "source", op.near_duplicate(F.col("asked"), F.col("text")).alias("near"))
 
 
 def _guarded(hits):
-    guards = {"self": F.col("id") == F.col("q"), "customer": F.col("source") == F.concat(F.lit("src"), (F.col("q") % 20).cast("string")), "thread": F.floor(F.col("id") / 10) == F.col("q"), "near_dup": F.col("cosine") >= 0.9}
+    guards = {"self": F.col("id") == F.col("q"), "customer": F.col("source") == F.concat(F.lit("src"), (F.col("q") % 20).cast("string")), "thread": F.floor(F.col("id") / 10) == F.col("q"), "near_dup": F.col("near")}
     return op.guarded(hits, guards, K)
 
 
@@ -84,13 +100,11 @@ def guard_counts(spark, sf_dir):
            round(min(c), 6) AS low, round(quantile_cont(c, 0.1), 6) AS p10, round(quantile_cont(c, 0.5), 6) AS p50, round(quantile_cont(c, 0.9), 6) AS p90 FROM best""")
 def retrieval_audit(spark, sf_dir):
     """Blocked hits with guards, leaks without them, and the spread of the best remaining similarity."""
-    from ..sources.tables import stored
-
     hits = stored(_hits(spark, sf_dir), "hits")
     seen = _guarded(hits)
     best = seen.where("guard = ''").groupBy("q").agg(F.max("cosine").alias("c"))
     p = lambda x: F.round(F.percentile("c", x), 6)
-    all_guards = op.guarded(hits.where(F.col("place") <= K), {"any": (F.col("id") == F.col("q")) | (F.col("source") == F.concat(F.lit("src"), (F.col("q") % 20).cast("string"))) | (F.floor(F.col("id") / 10) == F.col("q")) | (F.col("cosine") >= 0.9)}, K + 1)
+    all_guards = op.guarded(hits.where(F.col("place") <= K), {"any": (F.col("id") == F.col("q")) | (F.col("source") == F.concat(F.lit("src"), (F.col("q") % 20).cast("string"))) | (F.floor(F.col("id") / 10) == F.col("q")) | F.col("near")}, K + 1)
     one = best.agg(F.count("*").alias("answered"), F.round(F.min("c"), 6).alias("low"), p(0.1).alias("p10"), p(0.5).alias("p50"), p(0.9).alias("p90"))
     return one.crossJoin(seen.agg(F.count_if(F.col("guard") != "").alias("blocked"))).crossJoin(all_guards.agg(F.count_if(F.col("guard") != "").alias("unguarded_leaks")))
 
@@ -112,7 +126,7 @@ def nn1_cosine(spark, sf_dir):
     return _nearest(spark, sf_dir).select("q", "id", "cosine")
 
 
-_PROBE = f"""WITH {_NEAREST}, two AS (SELECT q AS key, substr(a.text, 1, 300) AS l, substr(b.text, 1, 300) AS r, cosine, a.text = b.text AS same FROM hits JOIN documents a ON a.doc_id = q JOIN documents b ON b.doc_id = hits.id),
+_PROBE = f"""WITH {_NEAREST}, two AS (SELECT q AS key, a.text AS l, b.text AS r, cosine, a.text = b.text AS same FROM hits JOIN documents a ON a.doc_id = q JOIN documents b ON b.doc_id = hits.id),
     both_ AS (SELECT 'l' || key AS id, l AS text FROM two UNION ALL SELECT 'r' || key, r FROM two), {sql_terms('bt', 'both_')}, bi AS {sql_idf('bt', '(SELECT count(*) FROM both_)', 1)}, {sql_weights('bw', 'bt', 'bi')},
     dots AS (SELECT substr(x.id, 2) AS key, sum(x.w * y.w) AS c FROM bw x JOIN bw y ON x.term = y.term AND x.id = 'l' || substr(x.id, 2) AND y.id = 'r' || substr(x.id, 2) GROUP BY x.id)
     SELECT count(*) AS n, round(avg(CAST(cosine >= 0.9 AS DOUBLE)), 6) AS high_share, round(avg(CAST(same AS DOUBLE)), 6) AS same_share, round(median(cosine), 6) AS median_cosine,
@@ -123,16 +137,66 @@ _PROBE = f"""WITH {_NEAREST}, two AS (SELECT q AS key, substr(a.text, 1, 300) AS
 def retrieval_probe(spark, sf_dir):
     d = documents(spark, sf_dir)
     near = _nearest(spark, sf_dir).join(d.select(F.col("doc_id").alias("q"), F.col("text").alias("a")), "q").join(d.select(F.col("doc_id").alias("id"), F.col("text").alias("b")), "id")
-    from ..sources.tables import stored
-
     near = stored(near, "nearest")
-    replies = op.rowwise_cosine(near.select(F.col("q").alias("key"), F.substring("a", 1, 300).alias("left"), F.substring("b", 1, 300).alias("right"))).withColumnRenamed("cosine", "reply_cosine")
+    replies = op.rowwise_cosine(near.select(F.col("q").alias("key"), F.col("a").alias("left"), F.col("b").alias("right"))).withColumnRenamed("cosine", "reply_cosine")
     j = near.join(replies, near.q == replies.key)
     return j.agg(
         F.count("*").alias("n"), F.round(F.avg((F.col("cosine") >= 0.9).cast("double")), 6).alias("high_share"), F.round(F.avg((F.col("a") == F.col("b")).cast("double")), 6).alias("same_share"),
         F.round(F.median("cosine"), 6).alias("median_cosine"), F.round(F.median("reply_cosine"), 6).alias("median_reply_cosine"))
 
 
+# ---------------------------------------------------------------- evidence from answered openers
+
+_CORPUS = f"""corpus AS (SELECT * FROM (SELECT *, {_STRIPPED} AS clean FROM pairs WHERE split = 'train' AND reply IS NOT NULL) WHERE clean <> ''),
+    asked AS (SELECT id, thread, author, text, {_STRIPPED} AS clean FROM pairs WHERE split <> 'train')"""
+_CORPUS_INDEX = f"src AS (SELECT id, clean AS text FROM corpus), {sql_terms('dt', 'src')}, idf AS {sql_idf('dt', '(SELECT count(*) FROM src)', 2)}, {sql_weights('dw', 'dt', 'idf')}"
+_EVIDENCE = f"""
+    , {_CORPUS}, {sql_search("SELECT id, clean AS text FROM asked", 40, index=_CORPUS_INDEX)}, {sql_shingled('qsh', 'SELECT id, clean AS text FROM asked')}, {sql_shingled('hsh', 'SELECT id, clean AS text FROM corpus')},
+    g AS (SELECT h.q, h.id, h.cosine, h.place, c.text AS opener, c.reply, CASE WHEN h.id = h.q THEN 'self' WHEN c.author = a.author THEN 'customer' WHEN c.thread = a.thread THEN 'thread' WHEN {sql_near('qsh.sh', 'hsh.sh')} THEN 'near_dup' ELSE '' END AS guard
+          FROM hits h JOIN corpus c ON c.id = h.id JOIN asked a ON a.id = h.q JOIN qsh ON qsh.id = h.q JOIN hsh ON hsh.id = h.id),
+    seen AS (SELECT * FROM (SELECT *, coalesce(count(*) FILTER (WHERE guard = '') OVER (PARTITION BY q ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS passed FROM g) WHERE passed < {K})"""
+
+
+def _evidence(spark, sf_dir):
+    """(asked, hits): later openers, and for each the answered training openers looked at, with the guard that blocks them.
+
+    The guards of an opener, its author, thread and own id, are columns of its row: the key that a search must exclude.
+    """
+    p = stored(pairs(spark, sf_dir), "pairs")
+    corpus = op.answered(p).select("id", "author", "thread", "clean", F.col("text").alias("opener"), "reply")
+    asked = p.where("split <> 'train'").select(F.col("id").alias("q"), F.col("author").alias("of_author"), F.col("thread").alias("of_thread"), "text", t.stripped(F.col("text")).alias("asked"))
+    hits = op.search(asked.select(F.col("q").alias("id"), F.col("asked").alias("text")), corpus.select("id", F.col("clean").alias("text")), top=op.oversample(K))
+    known = hits.join(corpus, "id").join(asked.drop("text"), "q")
+    guards = {"self": F.col("id") == F.col("q"), "customer": F.col("author") == F.col("of_author"), "thread": F.col("thread") == F.col("of_thread"), "near_dup": op.near_duplicate(F.col("asked"), F.col("clean"))}
+    return asked, op.guarded(known, guards, K)
+
+
+@query(with_ctes(f", {_CORPUS} SELECT id, thread, author, clean, reply FROM corpus", "pairs"))
+def retrieval_corpus(spark, sf_dir):
+    """Answered openers of the training split: nothing later may be cited."""
+    return op.answered(pairs(spark, sf_dir)).select("id", "thread", "author", "clean", "reply")
+
+
+@query(with_ctes(_EVIDENCE + " SELECT q, id, cosine, place FROM seen WHERE guard = ''", "pairs"))
+def evidence_topk(spark, sf_dir):
+    return _evidence(spark, sf_dir)[1].where("guard = ''").select("q", "id", "cosine", "place")
+
+
+@query(with_ctes(_EVIDENCE + " SELECT guard, count(*) AS n FROM seen GROUP BY guard", "pairs"))
+def evidence_guards(spark, sf_dir):
+    return _evidence(spark, sf_dir)[1].groupBy("guard").agg(F.count("*").alias("n"))
+
+
+@query(with_ctes(_EVIDENCE + f""", kept AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY place) AS n FROM seen WHERE guard = ''),
+    cases AS (SELECT q, string_agg('Case ' || n || chr(10) || 'customer: ' || opener || chr(10) || 'answer: ' || reply, chr(10) || chr(10) ORDER BY n) AS cases FROM kept WHERE n <= {K} GROUP BY q)
+    SELECT id AS q, md5('Answer the message with these cases alone.' || chr(10) || chr(10) || coalesce(cases, '(no earlier case is similar)') || chr(10) || chr(10) || 'Message:' || chr(10) || text) AS prompt
+    FROM asked LEFT JOIN cases ON cases.q = asked.id""", "pairs"))
+def evidence_prompts(spark, sf_dir):
+    asked, hits = _evidence(spark, sf_dir)
+    prompts = op.evidence_prompt(asked, op.evidence(hits.where("guard = ''"), K))
+    return prompts.select("q", F.md5("prompt").alias("prompt"))
+
+
 @query()
 def kmeans_scan(spark, sf_dir):
     return clusters.kmeans_scan(table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("v")), (4, 8))

@@ -32,11 +32,7 @@ def dedup_chain(spark, sf_dir):
 
 @query(with_ctes(_CHAIN + " SELECT * FROM (VALUES ('start', (SELECT count(*) FROM p)), ('thread', (SELECT count(*) FROM a)), ('author', (SELECT count(*) FROM b)), ('clean', (SELECT count(*) FROM c))) t(step, rows)", "pairs"))
 def dedup_trace(spark, sf_dir):
-    start, steps = _chain(spark, sf_dir)
-    out = start.agg(F.lit("start").alias("step"), F.count("*").alias("rows"))
-    for name, df in steps:
-        out = out.unionByName(df.agg(F.lit(name).alias("step"), F.count("*").alias("rows")))
-    return out
+    return dedup.traced(_chain(spark, sf_dir)[0], [(k, k, None) for k in ("thread", "author", "clean")], "id")
 
 
 def _docs(spark, sf_dir):

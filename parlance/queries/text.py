@@ -48,11 +48,9 @@ SHINGLE_CTE = r"""toks AS (SELECT id, CASE WHEN s = '' THEN [] ELSE string_split
 
 @query(f"WITH src AS (SELECT doc_id AS id, text FROM documents), {SHINGLE_CTE} SELECT id AS doc_id, count(*) AS n, md5(string_agg(md5(g), '' ORDER BY md5(g))) AS digest FROM sh GROUP BY id")
 def shingles(spark, sf_dir):
-    from ..operators.dedup import shingle_rows
-
-    rows = shingle_rows(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), 3)
-    h = F.md5("shingle")
-    return rows.groupBy("id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list(h)), "")).alias("digest")).withColumnRenamed("id", "doc_id")
+    """The distinct shingles of each row, made and counted within the row."""
+    sets = documents(spark, sf_dir).select("doc_id", t.shingle_set(F.col("text")).alias("s")).where("size(s) > 0")
+    return sets.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join(F.array_sort(F.transform("s", F.md5)), "")).alias("digest"))
 
 
 @query("SELECT doc_id, len(list_filter(string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' '), lambda x: x <> '')) AS n_tokens, len(list_filter(string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' '), lambda x: x <> '')) <= 6 AS is_short FROM documents")
@@ -120,8 +118,8 @@ def pii_flags(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.col("text").rlike(PII).alias("has_pii"), F.regexp_count("text", F.lit(PII)).cast("long").alias("n_pii"))
 
 
-@query("""SELECT doc_id, d AS defect, md5(CASE d WHEN 'wrong_intent' THEN other WHEN 'fabricated_fact' THEN text || ' Your refund of 47.30 was processed on 12 March.'
-            WHEN 'missing_escalation' THEN 'Thanks! That should sort itself out shortly.' ELSE 'Honestly, this is user error. ' || text END) AS reply
+@query("""SELECT doc_id, d AS defect, md5(CASE d WHEN 'wrong_intent' THEN other WHEN 'fabricated_fact' THEN text || ' The sum of 83.10 went back to your card last Tuesday.'
+            WHEN 'missing_escalation' THEN 'All good, nothing more is needed from you.' ELSE 'You should have read the manual first. ' || text END) AS reply
           FROM (SELECT doc_id, text, coalesce(lead(text) OVER (PARTITION BY doc_id % 64 ORDER BY doc_id), first_value(text) OVER (PARTITION BY doc_id % 64 ORDER BY doc_id)) AS other FROM documents)
           CROSS JOIN (VALUES ('wrong_intent'), ('fabricated_fact'), ('missing_escalation'), ('hostile_tone')) k(d)""")
 def corruption_probes(spark, sf_dir):

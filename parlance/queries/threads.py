@@ -70,9 +70,14 @@ def train_openers(spark, sf_dir):
     return p.join(own, "thread").select("id", "text", "reply", (F.octet_length("reply") > 200).alias("long_reply"))
 
 
-@query(with_ctes("SELECT thread, count(DISTINCT split) AS splits FROM pairs GROUP BY thread HAVING count(DISTINCT split) > 1", "pairs"))
+@query("""SELECT user_id, count(DISTINCT split) AS splits FROM (SELECT user_id, CASE WHEN ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-15' THEN 'train'
+          WHEN ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-22' THEN 'dev' WHEN ts >= TIMESTAMP '2024-01-22' AND ts < TIMESTAMP '2024-01-29' THEN 'test' ELSE 'outside' END AS split FROM events)
+          GROUP BY user_id HAVING count(DISTINCT split) > 1""")
 def straddle_check(spark, sf_dir):
-    return pairs(spark, sf_dir).groupBy("thread").agg(F.count_distinct("split").alias("splits")).where("splits > 1")
+    """Groups that lie in more than one split.  Openers of one thread can't, so the check runs over users' events."""
+    from ..sources.tables import table
+
+    return op.straddling(table(spark, sf_dir, "events").withColumn("split", op.split_of(F.col("ts"), SPLITS)), "user_id")
 
 
 @query(with_ctes("""
@@ -82,13 +87,15 @@ def straddle_check(spark, sf_dir):
     SELECT * FROM (VALUES ('start', (SELECT count(*) FROM a)), ('thread', (SELECT count(*) FROM b)), ('customer', (SELECT count(*) FROM c)), ('text', (SELECT count(*) FROM d))) t(step, rows)""", "pairs"))
 def exclusion_trace(spark, sf_dir):
     """Rows left after each of three exclusions against the training split."""
-    p = pairs(spark, sf_dir)
+    from ..operators.dedup import traced
+    from ..sources.tables import stored
+
+    p = stored(pairs(spark, sf_dir).select("id", "thread", "author", "text", "split"), "pairs")
     train, rest = p.where("split = 'train'"), p.where("split <> 'train'")
-    out = rest.agg(F.lit("start").alias("step"), F.count("*").alias("rows"))
-    for name, key in (("thread", "thread"), ("customer", "author"), ("text", "text")):
-        rest = rest.join(train.select(key).distinct(), key, "left_anti")
-        out = out.unionByName(rest.agg(F.lit(name).alias("step"), F.count("*").alias("rows")))
-    return out
+    steps = (("thread", "thread"), ("customer", "author"), ("text", "text"))
+    for name, key in steps:
+        rest = rest.join(train.select(key).distinct().withColumn(f"in_{name}", F.lit(True)), key, "left")
+    return traced(rest, [(name, None, F.col(f"in_{name}").isNull()) for name, _ in steps], "id")
 
 
 @query(with_ctes("""

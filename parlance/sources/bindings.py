@@ -14,11 +14,12 @@ SPLITS = (("train", "2024-01-01", "2024-01-15"), ("dev", "2024-01-15", "2024-01-
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as messages; some are left out, so that some parents dangle."""
-    c = table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")).where("id % 17 <> 0")
+    """Conversations as messages; the parents of some are ids that no message has, so that they dangle."""
+    c = table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    parent = F.when(F.col("id") % 17 == 0, -F.col("id")).otherwise(F.col("id") - 1)
     minutes = (F.col("conv_id") * 7 % 720) * 60 + F.col("turn") * (5 + F.col("conv_id") % 7)
     return c.select(
-        "id", F.when(F.col("turn") > 0, F.col("id") - 1).alias("parent"), (F.col("role") == "user").alias("inbound"),
+        "id", F.when(F.col("turn") > 0, parent).alias("parent"), (F.col("role") == "user").alias("inbound"),
         F.when(F.col("role") == "user", F.concat(F.lit("c"), (F.col("conv_id") % 40).cast("string"))).otherwise(F.concat(F.lit("b"), (F.col("conv_id") % 5).cast("string"))).alias("author"),
         (F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"), F.lit(0))).alias("created_at"), "text")
 
@@ -61,10 +62,10 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CTE = {
     "messages": """messages AS (
-        SELECT id, CASE WHEN turn > 0 THEN id - 1 END AS parent, role = 'user' AS inbound,
+        SELECT id, CASE WHEN turn > 0 THEN CASE WHEN id % 17 = 0 THEN -id ELSE id - 1 END END AS parent, role = 'user' AS inbound,
                CASE WHEN role = 'user' THEN 'c' || (conv_id % 40) ELSE 'b' || (conv_id % 5) END AS author,
                TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((conv_id * 7 % 720) * 60 + turn * (5 + conv_id % 7) AS INTEGER)) AS created_at, text
-        FROM (SELECT *, conv_id * 1000 + turn AS id FROM conversations) WHERE id % 17 <> 0)""",
+        FROM (SELECT *, conv_id * 1000 + turn AS id FROM conversations))""",
     "resolved": """resolved AS (
         SELECT m.*, p.id AS up FROM messages m LEFT JOIN (SELECT id FROM messages) p ON m.parent = p.id)""",
     "roots": """roots AS (

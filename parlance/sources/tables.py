@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,14 +37,70 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the folder all nodes share and reads it back, which cuts its lineage."""
-    spark = df.sparkSession
+    path = f"{shared_folder(df.sparkSession)}/parlance/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder takes its place where driver and executors are one process, else its absence is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
         root = f"file://{tempfile.mkdtemp(prefix='parlance-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/parlance/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return root.rstrip("/")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables made by ``stored`` that nothing reads any more."""
+    for df in frames:
+        for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            _delete(df.sparkSession, path)
+
+
+def staleness_key(df: DataFrame, version: str) -> str:
+    """A digest of the files behind ``df`` and of the version of what is made of them."""
+    files = fingerprint(df).select(F.xxhash64(F.element_at(F.split("file_path", "/"), -1), "file_size", "file_modification_time").cast("decimal(38,0)").alias("h"))
+    one = files.agg(F.count("*").alias("n"), F.sum("h").alias("s")).first()
+    return hashlib.sha256(f"{version}\x1f{one.n}\x1f{one.s}".encode()).hexdigest()[:32]
+
+
+def cached(source: DataFrame, name: str, version: str, build: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, bool]:
+    """``build(source)`` from a kept copy if the files behind ``source`` and ``version`` are those it was made of; and whether it was.
+
+    The copy is written aside and renamed to its key, so a broken write is never read; copies of other keys go.
+    """
+    spark = source.sparkSession
+    folder = f"{shared_folder(spark)}/parlance/cached/{name}"
+    key = staleness_key(source, version)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{key}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    hit = fs.exists(at)
+    if not hit:
+        aside = f"{folder}/.aside-{uuid.uuid4().hex}"
+        build(source).write.parquet(aside)
+        fs.rename(spark._jvm.org.apache.hadoop.fs.Path(aside), at)
+        for old in fs.listStatus(at.getParent()):
+            if old.getPath().getName() != key and not old.getPath().getName().startswith("."):
+                fs.delete(old.getPath(), True)
+    return spark.read.parquet(f"{folder}/{key}"), hit
+
+
+def guarded_export(df: DataFrame, path: str, canonical: DataFrame, key: str, text: str = "text") -> int:
+    """Writes ``df`` as CSV if every text equals that of the same key in ``canonical``; else raises and writes nothing."""
+    both = df.select(key, F.col(text).alias("_found")).join(canonical.select(key, F.col(text).alias("_told"), F.lit(True).alias("_known")), key, "left")
+    bad = both.where(F.col("_known").isNull() | ~F.col("_found").eqNullSafe(F.col("_told"))).count()
+    if bad:
+        raise ValueError(f"{bad} texts differ from the source; nothing was written")
+    df.write.mode("overwrite").option("header", True).csv(path)
+    return df.count()
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
