@@ -38,6 +38,27 @@ SEEDS = {
     "app_device_technical": r"app (?:crash|keeps|won.?t|is|not)|crash|crashing|update the app|latest version|ios|android|apple watch|windows|web player|desktop app|chromecast|alexa|google home|car ?play|bluetooth|battery|connect to",
     "playback_playlist": r"playlist|shuffle|skip|queue|offline|download(?:ed|ing)?|repeat|won.?t play|not play|stops? playing|keeps? pausing|song(?:s)? play|listen",
 }
+INTENT_PROXY = {
+    "billing_subscription": r"premium|subscription|billing|charged|payment|family plan|student",
+    "content_availability": r"album|song|artist|podcast|episode|available|release|missing from",
+    "playback_technical": r"won.?t play|not play|skip|offline|download|shuffle|crash|buffer|glitch",
+    "praise_social": r"thank|thanks|love|awesome|amazing|appreciate|best",
+    "delay_cancel": r"delay|cancel|rebook|missed (?:my )?(?:flight|connection)|stranded|diverted",
+    "baggage": r"bag|baggage|luggage|suitcase|carry.?on",
+    "seat_booking": r"seat|upgrade|boarding pass|check.?in|reservation|record locator|booking",
+    "loyalty": r"miles|aadvantage|loyalty|status|elite|points",
+}
+PERSONAL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}|\d[\d \-]{11,}\d|(?:my|the) (?:email|e-mail|address|phone|number) is"
+FOLLOW_UP = r"dm(?:'?d| sent| you)|sent (?:you )?a dm|check your dm|answer my dm"
+SELF_SERVICE = (
+    r"tried everything|already tried|i.?ve tried|tried (?:that|this|it) (?:already|too)|still (?:not|isn.?t|doesn.?t|won.?t|no)|reinstall|re-?installed|restarted|rebooted"
+    r"|uninstall|no (?:one|body) (?:has )?(?:replied|responded|answered)|no response|third time|3rd time|second time|2nd time|weeks? (?:now|and)|no luck|nothing works"
+)
+OUT_OF_SCOPE = (
+    r"upload (?:my|our|his|her|their|the) (?:music|song|album|track)|{brand} for artists|distribut(?:e|ion|or)|get (?:my|our) (?:music|songs) on"
+    r"|submit (?:my|our) (?:music|song|album)|as an artist"
+)
+SUPPORT_FALLBACK = {"account_access": "account_access", "billing_subscription": "payment_dispute", "other_unclear": "ambiguous"}
 REASONS = ("account_access", "ambiguous", "existing_case", "failed_self_service", "high_frustration", "legal_rights", "out_of_scope", "payment_dispute", "public_pii", "safety_abuse", "security")
 # End of fixed values.
 
@@ -53,6 +74,22 @@ def seeds(brand: str) -> dict[str, str]:
     return {name: pattern.replace("{brand}", brand) for name, pattern in SEEDS.items()}
 
 
+def support_rules(brand: str) -> dict[str, str]:
+    """The ten rules that give a reason to hand a support message over, in order: exposure and safety before convenience."""
+    return {
+        "public_pii": PERSONAL, "safety_abuse": MUST["safety"], "legal_rights": MUST["legal_rights"], "security": MUST["security_privacy"], "payment_dispute": MUST["payment_dispute"],
+        "account_access": MUST["account_access"], "existing_case": FOLLOW_UP, "failed_self_service": SELF_SERVICE, "high_frustration": TOPICS["anger/profanity"], "out_of_scope": OUT_OF_SCOPE.replace("{brand}", brand),
+    }
+
+
+#: Requests that stored messages are given, so that the support families have something to find.
+REQUESTS = (
+    "I can't sign in since Monday and the password mail never comes", "you charged me twice, I want my money back", "my email is pat.doe@example.org, write to me", "my lawyer will hear of this", "the driver made a threat",
+    "someone hacked the thing", "I sent you a dm an hour ago", "I already tried that, still not working", "this is ridiculous and useless", "how do I get my songs on acme", "is there a student discount",
+    "please add a sleep timer", "the app keeps crashing on android", "my playlist won't shuffle", "why is the new album not available", "thanks, you are the best", "they lost my bag and my flight is delayed", "card 4111 1111 1111 1111 was used", "hello",
+)
+
+
 def template(reason: str) -> str:
     """A fixed handoff text for a reason; it promises nothing and takes nothing from the message."""
     return f"Thanks for writing. This concerns {reason.replace('_', ' ')}, so please send us a private message and our team will follow up there."

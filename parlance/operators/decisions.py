@@ -68,6 +68,27 @@ def distant_lr(docs: DataFrame, label: str) -> DataFrame:
     return out.select("doc_id", names[F.col("prediction").cast("int")].alias("predicted"), F.array_max(vector_to_array("probability")).alias("max_proba"))
 
 
+def class_score(probabilities: dict[str, Column], roles: dict[str, str], always: str = "independent") -> Column:
+    """The probability of the classes whose role is ``always``: the score of an escalation."""
+    return sum((p for name, p in probabilities.items() if roles.get(name) == always), F.lit(0.0))
+
+
+def normalised_intent(said: Column, vocabulary: list[str], otherwise: str = "other_unclear") -> Column:
+    """A provider's answer as a name of the vocabulary: case, space and surrounding marks don't matter; anything else is ``otherwise``."""
+    name = F.regexp_replace(F.lower(said), r"^[^a-z0-9_]+|[^a-z0-9_]+$", "")
+    return F.when(name.isin(*vocabulary), name).otherwise(otherwise)
+
+
+def codebook_prompt(intents: DataFrame, rules: DataFrame) -> DataFrame:
+    """(prompt): instructions made of a codebook alone, from intents (name, definition, confusable) and rules (id, test), in their order."""
+    near = F.when(F.size("confusable") > 0, F.concat(F.lit("\n  not to be mixed up with: "), F.array_join("confusable", ", "))).otherwise("")
+    lines = lambda df, key, line: df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("line")))), lambda x: x.line), "\n").alias("lines"))
+    names = lines(intents, "place", F.concat(F.lit("* "), "name", F.lit(": "), "definition", near))
+    tests = lines(rules, "place", F.concat(F.lit("* "), "id", F.lit(": "), "test"))
+    text = F.concat(F.lit("Name the one intent of the message.\n\nIntents:\n"), names.lines, F.lit("\n\nRules, the first that applies decides:\n"), tests.lines, F.lit("\n\nIf none is clear, answer other_unclear. Answer with the name only.\n\nMessage:\n{message}"))
+    return names.crossJoin(tests).select(text.alias("prompt"))  # two single rows
+
+
 def score_policy(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     return rows.withColumn("decision", decision(F.col("score") >= threshold))
 

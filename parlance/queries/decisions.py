@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..lexicon import FAMILIES, INTENT_FALLBACK, MUST_FAMILIES, REASON_RULES, REASONS, ROLES, template
+from ..lexicon import FAMILIES, INTENT_FALLBACK, INTENT_PROXY, MUST, MUST_FAMILIES, REASON_RULES, REASONS, REQUESTS, ROLES, SUPPORT_FALLBACK, TOPICS, seeds, support_rules, template
 from ..operators import decisions as op, replies as rp
 from ..registry import query
-from ..sources.bindings import documents, gold, predictions, with_ctes
+from ..sources.bindings import documents, gold, messages, predictions, with_ctes
 from .text import sql_has
 
 
@@ -149,3 +149,105 @@ def provider_batches(spark, sf_dir):
         return [str(int(hashlib.sha256(m.encode()).hexdigest()[:8], 16) % 8) for m in messages]
 
     return rp.with_provider(documents(spark, sf_dir).select("doc_id", "text"), mock, "text").select("doc_id", F.col("response").cast("long").alias("intent"))
+
+
+# ---------------------------------------------------------------- support messages
+
+SEEDS, RULES = seeds("acme"), support_rules("acme")
+_LIST = "[" + ", ".join("'" + r.replace("'", "''") + "'" for r in REQUESTS) + "]"
+SQL_REQUESTS = f"requests AS (SELECT id, text || ' ' || {_LIST}[CAST(id * 7 % {len(REQUESTS)} AS INT) + 1] AS text FROM messages WHERE inbound)"
+
+
+def requests(spark, sf_dir):
+    """Inbound messages, each with one of REQUESTS at its end."""
+    said = F.element_at(F.array(*(F.lit(r) for r in REQUESTS)), (F.col("id") * 7 % len(REQUESTS)).cast("int") + 1)
+    return messages(spark, sf_dir).where("inbound").select("id", F.concat("text", F.lit(" "), said).alias("text"))
+
+
+def _any(families: dict[str, str]):
+    flag = F.lit(False)
+    for pattern in families.values():
+        flag = flag | t.has(F.col("text"), pattern)
+    return flag
+
+
+_SQL_ANY = " OR ".join(sql_has("text", p) for p in MUST.values())
+_SUPPORT_IMPLIED = "CASE intent " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SUPPORT_FALLBACK.items()) + " ELSE 'ambiguous' END"
+SQL_SUPPORT = f"""{SQL_REQUESTS}, s AS (SELECT id, text, {sql_first(SEEDS)} AS intent, CASE WHEN {_SQL_ANY} OR id % 3 = 0 THEN 'ESCALATE' ELSE 'AUTO_OK' END AS decision FROM requests),
+    support AS (SELECT *, CASE WHEN decision <> 'ESCALATE' THEN '' {' '.join(f"WHEN {sql_has('text', p)} THEN 'rule:{n}'" for n, p in RULES.items())} ELSE 'fallback:' || {_SUPPORT_IMPLIED} END AS source FROM s)"""
+
+
+def support(spark, sf_dir):
+    """(id, text, intent, decision, reason, source): the seed families, the families that must escalate, and the ten reason rules."""
+    r = requests(spark, sf_dir).withColumn("intent", t.first_match(F.col("text"), SEEDS, "other_unclear")).withColumn("decision", op.decision(_any(MUST) | (F.col("id") % 3 == 0)))
+    why = op.reasons(F.col("text"), F.col("decision"), F.col("intent"), RULES, SUPPORT_FALLBACK)
+    return r.withColumn("why", why).select("id", "text", "intent", "decision", "why.reason", "why.source")
+
+
+@query(with_ctes(f", {SQL_SUPPORT} SELECT id, intent FROM support", "messages"))
+def support_intent(spark, sf_dir):
+    return support(spark, sf_dir).select("id", "intent")
+
+
+@query(with_ctes(f", {SQL_SUPPORT} SELECT id, decision, split_part(source, ':', 2) AS reason, source FROM support", "messages"))
+def support_reasons(spark, sf_dir):
+    return support(spark, sf_dir).select("id", "decision", "reason", "source")
+
+
+@query(with_ctes(f", {SQL_SUPPORT} SELECT source, count(*) AS fired FROM support WHERE decision = 'ESCALATE' GROUP BY source", "messages"))
+def support_activation(spark, sf_dir):
+    return support(spark, sf_dir).where("decision = 'ESCALATE'").groupBy("source").agg(F.count("*").alias("fired"))
+
+
+_PREVALENT = {f"{kind}:{name}": p for kind, of in (("must", MUST), ("topic", TOPICS), ("proxy", INTENT_PROXY)) for name, p in of.items()}
+
+
+@query(with_ctes(f", {SQL_REQUESTS} " + " UNION ALL ".join(f"SELECT '{n}' AS family, count(*) FILTER (WHERE {sql_has('text', p)}) AS n, round(100 * avg(CAST({sql_has('text', p)} AS DOUBLE)), 2) AS pct FROM requests" for n, p in _PREVALENT.items()), "messages"))
+def support_prevalence(spark, sf_dir):
+    """All families of support messages in one pass: those that must escalate, topics, and stand-ins of intents."""
+    from ..functions.stats import rate
+
+    flags = t.matches(F.col("text"), _PREVALENT)
+    one = requests(spark, sf_dir).agg(*(F.struct(F.lit(n).alias("family"), F.count_if(c).alias("n"), rate(c).alias("pct")).alias(f"f{i}") for i, (n, c) in enumerate(flags.items())))
+    return one.select(F.explode(F.array(*(F.col(f"f{i}") for i in range(len(flags))))).alias("x")).select("x.*")
+
+
+def _hits_sql(pattern: str) -> str:
+    return f"(1 + len(regexp_extract_all(lower(text), '{t.bounded(pattern)}')))"
+
+
+_MASS = " + ".join(_hits_sql(p) for p in FAMILIES.values())
+_CERTAIN = " + ".join(_hits_sql(FAMILIES[n]) for n, role in ROLES.items() if role == "independent")
+
+
+@query(f"SELECT doc_id, round(({_CERTAIN}) / ({_MASS})::DOUBLE, 6) AS score, CASE WHEN ({_CERTAIN}) / ({_MASS})::DOUBLE >= 0.5 THEN 'ESCALATE' ELSE 'AUTO_OK' END AS decision FROM documents")
+def policy_mass(spark, sf_dir):
+    """The scored policy: probabilities of the classes (here smoothed shares of their words) summed over independent roles."""
+    hits = {n: F.regexp_count(F.lower("text"), F.lit(t.bounded(p))) + 1 for n, p in FAMILIES.items()}
+    d = documents(spark, sf_dir).select("doc_id", *(h.cast("double").alias(n) for n, h in hits.items())).withColumn("_all", sum((F.col(n) for n in hits), F.lit(0.0)))
+    scored = d.withColumn("score", op.class_score({n: F.col(n) for n in hits}, ROLES) / F.col("_all"))
+    return op.score_policy(scored).select("doc_id", F.round("score", 6).alias("score"), "decision")
+
+
+_ANSWERS = """answers AS (SELECT DISTINCT sha256(text) AS key, CASE CAST(('0x' || substr(sha256(text), 1, 8)) AS BIGINT) % 6 WHEN 0 THEN ' Licence.' WHEN 1 THEN 'INSULT' WHEN 2 THEN '"english"' WHEN 3 THEN 'romance or german' WHEN 4 THEN '' END AS said FROM documents
+    WHERE CAST(('0x' || substr(sha256(text), 1, 8)) AS BIGINT) % 6 < 5)"""
+
+
+@query(f"""WITH {_ANSWERS} SELECT doc_id, CASE said WHEN ' Licence.' THEN 'licence' WHEN 'INSULT' THEN 'insult' WHEN '"english"' THEN 'english' ELSE 'other_unclear' END AS intent FROM documents LEFT JOIN answers ON key = sha256(text)""")
+def response_join(spark, sf_dir):
+    """Messages with the answers of a response table, by digest; no answer and one outside the vocabulary are 'other_unclear'."""
+    d = documents(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("key"), rp.mock_choice(F.col("text"), 6).alias("n"))
+    said = F.when(F.col("n") == 0, " Licence.").when(F.col("n") == 1, "INSULT").when(F.col("n") == 2, '"english"').when(F.col("n") == 3, "romance or german").when(F.col("n") == 4, "")
+    answers = d.where("n < 5").select("key", said.alias("said")).distinct()
+    return d.join(answers, "key", "left").select("doc_id", op.normalised_intent(F.col("said"), list(FAMILIES)).alias("intent"))
+
+
+@query("""WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), i AS (SELECT lang, string_agg(source, ', ' ORDER BY source) FILTER (WHERE n > 1) AS near, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY lang)
+    SELECT 'Name the one intent of the message.' || chr(10) || chr(10) || 'Intents:' || chr(10) || (SELECT string_agg('* ' || lang || ': texts in ' || lang || coalesce(chr(10) || '  not to be mixed up with: ' || near, ''), chr(10) ORDER BY lang) FROM i)
+        || chr(10) || chr(10) || 'Rules, the first that applies decides:' || chr(10) || (SELECT string_agg('* R-' || lang || ': ' || n || ' texts', chr(10) ORDER BY lang) FROM i)
+        || chr(10) || chr(10) || 'If none is clear, answer other_unclear. Answer with the name only.' || chr(10) || chr(10) || 'Message:' || chr(10) || '{message}' AS prompt""")
+def codebook_prompt(spark, sf_dir):
+    c = documents(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n"))
+    i = c.groupBy("lang").agg(F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.col("source")))).alias("confusable"), F.sum("n").alias("n"))  # sources
+    intents = i.select(F.col("lang").alias("place"), F.col("lang").alias("name"), F.concat(F.lit("texts in "), "lang").alias("definition"), "confusable")
+    return op.codebook_prompt(intents, i.select(F.col("lang").alias("place"), F.concat(F.lit("R-"), "lang").alias("id"), F.concat(F.col("n").cast("string"), F.lit(" texts")).alias("test")))

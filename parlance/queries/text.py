@@ -13,7 +13,7 @@ from ..sources.tables import table
 
 
 def sql_has(column: str, pattern: str) -> str:
-    return f"regexp_matches(lower({column}), '{t.bounded(pattern)}')"
+    return f"regexp_matches(lower({column}), '{t.bounded(pattern).replace(chr(39), chr(39) * 2)}')"
 
 
 _MASKED = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^\s]+', '<URL>', 'g'), '@[\p{L}\p{N}_]+', '<USER>', 'g'), '\s+', ' ', 'g')))"""
