@@ -204,3 +204,18 @@ def test_seed_order(spark, said, intent):
 def test_topics(spark):
     flags = t.matches(F.col("s"), TOPICS)
     assert one(spark, F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in flags.items()))), ","), s="Thanks, my bag is stuck") == "technical/bug,praise,baggage"
+
+
+def test_cached_copy_follows_files_and_version(spark):
+    docs = tables.table(spark, "/root/testdata/sf0.001", "documents")
+    build = lambda d: d.groupBy("lang").count()
+    hits = [tables.cached(docs, "langs", version, build)[1] for version in ("v1", "v1", "v2", "v1")]
+    assert hits == [False, True, False, False] and tables.cached(docs, "langs", "v1", build)[0].count() == 4
+
+
+def test_export_refuses_changed_texts(spark, tmp_path):
+    told = spark.createDataFrame([(1, "a"), (2, None)], "id long, text string")
+    assert tables.guarded_export(told, f"file://{tmp_path}/out", told, "id") == 2
+    with pytest.raises(ValueError):
+        tables.guarded_export(told.withColumn("text", F.lit("b")), f"file://{tmp_path}/no", told, "id")
+    assert not (tmp_path / "no").exists()
