@@ -50,6 +50,13 @@ def test_stages_keep_the_columns(spark, edge, none, tmp_path, number):
     assert stage(spark, none, str(tmp_path)).count() == 0
 
 
+def test_last_stage(spark, edge, none, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    stage = corpus_pipeline.STAGES[4][1]
+    assert Counter(r.doc_id for r in stage(spark, edge, str(tmp_path)).where("piece = 0").collect()) == Counter(t[0] for t in TEXTS)
+    assert stage(spark, none, str(tmp_path)).count() == 0
+
+
 def test_sharding_keeps_everything(spark, edge, none):
     store = sharding.ShardStore(spark, new_path(spark, "edge"), edge.schema)
     assert store.read().count() == 0

@@ -2,13 +2,13 @@
 
 import hashlib
 import zlib
-from collections import Counter
 
-import numpy as np
 import pytest
 
 from parlance.llm import langid, mpeg_audio, queries, token_counts
 
+from . import plain
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -55,34 +55,26 @@ def test_op3_counts(spark, docs):
 
 
 def test_op8_predictions(spark, docs):
-    letters, bound = langid.Encoder().letter, {}
-
-    def vector(text):
-        low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "")
-        if not low.strip(" "):
-            return None
-        low = " " + " ".join(x for x in low.split(" ") if x) + " "
-        total = np.zeros(langid.DIMS)
-        for gram, n in Counter(low[i : i + 3] for i in range(len(low) - 2)).items():
-            if gram not in bound:
-                bound[gram] = np.prod([np.roll(letters(ord(c)), place) for place, c in enumerate(gram)], axis=0)
-            total += n * bound[gram].astype(float)
-        return total / np.sqrt(total @ total)
-
-    texts = {d.doc_id: vector(d.text) for d in docs}
-    sums = {}
-    for d in docs:
-        if d.lang is not None and texts[d.doc_id] is not None and zlib.crc32(str(d.doc_id).encode()) % 4 != 2:
-            sums[d.lang] = sums.get(d.lang, 0) + texts[d.doc_id]
-    model = {k: v / np.sqrt(v @ v) for k, v in sums.items()}
+    model, texts = plain.Languages([(d.doc_id, d.text, d.lang) for d in docs]), {d.doc_id: d.text for d in docs}
     for r in queries.op8_language_id(spark, SF).collect():
-        v = texts[r.doc_id]
-        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
-        if v is None:
-            assert (r.lang_pred, r.score) == ("und", 0.0)
-        else:
-            best = max(sorted(model), key=lambda k: model[k] @ v)
-            assert r.lang_pred == best and r.score == pytest.approx(max(0, model[best] @ v), abs=1e-5)
+        best, cosine = model.guess(texts[r.doc_id])
+        assert r.held_out == (plain.fold(r.doc_id, 4) == 2)
+        assert r.lang_pred == (best or "und") and r.score == pytest.approx(max(0, cosine), abs=1e-5)
+
+
+def test_op2_scores(spark, docs):
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    want = dict(zip([d.doc_id for d in docs], plain.toxic_scores([(d.doc_id, d.text) for d in docs], labels), strict=True))
+    got = queries.op2_toxicity(spark, SF).collect()
+    assert {r.doc_id for r in got} == set(want) and any(r.predicted for r in got)
+    for r in got:
+        assert r.held_out == (plain.fold(r.doc_id, 5) == 0) and r.predicted == (r.score >= 0.5)
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-9)
+
+
+def test_op10_copies(spark, docs):
+    got = {r.doc_id: r.copies for r in queries.op10_mixing(spark, SF).collect()}
+    assert got == dict(zip([d.doc_id for d in docs], plain.copies([(d.doc_id, d.text, d.source) for d in docs]), strict=True))
 
 
 def test_many_languages_take_several_passes(spark, monkeypatch):
