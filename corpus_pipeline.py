@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a
 DataFrame, which is written as Parquet and reread as the next one's docs.  All but the last return
 the columns of documents.
+
+Edge cases, the same in every stage: nulls may be in any column and other columns are kept (by all but the last);
+repeated rows are judged alike; an empty table gives an empty result.  Null, empty and letterless texts pass
+toxicity (their score is the bias's), are rejected by the language stage, link with nothing, have no tokens to mix
+and are packed as their end token.
 """
 
 from __future__ import annotations
@@ -16,32 +21,44 @@ from parlance.session import ship
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier scores 0.5 or more go."""
+    """Documents that the toxicity classifier scores 0.5 or more go.
+
+    A null label trains nothing; without any training row every document has the score of the prior and stays.
+    """
     ship(spark)
     labels = read(spark, sf_dir, "labels")
     return toxicity.clean(docs, toxicity.train(docs, labels.where(fold(F.col("doc_id"), 5) != 0)))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and those whose text is surely in another language than they say."""
+    """Documents without a letter go, and those whose text is surely in another language than they say.
+
+    A document without a lang stays if it has a letter; where no row has a lang, the stage rejects nothing.
+    """
     ship(spark)
     return langid.agreeing(docs, langid.train(docs.where(fold(F.col("doc_id"), 4) != 2)))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the least id."""
+    """One document of each group of near duplicates stays, that with the least id.
+
+    Documents without a word are in no group and stay, as do rows without an id; of rows that share the id one stays.
+    """
     ship(spark)
     return ngram_join.one_of_each(docs, n=5, percent=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are raised towards equal shares, none used more than twice; every document is used once at least."""
+    """Sources are raised towards equal shares, none used more than twice; every document is used once at least.
+
+    A null source is a source of its own; documents without tokens follow their source's passes.
+    """
     ship(spark)
     return mixing.mixed(docs, max_repeats=2.0)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents in sequences of 2048 tokens; a null or empty text is its end token."""
     ship(spark)
     return packing.packed(docs)
 
@@ -54,8 +71,7 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: SQL can express none of the first three stages.  tests/llm holds each stage against the operator it is made of,
-#: on sf0.001; no test compares run() with plain Python.
+#: SQL can express none of the first three stages.  tests/llm holds run() against plain Python over a whole small table.
 ORACLE_SQL = None
 
 
