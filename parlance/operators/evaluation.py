@@ -98,6 +98,18 @@ def kappa(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return j.select(*by, "n", "agree", F.round(F.when(F.col("pe") == 1, 1.0).otherwise((F.col("po") - F.col("pe")) / (1 - F.col("pe"))), 6).alias("kappa"))
 
 
+def rated(rows: DataFrame, dimensions: tuple[str, ...], key: str) -> DataFrame:
+    """(key, field, a, b) of people's answers ``human_*`` and a judge's ``judge_*``, for rows that a person rated.
+
+    'acceptable' is yes or no by how the answer begins (y; a judge's t); dimensions are compared as written, where both rated.
+    """
+    starts = lambda c, x: F.when(F.startswith(F.lower(F.trim(c)), F.lit(x)), "yes").otherwise("no")
+    done = rows.where(F.trim(F.coalesce("human_acceptable", F.lit(""))) != "")
+    pairs = [F.struct(F.lit("acceptable").alias("field"), starts(F.col("human_acceptable"), "y").alias("a"), starts(F.col("judge_acceptable"), "t").alias("b"))]
+    pairs += [F.struct(F.lit(d).alias("field"), F.trim(f"human_{d}").alias("a"), F.trim(f"judge_{d}").alias("b")) for d in dimensions]
+    return done.select(key, F.explode(F.array(*pairs)).alias("x")).select(key, "x.*").where("a <> '' and b <> ''")
+
+
 def assertions(checks: dict[str, DataFrame]) -> DataFrame:
     """(check, violations, passed) of named tables of violations."""
     out = None

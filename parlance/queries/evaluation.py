@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation as op
+from ..operators import evaluation as op, replies
 from ..registry import query
 from ..sources.bindings import gold, predictions, with_ctes
 from ..sources.tables import table
@@ -133,37 +133,55 @@ def reason_gaps(spark, sf_dir):
     return used.select("system").distinct().crossJoin(F.broadcast(human)).join(used, ["system", "reason"], "left_anti")  # one row a reason
 
 
-@query(f"WITH {SQL_REASONED}, {SQL_ROUTED} SELECT route, count(*) AS n, count(*) FILTER (WHERE l.toxic = 1) AS unsafe, count(*) FILTER (WHERE l.quality = 1) AS acceptable FROM routed r JOIN labels l USING (doc_id) GROUP BY route")
-def draft_eval(spark, sf_dir):
-    """Routes with how many of each should have escalated and how many a judge accepts (here the quality label)."""
-    j = routed(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
-    return j.groupBy("route").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("unsafe"), F.count_if(F.col("quality") == 1).alias("acceptable"))
+SQL_ACCEPTED = "NOT (regexp_matches(reply, '[0-9]+\\.[0-9]{2}') OR length(reply) < 50 OR starts_with(lower(reply), 'you should'))"
+SQL_PARSED = "substr(sha256(reply), 1, 1) <> '0'"
 
 
-_PROBED = "(SELECT doc_id, d AS defect, CASE WHEN (doc_id + len(d)) % 7 = 0 THEN NULL ELSE (doc_id * len(d)) % 3 = 0 END AS acceptable FROM documents CROSS JOIN (VALUES ('wrong_intent'), ('fabricated_fact'), ('missing_escalation'), ('hostile_tone')) k(d))"
+@query(f"""WITH {SQL_REASONED}, {SQL_ROUTED} SELECT route, count(*) AS n, count(*) FILTER (WHERE l.toxic = 1) AS unsafe, count(*) FILTER (WHERE {SQL_PARSED}) AS judged, count(*) FILTER (WHERE {SQL_PARSED} AND {SQL_ACCEPTED}) AS acceptable
+    FROM routed r JOIN labels l USING (doc_id) JOIN (SELECT doc_id, text AS reply FROM documents) d USING (doc_id) GROUP BY route""")
+def draft_eval(spark, sf_dir):
+    """Routes with how many of each should have escalated and how many a judge, whose answers are parsed, accepts."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("reply"))
+    j = routed(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").join(texts, "doc_id")
+    v = replies.verdict(replies.mock_verdict(F.col("reply")))["acceptable"]
+    return j.withColumn("v", v).groupBy("route").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("unsafe"), F.count("v").alias("judged"), F.count_if("v").alias("acceptable"))
 
 
-@query(f"SELECT defect, count(acceptable) AS n, count(*) FILTER (WHERE NOT acceptable) AS k, round(count(*) FILTER (WHERE NOT acceptable) / count(acceptable), 6) AS rate, {sql_wilson('count(*) FILTER (WHERE NOT acceptable)', 'count(acceptable)')[0]} AS low, {sql_wilson('count(*) FILTER (WHERE NOT acceptable)', 'count(acceptable)')[1]} AS high FROM {_PROBED} GROUP BY defect")
-def probe_detection(spark, sf_dir):
-    """Planted defects that a judge rejects, among those whose verdict could be read."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*(F.lit(x) for x in ("wrong_intent", "fabricated_fact", "missing_escalation", "hostile_tone")))).alias("defect"))
-    size = F.length("defect")
-    said = F.when((F.col("doc_id") + size) % 7 != 0, F.col("doc_id") * size % 3 == 0)
-    v = d.withColumn("acceptable", said).groupBy("defect").agg(F.count("acceptable").alias("n"), F.count_if(~F.col("acceptable")).alias("k"))
-    return op.with_interval(v, "k", "n")
+_PROBED = f"""a AS (SELECT r.doc_id, d.text FROM routed r JOIN documents d USING (doc_id) WHERE route = 'auto_reply'),
+    o AS (SELECT doc_id, text, coalesce(lead(text) OVER (PARTITION BY doc_id % 64 ORDER BY doc_id), first_value(text) OVER (PARTITION BY doc_id % 64 ORDER BY doc_id)) AS other FROM a),
+    planted AS (SELECT doc_id, d AS defect, CASE d WHEN 'wrong_intent' THEN other WHEN 'fabricated_fact' THEN text || ' The sum of 83.10 went back to your card last Tuesday.'
+            WHEN 'missing_escalation' THEN 'All good, nothing more is needed from you.' ELSE 'You should have read the manual first. ' || text END AS reply
+          FROM o CROSS JOIN (VALUES ('wrong_intent'), ('fabricated_fact'), ('missing_escalation'), ('hostile_tone')) k(d)),
+    probed AS (SELECT doc_id, defect, CASE WHEN {SQL_PARSED} THEN {SQL_ACCEPTED} END AS acceptable FROM planted)"""
 
 
-_SECOND = "two AS (SELECT id, stratum, intent AS i1, CASE WHEN id % 6 = 0 THEN 'other' ELSE intent END AS i2, escalation AS e1, CASE WHEN id % 8 = 0 THEN 'AUTO_OK' ELSE escalation END AS e2 FROM gold)"
-_FIELDS = "f AS (SELECT id, stratum, 'intent' AS field, i1 AS a, i2 AS b FROM two UNION ALL SELECT id, stratum, 'escalation', e1, e2 FROM two)"
+@query(f"WITH {SQL_REASONED}, {SQL_ROUTED}, {_PROBED} SELECT defect, count(acceptable) AS n, count(*) FILTER (WHERE NOT acceptable) AS k, CASE WHEN count(acceptable) = 0 THEN 0.0 ELSE round(count(*) FILTER (WHERE NOT acceptable) / count(acceptable), 6) END AS rate, {sql_wilson('count(*) FILTER (WHERE NOT acceptable)', 'count(acceptable)')[0]} AS low, {sql_wilson('count(*) FILTER (WHERE NOT acceptable)', 'count(acceptable)')[1]} AS high FROM probed GROUP BY defect")
+def probe_detection(spark, sf_dir):
+    """Four defects planted in each automatic reply, judged, parsed: those that a judge rejects, among those whose verdict could be read."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drafts = routed(spark, sf_dir).where("route = 'auto_reply'").select("doc_id").join(texts, "doc_id").withColumn("ring", F.col("doc_id") % 64)
+    planted = replies.corrupted(drafts, "doc_id", "text", "ring")
+    v = planted.withColumn("acceptable", replies.verdict(replies.mock_verdict(F.col("reply")))["acceptable"])
+    return op.with_interval(v.groupBy("defect").agg(F.count("acceptable").alias("n"), F.count_if(~F.col("acceptable")).alias("k")), "k", "n")
+
+
+# What was labelled twice, in plain SQL of both engines: the first answer and the second.
+_TWICE = {
+    "intent": ("intent", "CASE WHEN id % 6 = 0 THEN 'other' ELSE intent END"), "conversation_state": ("CASE WHEN n_chars < 600 THEN 'new' ELSE 'ongoing' END", "CASE WHEN n_chars < 700 THEN 'new' ELSE 'ongoing' END"),
+    "urgency": ("CASE WHEN n_chars % 3 = 0 THEN 'high' ELSE 'low' END", "CASE WHEN n_chars % 6 = 0 THEN 'high' ELSE 'low' END"), "frustration": ("CASE WHEN reason = '' THEN 'low' ELSE 'high' END", "CASE WHEN escalation = 'ESCALATE' AND id % 11 > 0 THEN 'high' ELSE 'low' END"),
+    "language": ("coalesce(lang, '')", "CASE WHEN id % 13 = 0 THEN 'en' ELSE coalesce(lang, '') END"), "escalation": ("escalation", "CASE WHEN id % 8 = 0 THEN 'AUTO_OK' ELSE escalation END"),
+    "reason": ("reason", "CASE WHEN id % 9 = 1 THEN '' ELSE reason END"), "confidence": ("CASE WHEN id % 9 = 0 THEN 'low' ELSE 'high' END", "CASE WHEN id % 5 = 0 THEN 'low' ELSE 'high' END"),
+}
+_SECOND = "two AS (SELECT g.*, d.lang, d.n_chars FROM gold g JOIN documents d ON d.doc_id = g.id)"
+_FIELDS = "f AS (" + " UNION ALL ".join(f"SELECT id, stratum, '{k}' AS field, {x} AS a, {y} AS b FROM two" for k, (x, y) in _TWICE.items()) + ")"
 _KAPPA = """, n AS (SELECT {by} count(*) AS n, count(*) FILTER (WHERE a = b) AS agree FROM f GROUP BY ALL), l AS (SELECT {by} a AS v, count(*) AS na FROM f GROUP BY ALL), r AS (SELECT {by} b AS v, count(*) AS nb FROM f GROUP BY ALL),
     c AS (SELECT {by} sum(na * nb) AS by_chance FROM l JOIN r USING ({by} v) GROUP BY ALL)"""
 
 
 def _relabelled(spark, sf_dir):
-    """Labels given twice, one row a field."""
-    g = gold(spark, sf_dir)
-    second = {"intent": F.when(F.col("id") % 6 == 0, "other").otherwise(F.col("intent")), "escalation": F.when(F.col("id") % 8 == 0, "AUTO_OK").otherwise(F.col("escalation"))}
-    return g.select("id", "stratum", F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(k).alias("a"), v.alias("b")) for k, v in second.items()))).alias("x")).select("id", "stratum", "x.*")
+    """Labels given twice, one row for each of eight fields."""
+    g = gold(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "n_chars"), "id")
+    return g.select("id", "stratum", F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.expr(x).alias("a"), F.expr(y).alias("b")) for k, (x, y) in _TWICE.items()))).alias("x")).select("id", "stratum", "x.*")
 
 
 _K = "round(CASE WHEN by_chance = n * n THEN 1.0 ELSE (agree / n - coalesce(by_chance, 0) / (n * n)::DOUBLE) / (1 - coalesce(by_chance, 0) / (n * n)::DOUBLE) END, 6)"
@@ -184,15 +202,20 @@ def label_diffs(spark, sf_dir):
     return _relabelled(spark, sf_dir).where("a <> b").select("id", "field", "a", "b")
 
 
-_JUDGED = "f AS (SELECT CASE WHEN upper(substr(h, 1, 1)) = 'Y' THEN 'yes' ELSE 'no' END AS a, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS b FROM (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 'n' WHEN doc_id % 2 = 0 THEN 'Yes' ELSE 'y' END AS h FROM labels))"
+_RATED = """asked AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 5 = 0 THEN 'n' WHEN doc_id % 2 = 0 THEN ' Yes' ELSE 'y' END AS h FROM labels),
+    f AS (SELECT 'acceptable' AS field, CASE WHEN upper(substr(trim(h), 1, 1)) = 'Y' THEN 'yes' ELSE 'no' END AS a, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS b FROM asked WHERE h <> ''
+          UNION ALL SELECT d, CAST(1 + (doc_id + i) % 5 AS VARCHAR), CAST(1 + (doc_id + i * quality) % 5 AS VARCHAR) FROM asked CROSS JOIN (VALUES ('addresses_need', 0), ('grounded', 1), ('routing', 2), ('tone', 3)) v(d, i) WHERE h <> '' AND (doc_id + i) % 6 > 0)"""
 
 
-@query(f"WITH {_JUDGED}{_KAPPA.format(by='').replace('USING ( v)', 'USING (v)')} SELECT n, agree, {_K} AS kappa FROM n CROSS JOIN c")
+@query(f"WITH {_RATED}{_KAPPA.format(by='field,')} SELECT field, n, agree, {_K} AS kappa, round(agree / n, 6) AS rate, {sql_wilson('agree', 'n')[0]} AS low, {sql_wilson('agree', 'n')[1]} AS high FROM n LEFT JOIN c USING (field)")
 def judge_agreement(spark, sf_dir):
-    """A judge against people whose answers are yes or no in any spelling."""
-    human = F.when(F.col("doc_id") % 5 == 0, "n").when(F.col("doc_id") % 2 == 0, "Yes").otherwise("y")
-    rows = table(spark, sf_dir, "labels").select(F.when(F.upper(F.substring(human, 1, 1)) == "Y", "yes").otherwise("no").alias("a"), F.when(F.col("quality") == 1, "yes").otherwise("no").alias("b"))
-    return op.kappa(rows, [], "a", "b")
+    """A judge against people: yes or no in any spelling, and four dimensions that must agree exactly; some answers are blank."""
+    i = F.col("doc_id")
+    human = F.when(i % 11 == 0, "").when(i % 5 == 0, "n").when(i % 2 == 0, " Yes").otherwise("y")
+    rows = table(spark, sf_dir, "labels").select("doc_id", human.alias("human_acceptable"), F.when(F.col("quality") == 1, "True").otherwise("False").alias("judge_acceptable"), *(
+        c for k, d in enumerate(replies.DIMENSIONS) for c in (
+            F.when((i + k) % 6 > 0, F.concat(((i + k) % 5 + 1).cast("string"), F.lit(" "))).otherwise("").alias(f"human_{d}"), ((i + k * F.col("quality")) % 5 + 1).cast("string").alias(f"judge_{d}"))))
+    return op.with_interval(op.kappa(op.rated(rows, replies.DIMENSIONS, "doc_id"), ["field"], "a", "b"), "agree", "n")
 
 
 @query("""SELECT count(*) AS judged, count(tone) AS parsed, count(*) FILTER (WHERE acceptable) AS acceptable, round(avg(tone), 6) AS mean_tone

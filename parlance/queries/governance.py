@@ -52,28 +52,28 @@ def proxy_agreement(spark, sf_dir):
     return g.groupBy(F.col("s")[0].alias("family")).agg(F.count("*").alias("n"), F.count_if(F.array_contains(F.split(F.col("s")[1], r"\|"), F.col("intent"))).alias("agree"))
 
 
-_MARKS = "marks AS (SELECT *, CASE WHEN id % 9 = 0 THEN 'low' ELSE 'high' END AS confidence, CASE WHEN id % 14 = 0 THEN 'y' ELSE '' END AS cannot, CASE WHEN id % 4 = 0 THEN 'note' ELSE '' END AS notes FROM gold)"
+MARKS = "marks AS (SELECT *, CASE WHEN id % 9 = 0 THEN 'low' ELSE 'high' END AS confidence, CASE WHEN id % 14 = 0 THEN 'y' ELSE '' END AS cannot, CASE WHEN id % 4 = 0 THEN 'note' ELSE '' END AS notes FROM gold)"
 
 
-def _marks(spark, sf_dir):
+def marks(spark, sf_dir):
     i = F.col("id")
     return gold(spark, sf_dir).withColumns({"confidence": F.when(i % 9 == 0, "low").otherwise("high"), "cannot": F.when(i % 14 == 0, "y").otherwise(""), "notes": F.when(i % 4 == 0, "note").otherwise("")})
 
 
-@query(with_ctes(f""", {_MARKS} SELECT 'low_confidence' AS entry, id FROM marks WHERE confidence = 'low' UNION ALL SELECT 'cannot_represent', id FROM marks WHERE cannot = 'y'
+@query(with_ctes(f""", {MARKS} SELECT 'low_confidence' AS entry, id FROM marks WHERE confidence = 'low' UNION ALL SELECT 'cannot_represent', id FROM marks WHERE cannot = 'y'
     UNION ALL SELECT 'incoherent', id FROM marks WHERE escalation = 'AUTO_OK' AND intent = 'abuse' UNION ALL SELECT 'noted', id FROM marks WHERE notes <> ''""", "gold"))
 def ambiguity_register(spark, sf_dir):
     when = {"low_confidence": F.col("confidence") == "low", "cannot_represent": F.col("cannot") == "y", "incoherent": (F.col("escalation") == "AUTO_OK") & (F.col("intent") == "abuse"), "noted": F.col("notes") != ""}
-    return _marks(spark, sf_dir).select(ev.subsets(when).alias("entry"), "id")
+    return marks(spark, sf_dir).select(ev.subsets(when).alias("entry"), "id")
 
 
-@query(with_ctes(f""", {_MARKS} SELECT id, 'intent_domain' AS error FROM marks WHERE intent NOT IN ('abuse', 'complaint', 'question') UNION ALL SELECT id, 'reason_missing' FROM marks WHERE escalation = 'ESCALATE' AND reason = ''
+@query(with_ctes(f""", {MARKS} SELECT id, 'intent_domain' AS error FROM marks WHERE intent NOT IN ('abuse', 'complaint', 'question') UNION ALL SELECT id, 'reason_missing' FROM marks WHERE escalation = 'ESCALATE' AND reason = ''
     UNION ALL SELECT id, 'reason_stray' FROM marks WHERE escalation = 'AUTO_OK' AND reason <> '' UNION ALL SELECT id, 'needs_note' FROM marks WHERE cannot = 'y' AND notes = ''""", "gold"))
 def schema_validation(spark, sf_dir):
     """One row for each broken rule of a row: domains and rules across fields."""
     esc = F.col("escalation") == "ESCALATE"
     rules = {"intent_domain": ~F.col("intent").isin("abuse", "complaint", "question"), "reason_missing": esc & (F.col("reason") == ""), "reason_stray": ~esc & (F.col("reason") != ""), "needs_note": (F.col("cannot") == "y") & (F.col("notes") == "")}
-    return _marks(spark, sf_dir).select("id", ev.subsets(rules).alias("error"))
+    return marks(spark, sf_dir).select("id", ev.subsets(rules).alias("error"))
 
 
 _LEDGER = "ledger AS (SELECT 'mock:' || event_type AS model, event_id % 4 = 0 AS cached, CAST(coalesce(props ->> 'k', '0') AS BIGINT) AS tokens_in, event_id % 50 AS tokens_out FROM events)"

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from parlance.functions import stats, text as t
 from parlance.lexicon import MUST, REASONS, TOPICS, seeds, template
-from parlance.operators import decisions, dedup, evaluation, replies, sampling, threads
+from parlance.operators import clusters, decisions, dedup, evaluation, replies, sampling, threads
+from parlance.plans import pool
 from parlance.sources import tables
 
 
@@ -219,3 +220,120 @@ def test_export_refuses_changed_texts(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.guarded_export(told.withColumn("text", F.lit("b")), f"file://{tmp_path}/no", told, "id")
     assert not (tmp_path / "no").exists()
+
+
+def test_answers_are_kept_by_prompt(spark, tmp_path):
+    asked = tmp_path / "asked"
+
+    def complete(prompts):
+        with asked.open("a") as f:
+            f.writelines(f"{p}\n" for p in prompts)
+        return [p.upper() for p in prompts]
+
+    of = lambda *p: spark.createDataFrame([(i, x) for i, x in enumerate(p)], "id long, prompt string")
+    folder = f"file://{tmp_path}/answers"
+    with pytest.raises(PermissionError):
+        replies.read_through(of("a"), folder, complete, "paid", billed=True).collect()
+    got = sorted(tuple(r) for r in replies.read_through(of("a", "b", "a"), folder, complete, "free").collect())
+    assert got == [(0, "a", "A", False), (1, "b", "B", False), (2, "a", "A", False)] and sorted(asked.read_text().split()) == ["a", "b"]
+    got = sorted(tuple(r) for r in replies.read_through(of("b", "c"), folder, complete, "free").collect())
+    assert got == [(0, "b", "B", True), (1, "c", "C", False)] and sorted(asked.read_text().split()) == ["a", "b", "c"]
+    assert replies.read_through(of("a"), folder, complete, "free", billed=True).first().cached
+
+
+def test_provider_is_asked_again(spark, tmp_path):
+    failed = tmp_path / "failed"
+
+    def complete(prompts):
+        if not failed.exists():
+            failed.touch()
+            raise OSError("busy")
+        return prompts
+
+    df = spark.createDataFrame([(1, "a")], "id long, prompt string").coalesce(1)
+    assert replies.with_provider(df, complete, attempts=2, wait=0.01).first().response == "a"
+
+
+def test_pool_leaves_out_what_was_shown(spark):
+    say = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [
+        (1, 1, "a", "first words here"), (2, 2, "b", ""), (3, 3, "shown", "second"), (4, 99, "c", "third"), (5, 5, "a", "again a"), (6, 6, "d", "First  words here"),
+        (7, 7, "e", say), (8, 8, "f", say + " thirteen"), (9, 9, "g", "a text that was shown before and comes back once more"), (77, 77, "h", "fourth"), (10, 10, "i", "fifth"),
+    ]
+    schema = "id long, thread long, author string, text string"
+    openers = pool.prepared(spark.createDataFrame(rows, schema))
+    shown = pool.prepared(spark.createDataFrame([(77, 99, "shown", "a text that was shown before and comes back once more now")], schema))
+    left, trace = pool.build_pool(openers, shown)
+    assert sorted(r.id for r in left.collect()) == [1, 7, 10]
+    assert [r.rows for r in trace.collect()] == [11, 10, 9, 8, 7, 7, 6, 5, 4, 3]
+
+
+def test_every_check_of_a_sample_sees_its_fault(spark):
+    schema = "id long, thread long, author string, text string"
+    openers = spark.createDataFrame([(i, i, f"a{i}", f"text {i}") for i in range(20)], schema).withColumn("inbound", F.col("id") < 19)
+    members, shown = pool.prepared(openers), pool.prepared(openers).where("id = 0")
+    items, key, manifest = pool.drawn(members.where("id between 1 and 18"), openers, [("core", F.lit(True), 5)], "s", "G")
+    bad = lambda *a: {r.check for r in pool.verified(*a).collect() if not r.passed}
+    assert bad(items, key, manifest, openers, shown) == set()
+    blank = {a: "" for a in pool.ANSWERS}
+    more = lambda **v: spark.createDataFrame([v], "blind_id string, text string, " + ", ".join(f"{a} string" for a in pool.ANSWERS))
+    of = lambda blind, i, thread, author: spark.createDataFrame([(blind, i, thread, author, "core", 18, 0.1, 10.0)], key.schema)
+    assert bad(items.unionByName(more(blind_id="G900", text="x", **blank)), key, manifest, openers, shown) == {"row_count", "ids_match_key"}
+    assert bad(items.unionByName(items.limit(1)), key, manifest, openers, shown) == {"row_count", "ids_unique"}
+    assert bad(items.withColumn("text", F.concat(F.lit("\ufeff"), "text")), key, manifest, openers, shown) == {"exact_text", "no_byte_order_mark"}
+    assert bad(items.withColumn("reason", F.lit("core")), key, manifest, openers, shown) == {"answers_blank", "strata_hidden"}
+    assert "strata_hidden" in bad(items.withColumn("stratum", F.lit("x")), key, manifest, openers, shown)
+    assert {"no_shown_id", "no_shown_thread", "no_shown_author"} <= bad(items.unionByName(more(blind_id="G900", text="text 0", **blank)), key.unionByName(of("G900", 0, 0, "a0")), manifest, openers, shown)
+    assert {"one_per_thread", "one_per_author", "inbound_only"} <= bad(items.unionByName(more(blind_id="G900", text="text 19", **blank)), key.unionByName(of("G900", 19, 7, "a7")).unionByName(of("G901", 8, 7, "a7")), manifest, openers, shown)
+    assert "opener_of_window" in bad(items.unionByName(more(blind_id="G900", text="x", **blank)), key.unionByName(of("G900", 500, 500, "z")), manifest, openers, shown)
+
+
+def test_every_check_of_a_second_pass_sees_its_fault(spark):
+    blank = {a: F.lit("") for a in pool.ANSWERS}
+    first = spark.createDataFrame([(f"first-{i}", f"text {i}") for i in range(4)], "first_id string, text string")
+    items = spark.createDataFrame([(f"R{i}", f"text {i}") for i in range(3)], "blind_id string, text string").withColumns(blank)
+    key = spark.createDataFrame([(f"R{i}", f"first-{i}") for i in range(3)], "blind_id string, first_id string")
+    built, later = "2024-01-01 00:00:00", "2024-01-06 00:00:00"
+    bad = lambda i, k, now=later: {r.check for r in pool.retest_verified(i, k, first, built, now).collect() if not r.passed}
+    assert bad(items, key) == set() and bad(items, key, "2024-01-05 23:59:59") == {"due"}
+    assert bad(items.withColumn("notes", F.lit("see first-1")), key) == {"answers_blank", "blind"}
+    assert bad(items.withColumn("text", F.lit("text 1")), key) == {"exact_text"}
+    assert bad(items.unionByName(items.limit(1)), key) == {"ids_unique"}
+    assert "ids_in_key" in bad(items, key.where("blind_id <> 'R1'"))
+    assert {"one_item_each"} <= bad(items, spark.createDataFrame([("R0", "first-0"), ("R1", "first-0"), ("R2", "first-9")], key.schema)) >= {"item_of_first_pass"}
+
+
+def test_stub_verdicts_are_read(spark):
+    seen = lambda s: one(spark, replies.verdict(replies.mock_verdict(F.col("s")))["acceptable"], s=s)
+    fine = "thank you for writing, we will look at this and come back to you soon"
+    assert seen(fine) in (True, None) and seen("You should know. " + fine) in (False, None) and seen(fine + " 12.50") in (False, None)
+    assert {seen(f"{fine} {'x' * i}") for i in range(1, 60)} == {True, None}
+
+
+def test_clusters_of_planted_vectors(spark):
+    rng = random.Random(5)
+    at = [[1.0, 0, 0, 0], [0, 1.0, 0, 0], [0, 0, 1.0, 0], [0, 0, 0, 1.0]]
+    vectors = spark.createDataFrame([([x + rng.random() / 20 for x in at[i % 4]],) for i in range(80)], "v array<float>")
+    by = {r.k: r for r in clusters.kmeans_scan(vectors, (2, 4)).collect()}
+    assert by[4].silhouette > 0.9 > by[2].silhouette and by[4].inertia < by[2].inertia
+
+
+def test_topics_of_planted_words(spark):
+    rng = random.Random(6)
+    groups = [["apple", "pear", "plum", "cherry", "melon"], ["piston", "gear", "valve", "engine", "brake"]]
+    rows = [(i, " ".join(rng.choices(groups[i % 2], k=30))) for i in range(60)] + [(60, ""), (61, "unseen")]
+    terms, assigned = clusters.topics(spark.createDataFrame(rows, "id long, text string"), 2, top=5)
+    topic = {r.id: r.topic for r in assigned.collect()}
+    assert set(topic) == set(range(62)) and topic[60] == topic[61] == -1
+    assert len({topic[i] for i in range(0, 60, 2)}) == len({topic[i] for i in range(1, 60, 2)}) == 1 and topic[0] != topic[1]
+    of = {}
+    for r in terms.collect():
+        of.setdefault(r.topic, set()).add(r.term)
+        assert 0 < r.weight <= 1
+    assert of == {topic[0]: set(groups[0]), topic[1]: set(groups[1])}
+
+
+def test_ratings_in_any_spelling(spark):
+    rows = spark.createDataFrame([(1, " Yes", "True", "4", "4"), (2, "n", "true", "", "3"), (3, "", "True", "1", "1"), (4, "Y", "False", "2", "5")], "id long, human_acceptable string, judge_acceptable string, human_tone string, judge_tone string")
+    got = sorted((r.id, r.field, r.a, r.b) for r in evaluation.rated(rows, ("tone",), "id").collect())
+    assert got == [(1, "acceptable", "yes", "yes"), (1, "tone", "4", "4"), (2, "acceptable", "no", "yes"), (4, "acceptable", "yes", "no"), (4, "tone", "2", "5")]
