@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import clustered
 from .common import fold, new_path, read
 from .kneser_ney import scored
 from .langid import identify
@@ -14,10 +15,12 @@ from .mixing import blocks, words
 from .mpeg_audio import media_features, media_table
 from .ngram_join import ngram_components
 from .packing import packed
+from .page_diff import extracted
 from .quality import COUNTS, assessed
 from .sharding import ShardStore
 from .token_counts import token_counts
 from .toxicity import toxicity
+from .whitening import whitened
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +77,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "_doc.doc_id", "_doc.source", words(F.col("_doc.text")).alias("n_tokens"), F.round("weight", 9).alias("weight"), "copies", F.array_join(F.col("blocks").cast("array<string>"), ",").alias("blocks"))
 
 
+def op11_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(read(spark, sf_dir, "pages"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(read(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
