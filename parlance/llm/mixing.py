@@ -61,8 +61,7 @@ def exponent(tokens: list[int], max_repeats: float = MAX_REPEATS, max_entropy: f
         w, total = weights(tokens, a), budget
         if total is None:
             total = whole_budget(tokens, w)
-        entropy = -sum(x * math.log(x) for x in w if x > 0)
-        return all(total * x <= max_repeats * t * (1 + 1e-12) for x, t in zip(w, tokens, strict=True)) and (max_entropy is None or entropy <= max_entropy)
+        return all(total * x <= max_repeats * t * (1 + 1e-12) for x, t in zip(w, tokens, strict=True)) and (max_entropy is None or -sum(x * math.log(x) for x in w if x > 0) <= max_entropy)
 
     if not tokens or fits(0.0):
         return 0.0
@@ -76,7 +75,8 @@ def exponent(tokens: list[int], max_repeats: float = MAX_REPEATS, max_entropy: f
 def weights(tokens: list[int], a: float) -> list[float]:
     total = sum(tokens)
     raw = [(t / total) ** a for t in tokens]
-    return [x / sum(raw) for x in raw]
+    whole = sum(raw)
+    return [x / whole for x in raw]
 
 
 def whole_budget(tokens: list[int], w: list[float]) -> float:

@@ -11,9 +11,11 @@ or merge, whatever the number of shards.  It is written aside and renamed to its
 number exists: a version appears whole or not at all, and one of two writers has to try again on the newer
 version.  Readers take the newest version.
 
-``vacuum`` deletes folders that an older version lists and the newest doesn't, then those versions.  What
-another writer has written but not committed is in no version, so it stays; folders that no version lists
-go once they are older than ``grace`` seconds, which must exceed the longest write.
+``vacuum`` deletes versions that were replaced more than ``grace`` seconds ago and the folders that only they list, so readers
+of an older version have that long to finish.  What another writer has written but not committed is in no version, so it stays;
+folders that no version lists go once they are older than ``grace`` seconds too, which must exceed the longest write.
+The number of a deleted version stays taken: its folder stays, without its list, for at least GRACE seconds whatever ``grace`` is.  So a
+writer that looked for the newest version, waited, and renames while others commit and vacuum finds its number taken and tries again.
 
 Only DataFrame operations touch the rows; the driver handles one line of metadata for each folder.
 
@@ -71,10 +73,13 @@ class ShardStore:
     def _fs(self):
         return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _times(self) -> dict[int, int]:
+        """When each version was written, in milliseconds; a vacuumed one has no list any more."""
+        lists = self._fs().globStatus(self._path(f"{self.root}/manifest/v*/part-*"))
+        return {int(s.getPath().getParent().getName()[1:]): s.getModificationTime() for s in lists or ()}
+
     def versions(self) -> list[int]:
-        fs, folder = self._fs(), self._path(f"{self.root}/manifest")
-        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-        return sorted(int(n[1:]) for n in names if n[:1] == "v")
+        return sorted(self._times())
 
     def version(self) -> int:
         """The newest committed version, 0 for a new store."""
@@ -108,7 +113,7 @@ class ShardStore:
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark._jsc.hadoopConfiguration())
         plain = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         source, target = (fs.makeQualified(self._path(p)) for p in (aside, to))
-        if self.version() > after:  # an older number may be free again after a vacuum
+        if self.version() > after:  # spares a try; what decides is the rename, as no number is ever used twice
             raise Conflict(to)
         try:
             context.rename(source, target, plain)
@@ -180,22 +185,28 @@ class ShardStore:
                 continue
 
     def vacuum(self, grace: float = GRACE) -> None:
-        """Deletes folders that only older versions list, those versions, and unlisted folders older than ``grace`` seconds."""
-        fs = self._fs()
-        now, kept = self.newest()
-        live = {s.path.rpartition("/")[2] for s in kept}
-        for old in self.versions():
-            if old < now:
-                for s in self.shards(old):
-                    if s.path.rpartition("/")[2] not in live:
-                        fs.delete(self._path(s.path), True)
-                fs.delete(self._path(f"{self.root}/manifest/v{old:012d}"), True)
+        """Deletes versions replaced over ``grace`` seconds ago, folders that only they list, and unlisted folders as old."""
+        fs, times, before = self._fs(), self._times(), (time.time() - grace) * 1000
+        order = sorted(times)
+        old = [v for v, after in zip(order, order[1:], strict=False) if times[after] < before]
+        lists = {v: self.shards(v) for v in order}
+        live = {s.path.rpartition("/")[2] for v in order if v not in old for s in lists[v]}
+        for v in old:
+            for s in lists[v]:
+                if s.path.rpartition("/")[2] not in live:
+                    fs.delete(self._path(s.path), True)
+            for file in fs.listStatus(self._path(f"{self.root}/manifest/v{v:012d}")):
+                fs.delete(file.getPath(), True)
         newest = {s.path.rpartition("/")[2] for s in self.newest()[1]}
         for kind in ("data", "aside"):
             if fs.exists(self._path(f"{self.root}/{kind}")):
                 for folder in fs.listStatus(self._path(f"{self.root}/{kind}")):
-                    if folder.getPath().getName() not in live | newest and folder.getModificationTime() < (time.time() - grace) * 1000:
+                    if folder.getPath().getName() not in live | newest and folder.getModificationTime() < before:
                         fs.delete(folder.getPath(), True)
+        held = self._times()
+        for folder in fs.listStatus(self._path(f"{self.root}/manifest")) if held else ():
+            if int(folder.getPath().getName()[1:]) not in held and folder.getModificationTime() < (time.time() - GRACE) * 1000:
+                fs.delete(folder.getPath(), True)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, the newest by default."""

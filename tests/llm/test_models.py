@@ -346,6 +346,14 @@ def test_mixing_by_table_equals_mixing_on_the_driver(spark, monkeypatch, limits)
     assert {r.doc_id: (r.mix_copies, round(r.mix_weight, 9)) for r in mixing.with_copies(docs, **limits).collect()} == want
 
 
+def test_many_sources_on_the_driver():
+    """50,000 sources take about as long as 50 times 1,000."""
+    tokens = [1 + (i * i) % 9973 for i in range(50_000)]
+    start = time.process_time()
+    w = mixing.weights(tokens, mixing.exponent(tokens, 2.0))
+    assert time.process_time() - start < 5 and sum(w) == pytest.approx(1)
+
+
 def test_exponent_limits():
     t = [1000, 100, 10]
     a = mixing.exponent(t, 2.0)
@@ -373,9 +381,11 @@ def test_shards(spark):
     with pytest.raises(sharding.Conflict):
         store.commit(before, old)
     store.vacuum()
+    assert store.read(old).count() == 4000  # within the grace
+    store.vacuum(grace=-3600)
     assert store.versions() == [store.version()]
     with pytest.raises(sharding.Conflict):
-        store.commit(before, old - 1)  # its number is free again
+        store.commit(before, old - 1)  # its number stays taken
     assert sorted(map(tuple, store.read().collect())) == sorted(map(tuple, df.collect())) and store.settle() == store.version()
 
 
@@ -397,6 +407,29 @@ def test_vacuum_spares_a_writer_before_its_commit(spark):
     assert not store._fs().exists(store._path(lost)) and store.read().count() == 4000
 
 
+def test_commits_and_a_vacuum_between_check_and_rename(spark, monkeypatch):
+    """Writer A looks, B commits twice and vacuums, A renames: A's rows must not end in a version that nobody reads."""
+    df, a = shard_store(spark)
+    a.append(df.where("id % 4 = 0"))
+    b, looked, real = sharding.ShardStore(spark, a.root, df.schema, a.target), [], a.version
+
+    def version():
+        now = real()
+        if len(looked) < 2:
+            looked.append(now)
+            if len(looked) == 2:  # the check before the rename has its answer
+                b.append(df.where("id % 4 = 1"))
+                b.append(df.where("id % 4 = 2"))
+                b.vacuum()
+        return now
+
+    monkeypatch.setattr(a, "version", version)
+    assert a.append(df.where("id % 4 = 3")) == 4 and looked == [1, 1]
+    assert sorted(map(tuple, b.read().collect())) == sorted(map(tuple, df.collect())) and b.version() == 4
+    b.vacuum()
+    assert b.read().count() == 4000
+
+
 def test_settle_tries_again_after_another_commit(spark, monkeypatch):
     df, store = shard_store(spark)
     for a in range(3):
