@@ -13,8 +13,8 @@ hashes) and is given as components of linked documents, never as all pairs of a
    those rows, dealt by shingle, are the matrix of shingle against group.  Rows of one shingle that all
    belong to one group need no work.  Others yield (query, group) where sizes and positions still allow
    a link: of two groups the one with fewer members asks the other, so a large group doesn't ask for
-   each stray copy.  A shingle that so many rows may have in their prefix that one task would be long at
-   it is a square of cells of about CELL_ROWS rows by as many, and each cell a row of tasks' work alone.
+   each stray copy.  The rows of every shingle of the prefixes are counted; one with more than CELL_ROWS, listed
+   as frequent or not, is a square of cells of about CELL_ROWS rows by as many, each a piece of work of its own.
 4. *Bound and open.*  For such a pair the overlap of the query with the block's shingle union
    is an upper bound for every member.  Only blocks whose bound reaches the need are opened
    and their members verified.
@@ -105,16 +105,16 @@ def _frequent(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
 
 
 def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, at most FREQUENT, sorted, and their counts."""
+    """The most frequent shingles, about FREQUENT at most, sorted, and their counts.  The list only orders shingles; any list gives the same links."""
     counted = stored(docs.select("text").mapInArrow(partial(_frequent, n=n), "token long, count long").groupBy("token").agg(F.sum("count").alias("count")), "frequent")
     size = F.ceil(F.log2("count") * 8).cast("int")
-    least, held = 0, 0
+    least, room, of = 0, FREQUENT, 1  # of the least size class the share room / of is taken, by hash
     for row in counted.groupBy(size.alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect():  # a few hundred rows
-        held += row.n
-        if held > FREQUENT:
-            least = row.size + 1
+        if row.n > room:
+            least, of = row.size, row.n
             break
-    table = counted.where(size >= least).toArrow()
+        room -= row.n
+    table = counted.where((size > least) | (size == least) & (F.pmod(F.xxhash64("token"), F.lit(of)) < room)).toArrow()
     drop_stored(counted)
     token = table["token"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(token)
@@ -160,43 +160,39 @@ def indexing(n: np.ndarray | int, percent: int):
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, order) -> Iterator[pa.RecordBatch]:
-    """The probing prefix of each set in the global order: rare shingles first.
-
-    Cell 0 is a whole shingle.  A row of a shingle with cells is in band ``doc_id`` modulo their number; it is
-    held in the cells of its column and asks in those of its row (``role`` 1 and 2; 3 is both).
-    """
-    names = ["token", "cell", "doc_id", "grp", "members", "np", "role"]
+    """The probing prefix of each set in the global order: rare shingles first."""
+    names = ["token", "doc_id", "grp", "members", "np"]
     for batch in batches:
-        tokens, rows, places, sizes, counts = [], [], [], [], []
+        tokens, rows, places, sizes = [], [], [], []
         d1 = batch["d1"].to_numpy(zero_copy_only=False)
         for i, s in enumerate(shingle_sets(batch["text"], n)):
             if not len(s) or _digest(s)[0] != d1[i]:
                 continue
             keep = probing(len(s), percent)
             often = _often(s, order.value)
-            at = np.argsort(often, kind="stable")[:keep] if often.any() else np.arange(keep)
-            tokens.append(s[at])
+            tokens.append(s[np.argsort(often, kind="stable")[:keep]] if often.any() else s[:keep])
             rows.append(np.full(keep, i))
             places.append(np.arange(keep, dtype=np.int64))
             sizes.append(np.full(keep, len(s), np.int64))
-            counts.append(often[at])
         if not tokens:
             continue
-        token, row, place, size, count = (np.concatenate(x) for x in (tokens, rows, places, sizes, counts))
-        doc = batch["doc_id"].to_numpy(zero_copy_only=False)[row]
-        bands = -(-count // CELL_ROWS)
-        one = np.flatnonzero(bands <= 1)
-        cell, source, role = [np.zeros(len(one), np.int64)], [one], [np.full(len(one), 3, np.int8)]
-        for i in np.flatnonzero(bands > 1).tolist():
-            k = int(bands[i])
-            band, each = int(mix(doc[i : i + 1].astype(np.uint64))[0] % np.uint64(k)), np.arange(k)
-            cell += [1 + band * k + each, 1 + each * k + band]  # asks along its row, is held down its column
-            source.append(np.full(2 * k, i))
-            role.append(np.repeat(np.array([2, 1], np.int8), k))
-        at, cell, role = np.concatenate(source), np.concatenate(cell), np.concatenate(role)
-        taken = pa.array(row[at])
-        cols = [pa.array(signed(token[at])), pa.array(cell), pa.array(doc[at]), batch["grp"].take(taken), batch["members"].take(taken), pa.array(((size << 32) | place)[at]), pa.array(role)]
-        yield pa.RecordBatch.from_arrays(cols, names)
+        token, row, place, size = (np.concatenate(x) for x in (tokens, rows, places, sizes))
+        taken = pa.array(row)
+        yield pa.RecordBatch.from_arrays([pa.array(signed(token)), *(batch[c].take(taken) for c in ("doc_id", "grp", "members")), pa.array((size << 32) | place)], names)
+
+
+def _celled(prefixes: DataFrame) -> DataFrame:
+    """``prefixes`` with the cells of their rows.  Cell 0 is a whole shingle.
+
+    A row of a shingle with more than CELL_ROWS rows is in one of its bands; it asks in the cells of its row and is held in
+    those of its column (``role`` 2 and 1; 3 is both).
+    """
+    crowded = prefixes.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > CELL_ROWS).select("token", F.ceil(F.col("rows") / CELL_ROWS).alias("bands"))
+    band, bands = F.pmod(F.xxhash64("doc_id"), F.col("bands")), F.col("bands")
+    cell = lambda number, role: F.struct(number.cast("long").alias("cell"), F.lit(role).cast("byte").alias("role"))
+    along = F.sequence(F.lit(0).cast("long"), bands - 1)
+    cells = F.when(bands.isNull(), F.array(cell(F.lit(0), 3))).otherwise(F.concat(F.transform(along, lambda e: cell(1 + band * bands + e, 2)), F.transform(along, lambda e: cell(1 + e * bands + band, 1))))
+    return prefixes.join(crowded, "token", "left").withColumn("at", F.explode(cells)).select("token", "at.cell", "doc_id", "grp", "members", "np", "at.role")
 
 
 def _pairs(grp: np.ndarray, members: np.ndarray, doc: np.ndarray, size: np.ndarray, place: np.ndarray, role: np.ndarray, percent: int) -> list[np.ndarray]:
@@ -303,9 +299,10 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("members")), "component").withColumnRenamed("node", "doc_id")
     placed = stored(
         classes.select("doc_id", "d1").join(sized, "doc_id", "left").select("doc_id", "d1", F.coalesce("component", "doc_id").alias("grp"), F.coalesce("members", F.lit(1).cast("long")).alias("members")), "placed")
-    prefixes = docs.join(placed.hint("merge"), "doc_id").mapInArrow(partial(_prefixes, n=n, percent=percent, order=order), "token long, cell long, doc_id long, grp long, members long, np long, role byte")
+    prefixes = stored(docs.join(placed.hint("merge"), "doc_id").mapInArrow(partial(_prefixes, n=n, percent=percent, order=order), "token long, doc_id long, grp long, members long, np long"), "prefixes")
     found = stored(
-        prefixes.repartition("token", "cell").sortWithinPartitions("token", "cell", "grp").mapInArrow(partial(_candidates, percent=percent), "doc_id long, grp long").distinct(), "candidates")
+        _celled(prefixes).repartition("token", "cell").sortWithinPartitions("token", "cell", "grp").mapInArrow(partial(_candidates, percent=percent), "doc_id long, grp long").distinct(), "candidates")
+    drop_stored(prefixes)
 
     # A group folds to blocks of about BLOCK members.  First each query meets one block of the largest
     # group it was found with; what still lies in another component meets all blocks of its groups.

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.llm import ngram_join as nj
 from parlance.llm.components import components
@@ -72,6 +73,43 @@ def test_frequent_shingles(spark, monkeypatch):
     assert nj.frequent(docs.where("false"), 5)[1].tolist() == []
 
 
+def test_a_crowded_class_of_counts_is_cut_not_left_out(spark, monkeypatch):
+    rows = [(i, " ".join(f"{w}{k}" for w in ("a b c d e f g h i j k l m n".split()) for k in range(5))) for i in range(8)]
+    docs = build(spark, [(i, t, "en", "s") for i, t in rows]).coalesce(1)
+    assert len(nj.frequent(docs, 5)[0]) == 66
+    monkeypatch.setattr(nj, "FREQUENT", 33)
+    assert 10 < len(nj.frequent(docs, 5)[0]) < 56
+
+
+def test_unlisted_shingle_of_many_rows(spark, monkeypatch):
+    """No task saw the shared shingle often enough to list it, yet its 100,000 rows are split by their exact number."""
+    import resource
+
+    monkeypatch.setattr(nj, "REPEATS", 1 << 30)
+    n, seen = 100_000, []
+    texts = F.concat(F.lit("same first five words here "), F.concat_ws(" ", *(F.concat(F.lit(c), F.col("id").cast("string")) for c in "pqrs")))
+    pairs = spark.range(0, n, 50).select((F.col("id") + n).alias("id"), texts.alias("text"))  # exact copies of some
+    docs = spark.range(n).select("id", texts.alias("text")).union(pairs).withColumnRenamed("id", "doc_id")
+    real = nj._celled
+
+    def celled(prefixes):
+        out = real(prefixes)
+        seen.append(out.groupBy("token", "cell").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(nj, "_celled", celled)
+    whole = nj._candidates
+
+    def measured(batches, percent):
+        yield from whole(batches, percent)
+        assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 500 << 10  # of the worker, in KB
+
+    monkeypatch.setattr(nj, "_candidates", measured)
+    got = nj.ngram_components(docs).groupBy((F.col("component_id") == F.pmod("doc_id", F.lit(n))).alias("ok"), "n_shingles").count().collect()
+    assert [(r.ok, r.n_shingles, r["count"]) for r in got] == [(True, 5, n + n // 50)]
+    assert nj.CELL_ROWS < seen[0] < 3 * nj.CELL_ROWS
+
+
 def test_threshold_is_exact(spark):
     # ten shingles against nine of them and one other: 9 / 11 links at 80, 8 / 12 does not
     base = [f"a{i}" for i in range(14)]
