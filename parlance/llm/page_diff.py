@@ -14,7 +14,7 @@ Two things that differencing can't tell alone are settled from the markup and fr
 
 Paths are ordered by a range partitioning whose edges are carried over, lines are counted by host after each task has added up its
 own, and the counts of a line reach only the host that has most of them, so neither a crowded host nor a frequent line is gathered in one
-task.  A host's list of site lines holds at most twice the mean number of lines of its pages.
+task.  Pages are read and parsed twice, so that their texts are never stored and dealt out once, packed.  A host's list of site lines holds at most twice the mean number of lines of its pages.
 
 Edge cases: a null or blank html gives an empty text; a null url is an unnamed host's; pages without a second path on their host are
 judged by markup alone.  Pages cut off inside a tag lose that tag.  Repeated rows give a row each, no rows give no rows.
@@ -23,6 +23,7 @@ judged by markup alone.  Pages cut off inside a tag lose that tag.  Repeated row
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from hashlib import blake2b
 from os.path import commonprefix
 
@@ -38,16 +39,18 @@ LEAST_OUTSIDE, LEAST_INSIDE, SURE = 2, 3, 10
 #: Share of a page's text from which it counts as a copy of the page beside it.
 COPIED = 0.5
 
-_PARSED = "page_id long, url string, host string, path string, texts array<string>, places array<int>, furniture array<int>, marked boolean, all_lines array<binary>"
+_KEYS = "page_id long, url string, host string, path string, all_lines array<long>"
+_WHOLE = _KEYS + ", texts binary, size int, places array<int>, furniture array<int>, marked boolean"
+_NEAR = "host string, path string, near array<long>, known array<long>, counts array<long>"
 _TEXT = "page_id long, url string, text string, n_chars long, n_shared long, n_marked long"
 
 
-def _key(text: str) -> bytes:
-    """A digest; 8 bytes would give chance matches among all lines of a large crawl."""
-    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).digest()
+def _key(text: str) -> int:
+    """A 64-bit digest.  Two lines that share one matter only if their pages are beside each other or their hosts have both."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def entries(found: list[Line], places: list[int]) -> tuple[list[bytes], list[int], list[int]]:
+def entries(found: list[Line], places: list[int]) -> tuple[list[int], list[int], list[int]]:
     """(what is aligned, where the lines at ``places`` are in it, where page furniture is in it)."""
     keys, at, furniture, chosen, last = [], [], [], {*places}, None
     for i, x in enumerate(found):
@@ -62,19 +65,23 @@ def entries(found: list[Line], places: list[int]) -> tuple[list[bytes], list[int
     return keys, at, furniture
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """What is aligned of each page; ``whole``: also its lines, as one packed text, as they are dealt once more."""
+    zstd = pa.Codec("zstd")
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
-            rows = []
+            part, rows = batch.slice(at, 64), []
             for page, url, html in zip(part["page_id"].to_pylist(), part["url"].to_pylist(), part["html"].to_pylist(), strict=True):
                 found = lines(html)
                 places, marked = article(found)
-                host, path = place_of(url)
                 keys, at_keys, furniture = entries(found, places)
-                rows.append((page, url, host, path, [found[i].text for i in places], at_keys, furniture, marked, keys))
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.binary()))
-            names = ("page_id", "url", "host", "path", "texts", "places", "furniture", "marked", "all_lines")
+                row = [page, url, *place_of(url), keys]
+                if whole:
+                    text = "\n".join(found[i].text for i in places).encode("utf-8", "replace")
+                    row += [zstd.compress(text, asbytes=True), len(text), at_keys, furniture, marked]
+                rows.append(row)
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int64())] + [pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_()] * whole
+            names = ["page_id", "url", "host", "path", "all_lines"] + ["texts", "size", "places", "furniture", "marked"] * whole
             yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
@@ -91,10 +98,10 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known.append([x["line"] for x in own])
             counts.append([x["paths"] for x in own])
         yield pa.RecordBatch.from_arrays(
-            [batch["host"], batch["path"], pa.array(near, pa.list_(pa.binary())), pa.array(known, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int64()))], ["host", "path", "near", "known", "counts"])
+            [batch["host"], batch["path"], pa.array(near, pa.list_(pa.int64())), pa.array(known, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], ["host", "path", "near", "known", "counts"])
 
 
-def stays(texts: list[str], places: list[int], marked: bool, both: list[bool], keys: list[bytes], paths: dict[bytes, int]) -> list[bool]:
+def stays(texts: list[str], places: list[int], marked: bool, both: list[bool], keys: list[int], paths: dict[int, int]) -> list[bool]:
     """Which lines of a page are kept; ``both``: what its nearest page shares, ``paths``: how many paths of the host have each of its site lines."""
     copied = sum(len(t) for t, i in zip(texts, places, strict=True) if both[i]) > COPIED * sum(map(len, texts))
     least = max(LEAST_INSIDE if marked else LEAST_OUTSIDE, SURE if copied else 0)
@@ -102,13 +109,15 @@ def stays(texts: list[str], places: list[int], marked: bool, both: list[bool], k
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    zstd = pa.Codec("zstd")
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part, rows = batch.slice(at, 64), []
             for r in part.to_pylist():
                 both = shared(r["all_lines"], r["near"] or [])
-                keep = stays(r["texts"], r["places"], r["marked"], both, r["all_lines"], dict(zip(r["known"] or (), r["counts"] or (), strict=True)))
-                text = "\n".join(t for t, k in zip(r["texts"], keep, strict=True) if k)
+                texts = zstd.decompress(r["texts"], r["size"], asbytes=True).decode().split("\n") if r["places"] else []
+                keep = stays(texts, r["places"], r["marked"], both, r["all_lines"], dict(zip(r["known"] or (), r["counts"] or (), strict=True)))
+                text = "\n".join(t for t, k in zip(texts, keep, strict=True) if k)
                 with_near = sum(both[i] for i in r["furniture"])
                 rows.append((text, len(text), keep.count(False) + with_near, len(r["furniture"]) - with_near))
             text, chars, common, alone = zip(*rows, strict=True)
@@ -147,9 +156,9 @@ def extracted(pages: DataFrame) -> DataFrame:
     n_shared counts what was deleted as shared with the nearest page (runs of page furniture as one), n_marked furniture that it lacks.
     """
     given = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    parsed = stored(given.mapInArrow(_parsed, _PARSED), "page-lines")
+    parsed = stored(given.mapInArrow(partial(_parsed, whole=False), _KEYS), "page-lines")
     first = parsed.groupBy("host", "path").agg(F.min(F.struct("page_id", "url", "all_lines")).alias("first")).select("host", "path", "first.all_lines")
     paths = stored(first.repartitionByRange("host", "path").withColumn("part", F.spark_partition_id()), "page-paths")
-    near = stored(_beside(paths).join(_site_lines(paths), "host", "left").mapInArrow(_nearest, "host string, path string, near array<binary>, known array<binary>, counts array<long>"), "page-near")
-    drop_stored(paths)
-    return parsed.join(near, ["host", "path"], "left").mapInArrow(_texts, _TEXT)
+    near = stored(_beside(paths).join(_site_lines(paths), "host", "left").mapInArrow(_nearest, _NEAR), "page-near")
+    drop_stored(paths, parsed)
+    return given.mapInArrow(partial(_parsed, whole=True), _WHOLE).join(near, ["host", "path"], "left").mapInArrow(_texts, _TEXT)
