@@ -61,10 +61,8 @@ def drop_stored(*frames: DataFrame) -> None:
     """Deletes tables made by ``stored`` that nothing reads any more, and frees their shuffle files."""
     for df in frames:
         spark = df.sparkSession
-        files = df.inputFiles()
-        if files:
-            jvm = spark._jvm
-            path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:  # one, or those of a union
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     release(frames[0].sparkSession)
 

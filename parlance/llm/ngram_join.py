@@ -13,8 +13,11 @@ hashes) and is given as components of linked documents, never as all pairs of a
    those rows, dealt by shingle, are the matrix of shingle against group.  Rows of one shingle that all
    belong to one group need no work.  Others yield (query, group) where sizes and positions still allow
    a link: of two groups the one with fewer members asks the other, so a large group doesn't ask for
-   each stray copy.  The rows of every shingle of the prefixes are counted; one with more than CELL_ROWS, listed
-   as frequent or not, is a square of cells of about CELL_ROWS rows by as many, each a piece of work of its own.
+   each stray copy.  A shingle that so many rows may have in their prefix that one task would be long at
+   it is a square of cells of about CELL_ROWS rows by as many, and each cell a row of tasks' work alone.  The list
+   tells such shingles beforehand.  The rows of a cell that has more than twice as many are handed on as they come; an
+   unlisted shingle found so joins the list by its exact number and, as any order gives the same links, the prefixes are
+   made again.  What is crowded after ROUNDS rounds is split by exact numbers, so no task compares or holds more.
 4. *Bound and open.*  For such a pair the overlap of the query with the block's shingle union
    is an upper bound for every member.  Only blocks whose bound reaches the need are opened
    and their members verified.
@@ -53,6 +56,7 @@ QUERY_ROWS = 2048  # queries that meet one copy of a block
 FREQUENT = 1 << 20  # shingles at most in the list of frequent ones (12 MB), fixed at every scale
 REPEATS = 4  # rows of a task that must have a shingle for it to be counted
 COUNTED = 4_000_000  # shingles a task counts before it forgets those met once
+ROUNDS = 2  # times at most that the list is mended
 CELL_ROWS = 4096  # rows of a shingle that are compared with as many in one cell
 
 _C, _D = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
@@ -85,8 +89,8 @@ def _summaries(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n", "d1", "d2", "keys"])
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Shingles that REPEATS or more rows of a task have, and how many."""
+def _frequent(batches: Iterator[pa.RecordBatch], n: int, repeats: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Shingles that ``repeats`` or more rows of a task have, and how many."""
     token, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
         sets = [s for s in shingle_sets(batch["text"], n) if len(s)]
@@ -98,15 +102,15 @@ def _frequent(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             count = np.bincount(at, np.concatenate([count, times]), len(token)).astype(np.int64)
         else:
             token, count = fresh, times
-        if len(token) > COUNTED:
+        if len(token) > most:
             token, count = token[count > 1], count[count > 1]
-    often = count >= REPEATS
+    often = count >= repeats
     yield pa.RecordBatch.from_arrays([pa.array(signed(token[often])), pa.array(count[often])], ["token", "count"])
 
 
 def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, about FREQUENT at most, sorted, and their counts.  The list only orders shingles; any list gives the same links."""
-    counted = stored(docs.select("text").mapInArrow(partial(_frequent, n=n), "token long, count long").groupBy("token").agg(F.sum("count").alias("count")), "frequent")
+    counted = stored(docs.select("text").mapInArrow(partial(_frequent, n=n, repeats=REPEATS, most=COUNTED), "token long, count long").groupBy("token").agg(F.sum("count").alias("count")), "frequent")
     size = F.ceil(F.log2("count") * 8).cast("int")
     least, room, of = 0, FREQUENT, 1  # of the least size class the share room / of is taken, by hash
     for row in counted.groupBy(size.alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect():  # a few hundred rows
@@ -121,6 +125,20 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], table["count"].to_numpy()[order]
 
 
+def _relisted(asked: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
+    """The list with the crowded shingles it lacks, by their exact numbers, about FREQUENT at most; None if it lacks none."""
+    crowded = asked.where("token is not null and cell = 0").groupBy("token").agg(F.count("*").alias("count"))
+    rows = crowded.orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()  # of shingles with over 2 * CELL_ROWS rows each
+    token, count = rows["token"].to_numpy().astype(np.int64).view(np.uint64), rows["count"].to_numpy()
+    new = ~np.isin(token, order[0])
+    if not new.any():
+        return None
+    token, count = np.concatenate([order[0], token[new]]), np.concatenate([order[1], count[new]])
+    kept = np.argsort(-count, kind="stable")[: max(FREQUENT, len(order[0]))]
+    kept = kept[np.argsort(token[kept])]
+    return None if np.array_equal(token[kept], order[0]) else (token[kept], count[kept])
+
+
 def _often(s: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """How often each shingle was counted, 0 where it isn't in the list."""
     token, count = order
@@ -131,7 +149,7 @@ def _often(s: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.where(token[at] == s, count[at], 0)
 
 
-def _grouping(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _grouping(batches: Iterator[pa.RecordBatch], n: int, percent: int, most: int, centres: int) -> Iterator[pa.RecordBatch]:
     """Verified links (u, v) between rows and the leading sets of their key; rows come sorted by key."""
     key, leaders = None, []
     for batch in batches:
@@ -146,7 +164,7 @@ def _grouping(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterat
                 if min(size, len(held)) * 100 >= percent * max(size, len(held)) and linked(overlap(s, held), size, len(held), percent):
                     links.append((doc, lead))
                     alone = False
-            if len(leaders) < LEADERS and (alone or len(leaders) < CENTRES):
+            if len(leaders) < most and (alone or len(leaders) < centres):
                 leaders.append((doc, s))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["u", "v"])
 
@@ -159,40 +177,60 @@ def indexing(n: np.ndarray | int, percent: int):
     return n - (2 * percent * n + 99 + percent) // (100 + percent) + 1
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, order) -> Iterator[pa.RecordBatch]:
-    """The probing prefix of each set in the global order: rare shingles first."""
-    names = ["token", "doc_id", "grp", "members", "np"]
+def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, order, cell_rows: int) -> Iterator[pa.RecordBatch]:
+    """The probing prefix of each set in the global order: rare shingles first.
+
+    Cell 0 is a whole shingle.  A row of a shingle with cells is in band ``doc_id`` modulo their number; it is
+    held in the cells of its column and asks in those of its row (``role`` 1 and 2; 3 is both).
+    """
+    names = ["token", "cell", "doc_id", "grp", "members", "np", "role"]
     for batch in batches:
-        tokens, rows, places, sizes = [], [], [], []
+        tokens, rows, places, sizes, counts = [], [], [], [], []
         d1 = batch["d1"].to_numpy(zero_copy_only=False)
         for i, s in enumerate(shingle_sets(batch["text"], n)):
             if not len(s) or _digest(s)[0] != d1[i]:
                 continue
             keep = probing(len(s), percent)
             often = _often(s, order.value)
-            tokens.append(s[np.argsort(often, kind="stable")[:keep]] if often.any() else s[:keep])
+            at = np.argsort(often, kind="stable")[:keep] if often.any() else np.arange(keep)
+            tokens.append(s[at])
             rows.append(np.full(keep, i))
             places.append(np.arange(keep, dtype=np.int64))
             sizes.append(np.full(keep, len(s), np.int64))
+            counts.append(often[at])
         if not tokens:
             continue
-        token, row, place, size = (np.concatenate(x) for x in (tokens, rows, places, sizes))
-        taken = pa.array(row)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(token)), *(batch[c].take(taken) for c in ("doc_id", "grp", "members")), pa.array((size << 32) | place)], names)
-
-
-def _celled(prefixes: DataFrame) -> DataFrame:
-    """``prefixes`` with the cells of their rows.  Cell 0 is a whole shingle.
-
-    A row of a shingle with more than CELL_ROWS rows is in one of its bands; it asks in the cells of its row and is held in
-    those of its column (``role`` 2 and 1; 3 is both).
+        token, row, place, size, count = (np.concatenate(x) for x in (tokens, rows, places, sizes, counts))
+        doc = batch["doc_id"].to_numpy(zero_copy_only=False)[row]
+        bands = -(-count // cell_rows)
+        one = np.flatnonzero(bands <= 1)
+        cell, source, role = [np.zeros(len(one), np.int64)], [one], [np.full(len(one), 3, np.int8)]
+        for i in np.flatnonzero(bands > 1).tolist():
+            k = int(bands[i])
+            band, each = int(mix(doc[i : i + 1].astype(np.uint64))[0] % np.uint64(k)), np.arange(k)
+            cell += [1 + band * k + each, 1 + each * k + band]  # asks along its row, is held down its column
+            source.append(np.full(2 * k, i))
+            role.append(np.repeat(np.array([2, 1], np.int8), k))
+        at, cell, role = np.concatenate(source), np.concatenate(cell), np.concatenate(role)
+        taken = pa.array(row[at])
+        cols = [pa.array(signed(token[at])), pa.array(cell), pa.array(doc[at]), batch["grp"].take(taken), batch["members"].take(taken), pa.array(((size << 32) | place)[at]), pa.array(role)]
+        yield pa.RecordBatch.from_arrays(cols, names)
+
+
+def _celled(rows: DataFrame) -> DataFrame:
+    """Rows of crowded cells, dealt to cells of about CELL_ROWS rows by as many by their exact number.
+
+    A row is in one of the cell's bands; it asks along its row of new cells if it asked before, and is held down its column
+    if it was held.
     """
-    crowded = prefixes.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > CELL_ROWS).select("token", F.ceil(F.col("rows") / CELL_ROWS).alias("bands"))
+    at = F.xxhash64("token", "cell")
+    crowded = rows.groupBy(at.alias("token")).agg(F.ceil(F.count("*") / CELL_ROWS).alias("bands"))
     band, bands = F.pmod(F.xxhash64("doc_id"), F.col("bands")), F.col("bands")
-    cell = lambda number, role: F.struct(number.cast("long").alias("cell"), F.lit(role).cast("byte").alias("role"))
     along = F.sequence(F.lit(0).cast("long"), bands - 1)
-    cells = F.when(bands.isNull(), F.array(cell(F.lit(0), 3))).otherwise(F.concat(F.transform(along, lambda e: cell(1 + band * bands + e, 2)), F.transform(along, lambda e: cell(1 + e * bands + band, 1))))
-    return prefixes.join(crowded, "token", "left").withColumn("at", F.explode(cells)).select("token", "at.cell", "doc_id", "grp", "members", "np", "at.role")
+    cells = lambda role, number: F.when(F.col("role").bitwiseAND(role) > 0, F.transform(along, lambda e: F.struct(number(e).alias("cell"), F.lit(role).cast("byte").alias("role")))).otherwise(F.array().cast("array<struct<cell:bigint,role:tinyint>>"))
+    new = F.concat(cells(2, lambda e: 1 + band * bands + e), cells(1, lambda e: 1 + e * bands + band))
+    split = rows.withColumn("token", at).join(crowded, "token").withColumn("at", F.explode(new))
+    return split.select("token", "at.cell", "doc_id", "grp", "members", "np", "at.role")
 
 
 def _pairs(grp: np.ndarray, members: np.ndarray, doc: np.ndarray, size: np.ndarray, place: np.ndarray, role: np.ndarray, percent: int) -> list[np.ndarray]:
@@ -215,23 +253,44 @@ def _pairs(grp: np.ndarray, members: np.ndarray, doc: np.ndarray, size: np.ndarr
     return found
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(query, group) pairs of different groups that a shingle's rows still allow; rows come sorted by shingle, cell and group."""
-    names = ("token", "cell", "grp", "members", "doc_id", "np", "role")
+_ROWS = ("token", "cell", "grp", "members", "doc_id", "np", "role")
+_CANDIDATES = "token long, cell long, grp long, members long, doc_id long, np long, role byte"
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], percent: int, most: int | None) -> Iterator[pa.RecordBatch]:
+    """(doc_id, grp), a query and another group that a cell's rows still allow; rows come sorted by shingle, cell and group.
+
+    A cell of more than ``most`` rows is handed on as it is, row by row, so that it can be split: only such rows have a token.
+    """
     left: list[np.ndarray] = []
+    crowded = None  # the cell that is being handed on
+
+    def handed(cols) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], [*_ROWS])
 
     def result(cols):
         token, cell, grp, members, doc, np_, role = cols
         edge = np.flatnonzero((token[1:] != token[:-1]) | (cell[1:] != cell[:-1])) + 1
         first, last = np.concatenate([[0], edge]), np.concatenate([edge, [len(token)]])
         mixed = grp[first] != grp[last - 1]  # sorted by group within a cell
-        found = [x for a, b in zip(first[mixed].tolist(), last[mixed].tolist(), strict=True) for x in _pairs(grp[a:b], members[a:b], doc[a:b], np_[a:b] >> 32, np_[a:b] & 0xFFFFFFFF, role[a:b], percent)]
+        large = np.zeros(len(first), bool) if most is None else last - first > most
+        for a, b in zip(first[mixed & large].tolist(), last[mixed & large].tolist(), strict=True):
+            yield handed([x[a:b] for x in cols])
+        found = [x for a, b in zip(first[mixed & ~large].tolist(), last[mixed & ~large].tolist(), strict=True) for x in _pairs(grp[a:b], members[a:b], doc[a:b], np_[a:b] >> 32, np_[a:b] & 0xFFFFFFFF, role[a:b], percent)]
         if found:
-            rows = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["doc_id", "grp"])
+            docs, groups = np.unique(np.concatenate(found, axis=1), axis=1)
+            none = pa.nulls(len(docs), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(groups), none, pa.array(docs), none, pa.nulls(len(docs), pa.int8())], [*_ROWS])
 
     for batch in batches:
-        cols = [batch[c].to_numpy(zero_copy_only=False) for c in names]
+        cols = [batch[c].to_numpy(zero_copy_only=False) for c in _ROWS]
+        if crowded and len(cols[0]):
+            own = (cols[0] == crowded[0]) & (cols[1] == crowded[1])
+            if own.any():
+                yield handed([x[own] for x in cols])
+                cols = [x[~own] for x in cols]
+            if len(cols[0]):
+                crowded = None
         if left:
             cols = [np.concatenate(x) for x in zip(left, cols, strict=True)]
         if not len(cols[0]):
@@ -241,10 +300,19 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         left = [x[cut:].copy() for x in cols]
         if cut:
             yield from result([x[:cut] for x in cols])
+        if most is not None and len(left[0]) > most:
+            crowded = (left[0][0], left[1][0])
+            yield handed(left)
+            left = []
     if left:
         yield from result(left)
 
 
+def _met(rows: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Candidates of rows dealt by shingle and cell, and the rows of cells with more than ``most``."""
+    return rows.repartition("token", "cell").sortWithinPartitions("token", "cell", "grp").select(*_ROWS).mapInArrow(partial(_candidates, percent=percent, most=most), _CANDIDATES)
+
+
 def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Members of a block come first, then its queries: bound each query by the union, then open."""
     key, members, union = None, [], None
@@ -291,7 +359,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     heavy = keyed.groupBy("w", "k").agg(F.count("*").alias("c")).where("c > 1")
     active = stored(keyed.join(heavy, ["w", "k"]).select("doc_id", "d1", F.xxhash64("w", "k").alias("k"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / SALT_ROWS)).alias("salt")), "active")
     near = stored(
-        docs.join(active.hint("merge"), "doc_id").repartition("k", "salt").sortWithinPartitions("k", "salt", "doc_id").mapInArrow(partial(_grouping, n=n, percent=percent), LINKS), "near")
+        docs.join(active.hint("merge"), "doc_id").repartition("k", "salt").sortWithinPartitions("k", "salt", "doc_id").mapInArrow(partial(_grouping, n=n, percent=percent, most=LEADERS, centres=CENTRES), LINKS), "near")
     drop_stored(active)
     groups = stored(components(near), "groups")
 
@@ -299,10 +367,18 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("members")), "component").withColumnRenamed("node", "doc_id")
     placed = stored(
         classes.select("doc_id", "d1").join(sized, "doc_id", "left").select("doc_id", "d1", F.coalesce("component", "doc_id").alias("grp"), F.coalesce("members", F.lit(1).cast("long")).alias("members")), "placed")
-    prefixes = stored(docs.join(placed.hint("merge"), "doc_id").mapInArrow(partial(_prefixes, n=n, percent=percent, order=order), "token long, doc_id long, grp long, members long, np long"), "prefixes")
-    found = stored(
-        _celled(prefixes).repartition("token", "cell").sortWithinPartitions("token", "cell", "grp").mapInArrow(partial(_candidates, percent=percent), "doc_id long, grp long").distinct(), "candidates")
-    drop_stored(prefixes)
+    for again in range(ROUNDS, -1, -1):
+        prefixes = docs.join(placed.hint("merge"), "doc_id").mapInArrow(partial(_prefixes, n=n, percent=percent, order=order, cell_rows=CELL_ROWS), "token long, cell long, doc_id long, grp long, members long, np long, role byte")
+        asked = stored(_met(prefixes, percent, 2 * CELL_ROWS), "asked")
+        more = _relisted(asked, order.value) if again else None
+        if more is None:
+            break
+        drop_stored(asked)
+        order.unpersist()
+        order = spark.sparkContext.broadcast(more)
+    rest = stored(_met(_celled(asked.where("token is not null")), percent, None), "asked")
+    found = stored(asked.where("token is null").unionByName(rest).select("doc_id", "grp").distinct(), "candidates")
+    drop_stored(asked, rest)
 
     # A group folds to blocks of about BLOCK members.  First each query meets one block of the largest
     # group it was found with; what still lies in another component meets all blocks of its groups.
@@ -318,7 +394,9 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     whole = components(links[0].unionByName(links[1]).unionByName(links[2]))
 
     labels = classes.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("n", "d1", "d2", F.coalesce("component", "doc_id").alias("component_id"))
-    return summary.join(labels, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = stored(summary.join(labels, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "components")
+    drop_stored(summary, classes, whole, *links)
+    return out
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -326,7 +404,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Of several rows with this id that with the least text digest stays.  Rows without an id can't be told apart and stay.
     """
-    joined = stored(ngram_components(docs, n, percent), "joined")
+    joined = ngram_components(docs, n, percent)
     first = joined.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     first = first.withColumnRenamed("doc_id", "_least").hint("merge")
     kept = docs.select(F.struct("*").alias("_doc")).join(first, F.col("_doc.doc_id").cast("long") == F.col("_least"))  # no name of docs can clash

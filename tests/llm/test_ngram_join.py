@@ -4,6 +4,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def brute(rows, n, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("seed", "percent", "bounds"), [(1, 80, {}), (2, 60, {"REPEATS": 1, "CELL_ROWS": 2}), (3, 90, {"REPEATS": 2, "FREQUENT": 40, "CELL_ROWS": 3}), (4, 80, {"REPEATS": 2, "COUNTED": 20, "CELL_ROWS": 1})])
+@pytest.mark.parametrize(("seed", "percent", "bounds"), [(1, 80, {}), (2, 60, {"REPEATS": 1, "CELL_ROWS": 2}), (3, 90, {"REPEATS": 2, "FREQUENT": 40, "CELL_ROWS": 3}), (4, 80, {"REPEATS": 99, "COUNTED": 20, "CELL_ROWS": 1}), (5, 80, {"REPEATS": 99, "CELL_ROWS": 2, "ROUNDS": 0})])
 def test_components_equal_brute_force(spark, monkeypatch, seed, percent, bounds):
     """Copies edited again and again, a shared passage, short texts; bounds so small that every path is taken."""
     for name, value in (("SALT_ROWS", 5), ("BLOCK", 3), ("QUERY_ROWS", 2), ("LEADERS", 3), ("CENTRES", 1), *bounds.items()):
@@ -60,6 +62,31 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, percent, bounds)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 5, percent)
 
 
+def test_crowded_cells_are_handed_on_and_split():
+    """Batches cut cells anywhere; what a cell's rows allow is the same however often it is split."""
+    rng = random.Random(9)
+    rows = sorted((t, c, rng.randrange(4), 1, i, (rng.randrange(5, 7) << 32) | rng.randrange(2), 3) for i in range(300) for t, c in {(rng.randrange(3), 0), (7, 0)})
+    rows = sorted(rows, key=lambda r: r[:3])
+
+    def run(rows, most, size=23):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a : a + size]], pa.int64() if k < 6 else pa.int8()) for k in range(7)], [*nj._ROWS]) for a in range(0, len(rows), size)]
+        return [tuple(r.values()) for batch in nj._candidates(iter(batches), 80, most) for r in batch.to_pylist()]
+
+    want = {(r[4], r[2]) for r in run(rows, None, 10_000)}
+    for most, size in ((1000, 23), (120, 23), (120, 400), (10, 7)):
+        out = run(rows, most, size)
+        pairs, crowded = {(r[4], r[2]) for r in out if r[0] is None}, [r for r in out if r[0] is not None]
+        again = []
+        for token in {r[0] for r in crowded}:
+            held = [r for r in crowded if r[0] == token]
+            assert len(held) > most and sorted(held) == sorted(r for r in rows if r[0] == token)
+            for x in range(3):
+                for y in range(3):
+                    again += [(token, 1 + 3 * x + y, *r[2:6], role) for r in held for role, band in ((2, x), (1, y)) if r[4] % 3 == band]
+        pairs |= {(r[4], r[2]) for r in run(sorted(again, key=lambda r: r[:3]), None, size)}
+        assert pairs == want
+
+
 def test_frequent_shingles(spark, monkeypatch):
     """Whole tasks are counted, not batches, and the list keeps the most frequent."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
@@ -82,32 +109,32 @@ def test_a_crowded_class_of_counts_is_cut_not_left_out(spark, monkeypatch):
 
 
 def test_unlisted_shingle_of_many_rows(spark, monkeypatch):
-    """No task saw the shared shingle often enough to list it, yet its 100,000 rows are split by their exact number."""
+    """No task saw the shared shingle often enough to list it; its 100,000 rows are counted as they come, and it is listed."""
     import resource
 
-    monkeypatch.setattr(nj, "REPEATS", 1 << 30)
+    monkeypatch.setattr(nj, "frequent", lambda docs, n: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     n, seen = 100_000, []
-    texts = F.concat(F.lit("same first five words here "), F.concat_ws(" ", *(F.concat(F.lit(c), F.col("id").cast("string")) for c in "pqrs")))
+    shared = min((f"same first five words {k}" for k in range(999)), key=lambda x: next(nj.shingle_sets(pa.array([x]), 5))[0])  # early in the order
+    texts = F.concat(F.lit(shared + " "), F.concat_ws(" ", *(F.concat(F.lit(c), F.col("id").cast("string")) for c in "pqrs")))
     pairs = spark.range(0, n, 50).select((F.col("id") + n).alias("id"), texts.alias("text"))  # exact copies of some
     docs = spark.range(n).select("id", texts.alias("text")).union(pairs).withColumnRenamed("id", "doc_id")
-    real = nj._celled
+    real = nj._relisted
 
-    def celled(prefixes):
-        out = real(prefixes)
-        seen.append(out.groupBy("token", "cell").count().agg(F.max("count")).first()[0])
-        return out
+    def relisted(asked, order):
+        seen.append(asked.where("token is not null").count())
+        return real(asked, order)
 
-    monkeypatch.setattr(nj, "_celled", celled)
+    monkeypatch.setattr(nj, "_relisted", relisted)
     whole = nj._candidates
 
-    def measured(batches, percent):
-        yield from whole(batches, percent)
+    def measured(batches, percent, most):
+        yield from whole(batches, percent, most)
         assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 500 << 10  # of the worker, in KB
 
     monkeypatch.setattr(nj, "_candidates", measured)
     got = nj.ngram_components(docs).groupBy((F.col("component_id") == F.pmod("doc_id", F.lit(n))).alias("ok"), "n_shingles").count().collect()
     assert [(r.ok, r.n_shingles, r["count"]) for r in got] == [(True, 5, n + n // 50)]
-    assert nj.CELL_ROWS < seen[0] < 3 * nj.CELL_ROWS
+    assert 0.9 * n < seen[0] <= n and seen[1:] == [0]  # once listed it is in no prefix
 
 
 def test_threshold_is_exact(spark):
