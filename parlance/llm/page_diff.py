@@ -159,6 +159,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     parsed = stored(given.mapInArrow(partial(_parsed, whole=False), _KEYS), "page-lines")
     first = parsed.groupBy("host", "path").agg(F.min(F.struct("page_id", "url", "all_lines")).alias("first")).select("host", "path", "first.all_lines")
     paths = stored(first.repartitionByRange("host", "path").withColumn("part", F.spark_partition_id()), "page-paths")
-    near = stored(_beside(paths).join(_site_lines(paths), "host", "left").mapInArrow(_nearest, _NEAR), "page-near")
-    drop_stored(paths, parsed)
+    site = stored(_site_lines(paths), "page-site")  # a table of its own, so that the join can split a host of many paths
+    near = stored(_beside(paths).join(site, "host", "left").mapInArrow(_nearest, _NEAR), "page-near")
+    drop_stored(paths, parsed, site)
     return given.mapInArrow(partial(_parsed, whole=True), _WHOLE).join(near, ["host", "path"], "left").mapInArrow(_texts, _TEXT)
