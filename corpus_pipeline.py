@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import langid, mixing, ngram_join, packing, toxicity
-from parlance.llm.common import fold, new_path, read
+from parlance.llm.common import drop_stored, fold, new_path, read
 from parlance.session import ship
 
 
@@ -84,5 +84,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         path = new_path(spark, f"stage-{number}")
         out.write.parquet(path)
+        if number:
+            drop_stored(docs)  # what the stage before kept
         docs = spark.read.schema(out.schema).parquet(path)
     return docs
