@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ def tokens(text: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
+#: Latin letters with marks, and the letters without them.
+ACCENTED = "".join(chr(c) for c in range(0xC0, 0x180) if len(unicodedata.normalize("NFKD", chr(c))) == 2)
+PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in ACCENTED)
+
+
 def shingle_set(text: Column, n: int = 3) -> Column:
     """Distinct word n-grams; a shorter text is one shingle, a blank one none."""
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as t
 from ..functions.stats import rate
 from ..lexicon import FAMILIES
-from ..operators import clusters, retrieval as op
+from ..operators import clusters, retrieval as op, search
 from ..registry import query
 from ..sources.bindings import documents, with_ctes
 from ..sources.tables import stored, table
@@ -45,12 +46,18 @@ def _index(spark, sf_dir):
     return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
 
 
+def _searched(spark, sf_dir):
+    """The index of all documents, kept for the queries that search it."""
+    return search.kept(documents(spark, sf_dir), "documents", lambda d: d.select(F.col("doc_id").alias("id"), "text"))
+
+
 @query(f"WITH {_INDEX} SELECT id AS doc_id, count(*) AS terms, round(sum(w), 6) AS total, round(max(w), 6) AS top FROM dw GROUP BY id")
 def tfidf_weights(spark, sf_dir):
     index = _index(spark, sf_dir)
-    tf = op.terms(index)
-    w = op.weights(tf, op.idf(tf, index.count(), 2))
-    return w.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("terms"), F.round(F.sum("w"), 6).alias("total"), F.round(F.max("w"), 6).alias("top"))
+    counted = stored(search.bags(index), "bags")
+    v = search.vectors(counted, search.vocabulary(counted, counted.count(), 2))
+    total = F.aggregate("raw", F.lit(0.0), lambda a, x: a + x)
+    return v.select(F.col("id").alias("doc_id"), F.size("raw").cast("long").alias("terms"), F.round(total / F.col("norm"), 6).alias("total"), F.round(F.array_max("raw") / F.col("norm"), 6).alias("top"))
 
 
 _BENCH = "SELECT item_id AS id, text FROM benchmark"
@@ -75,7 +82,7 @@ _GUARDED = f"""{sql_search(_BENCH, 40)}, {sql_shingled('qsh', 'SELECT id, text F
 
 def _hits(spark, sf_dir):
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    hits = op.search(queries, _index(spark, sf_dir), top=op.oversample(K))
+    hits = search.search(queries, _searched(spark, sf_dir), op.oversample(K))
     texts = hits.join(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", "text"), "id").join(queries.select(F.col("id").alias("q"), F.col("text").alias("asked")), "q")
     return texts.select("q", "id", "cosine", "place", "source", op.near_duplicate(F.col("asked"), F.col("text")).alias("near"))
 
@@ -114,10 +121,7 @@ _NEAREST = sql_search("SELECT doc_id AS id, text FROM documents WHERE doc_id % 1
 
 def _nearest(spark, sf_dir):
     """The query set is every document whose id is divisible by 100."""
-    index = _index(spark, sf_dir)
-    from pyspark.sql.window import Window
-
-    hits = op.search(index.where("id % 100 = 0"), index, top=2).where("q <> id")
+    hits = search.search(_index(spark, sf_dir).where("id % 100 = 0"), _searched(spark, sf_dir), 2).where("q <> id")
     return hits.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("place"))).where("place = 1")
 
 
@@ -165,7 +169,8 @@ def _evidence(spark, sf_dir):
     p = stored(pairs(spark, sf_dir), "pairs")
     corpus = op.answered(p).select("id", "author", "thread", "clean", F.col("text").alias("opener"), "reply")
     asked = p.where("split <> 'train'").select(F.col("id").alias("q"), F.col("author").alias("of_author"), F.col("thread").alias("of_thread"), "text", t.stripped(F.col("text")).alias("asked"))
-    hits = op.search(asked.select(F.col("q").alias("id"), F.col("asked").alias("text")), corpus.select("id", F.col("clean").alias("text")), top=op.oversample(K))
+    index = search.kept(table(spark, sf_dir, "conversations"), "evidence", lambda _: corpus.select("id", F.col("clean").alias("text")))
+    hits = search.search(asked.select(F.col("q").alias("id"), F.col("asked").alias("text")), index, op.oversample(K))
     known = hits.join(corpus, "id").join(asked.drop("text"), "q")
     guards = {"self": F.col("id") == F.col("q"), "customer": F.col("author") == F.col("of_author"), "thread": F.col("thread") == F.col("of_thread"), "near_dup": op.near_duplicate(F.col("asked"), F.col("clean"))}
     return asked, op.guarded(known, guards, K)
