@@ -7,7 +7,6 @@ from pyspark.ml.feature import HashingTF, IDF, NGram, Normalizer, RegexTokenizer
 from pyspark.ml import Pipeline
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as t
 from ..lexicon import REASONS, template
@@ -91,7 +90,3 @@ def codebook_prompt(intents: DataFrame, rules: DataFrame) -> DataFrame:
 
 def score_policy(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     return rows.withColumn("decision", decision(F.col("score") >= threshold))
-
-
-def rank(order: list[Column]) -> Column:
-    return F.row_number().over(Window.orderBy(*order))

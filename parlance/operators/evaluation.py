@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import mcnemar_p, share, wilson
+from .prefix import running_before
 
 
 def with_interval(df: DataFrame, k: str, n: str) -> DataFrame:
@@ -62,29 +63,54 @@ def unsafe_auto(rows: DataFrame) -> DataFrame:
     return out.withColumn("coverage", F.round(share(F.col("auto"), F.col("n")), 6)).withColumn("unsafe_rate", F.round(share(F.col("unsafe"), F.col("auto")), 6))
 
 
+def without_constants(rows: DataFrame, column: str = "decision") -> DataFrame:
+    """The rows of systems that give more than one value: against a constant only the base rate would be measured."""
+    varied = rows.groupBy("system").agg(F.min(column).alias("_low"), F.max(column).alias("_high")).where("_low < _high").select("system")
+    return rows.join(varied, "system", "left_semi")
+
+
 def risk_coverage(rows: DataFrame) -> DataFrame:
-    """(system, threshold, auto, unsafe, coverage, risk) at 0, every distinct score and 1.0001; auto means score below threshold.
+    """(system, threshold, auto, unsafe, coverage, risk, scored) at 0, every distinct score and 1.0001; auto means score below threshold.
 
-    One running sum over the distinct scores of a system gives every point.
+    ``scored`` counts the rows that have just this score.  Running sums over ranges of the distinct scores give every point, so
+    one system's scores are no single task's.
     """
     bad = F.count_if(F.col("escalation") == "ESCALATE")
     per = rows.groupBy("system", "score").agg(F.count("*").alias("n"), bad.alias("bad"))
     ends = rows.select("system").distinct().select("system", F.explode(F.array(F.lit(0.0), F.lit(1.0001))).alias("score"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"))
     points = per.unionByName(ends).groupBy("system", "score").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    before = Window.partitionBy("system").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    auto, unsafe = F.coalesce(F.sum("n").over(before), F.lit(0)), F.coalesce(F.sum("bad").over(before), F.lit(0))
-    out = points.select("system", F.col("score").alias("threshold"), auto.alias("auto"), unsafe.alias("unsafe"))
+    out = running_before(points, ["system"], ["score"], ["n", "bad"]).select("system", F.col("score").alias("threshold"), F.col("n_before").alias("auto"), F.col("bad_before").alias("unsafe"), F.col("n").alias("scored"))
     total = rows.groupBy("system").agg(F.count("*").alias("total"))
     out = out.join(F.broadcast(total), "system")  # one row a system
-    return out.select("system", "threshold", "auto", "unsafe", F.round(F.col("auto") / F.col("total"), 6).alias("coverage"), F.round(share(F.col("unsafe"), F.col("auto")), 6).alias("risk"))
+    return out.select("system", "threshold", "auto", "unsafe", F.round(F.col("auto") / F.col("total"), 6).alias("coverage"), F.round(share(F.col("unsafe"), F.col("auto")), 6).alias("risk"), "scored")
+
+
+def scored_systems(curve: DataFrame) -> DataFrame:
+    """(system) of those whose rows have more than two distinct scores; the added ends of a curve are none."""
+    return curve.where("scored > 0").groupBy("system").agg(F.count("*").alias("scores")).where("scores > 2").select("system")
+
+
+def _nearest(target: Column) -> Column:
+    """The point of a curve nearest to a coverage; ties go to the lowest threshold."""
+    return F.min_by(F.struct("threshold", "coverage", "risk", "auto", "unsafe"), F.struct(F.round(F.abs(F.col("coverage") - target), 6), "threshold"))
 
 
 def matched_coverage(curve: DataFrame, targets: list[float]) -> DataFrame:
-    """The curve's point nearest to each target coverage; ties go to the lowest threshold.  Systems need more than two scores."""
-    rich = curve.groupBy("system").agg(F.count("*").alias("points")).where("points > 4").select("system")
-    each = curve.join(rich, "system", "left_semi").select("*", F.explode(F.array(*(F.lit(x) for x in targets))).alias("target"))
-    best = F.min_by(F.struct("threshold", "coverage", "risk"), F.struct(F.round(F.abs(F.col("coverage") - F.col("target")), 6), "threshold"))
-    return each.groupBy("system", "target").agg(best.alias("b")).select("system", "target", "b.*")
+    """(system, target, threshold, coverage, risk): the curve's point nearest to each target coverage, for systems of more than two scores."""
+    each = curve.join(scored_systems(curve), "system", "left_semi").select("*", F.explode(F.array(*(F.lit(x) for x in targets))).alias("target"))
+    return each.groupBy("system", "target").agg(_nearest(F.col("target")).alias("b")).select("system", "target", "b.threshold", "b.coverage", "b.risk")
+
+
+def matched_systems(curve: DataFrame, others: DataFrame) -> DataFrame:
+    """Each scored system's point nearest to the coverage of every system of ``others`` (system, auto, unsafe, coverage, unsafe_rate) that has no curve.
+
+    ``others`` has one row a system.
+    """
+    scored = scored_systems(curve)
+    plain = others.join(scored, "system", "left_anti").select(F.col("system").alias("other"), F.col("coverage").alias("other_coverage"), F.col("unsafe_rate").alias("other_risk"))
+    each = curve.join(scored, "system", "left_semi").join(F.broadcast(plain))  # one row a system without a curve
+    best = each.groupBy("system", "other", "other_coverage", "other_risk").agg(_nearest(F.col("other_coverage")).alias("b"))
+    return best.select("system", "other", "other_coverage", "other_risk", "b.threshold", "b.coverage", "b.risk")
 
 
 def kappa(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:

@@ -91,15 +91,45 @@ _CURVE = """, th AS (SELECT DISTINCT system, score AS t FROM j UNION SELECT DIST
 
 @query(q(_CURVE + " SELECT * FROM curve"))
 def risk_coverage(spark, sf_dir):
-    return op.risk_coverage(joined(spark, sf_dir))
+    return op.risk_coverage(joined(spark, sf_dir)).drop("scored")
 
 
-@query(q(_CURVE + """ SELECT system, target, threshold, coverage, risk FROM (SELECT *, row_number() OVER (PARTITION BY system, target ORDER BY round(abs(coverage - target), 6), threshold) AS r
-    FROM curve CROSS JOIN (VALUES (0.1::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (0.9::DOUBLE), (1.0::DOUBLE)) v(target)) WHERE r = 1"""))
+@query(q(_CURVE + """, rich AS (SELECT system FROM j GROUP BY system HAVING count(DISTINCT score) > 2) SELECT system, target, threshold, coverage, risk FROM (SELECT *, row_number() OVER (PARTITION BY system, target ORDER BY round(abs(coverage - target), 6), threshold) AS r
+    FROM curve SEMI JOIN rich USING (system) CROSS JOIN (VALUES (0.1::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (0.9::DOUBLE), (1.0::DOUBLE)) v(target)) WHERE r = 1"""))
 def matched_coverage(spark, sf_dir):
     return op.matched_coverage(op.risk_coverage(joined(spark, sf_dir)), [0.1, 0.25, 0.5, 0.75, 0.9, 1.0])
 
 
+_CONSTANTS = {"always-escalate": "ESCALATE", "never-escalate": "AUTO_OK"}
+_PLAIN = """, plain AS (SELECT system || ':decision' AS system, id, decision, escalation FROM j UNION ALL SELECT 'always-escalate', id, 'ESCALATE', escalation FROM gold UNION ALL SELECT 'never-escalate', id, 'AUTO_OK', escalation FROM gold)"""
+
+
+def _plain(spark, sf_dir):
+    """The decisions of all systems without their scores, and of the two constant policies."""
+    out = joined(spark, sf_dir).select(F.concat("system", F.lit(":decision")).alias("system"), "id", "decision", "escalation")
+    for name, value in _CONSTANTS.items():
+        out = out.unionByName(gold(spark, sf_dir).select(F.lit(name).alias("system"), "id", F.lit(value).alias("decision"), "escalation"))
+    return out
+
+
+@query(q(_CURVE + _PLAIN + """, rich AS (SELECT system FROM j GROUP BY system HAVING count(DISTINCT score) > 2),
+    others AS (SELECT system AS other, round(count(*) FILTER (WHERE decision = 'AUTO_OK') / count(*), 6) AS other_coverage,
+        CASE WHEN count(*) FILTER (WHERE decision = 'AUTO_OK') = 0 THEN 0.0 ELSE round(count(*) FILTER (WHERE decision = 'AUTO_OK' AND escalation = 'ESCALATE') / count(*) FILTER (WHERE decision = 'AUTO_OK'), 6) END AS other_risk FROM plain GROUP BY system)
+    SELECT system, other, other_coverage, other_risk, threshold, coverage, risk FROM (SELECT *, row_number() OVER (PARTITION BY system, other ORDER BY round(abs(coverage - other_coverage), 6), threshold) AS r
+    FROM curve SEMI JOIN rich USING (system) CROSS JOIN others) WHERE r = 1"""))
+def matched_systems(spark, sf_dir):
+    """What each scored system risks at the coverage of every plain one."""
+    return op.matched_systems(op.risk_coverage(joined(spark, sf_dir)), op.unsafe_auto(_plain(spark, sf_dir)))
+
+
+@query(q(_PLAIN + f""", varied AS (SELECT system FROM plain GROUP BY system HAVING min(decision) < max(decision)), v AS (SELECT *, decision = escalation AS ok FROM plain SEMI JOIN varied USING (system)),
+    d AS (SELECT x.system AS sa, y.system AS sb, count(*) FILTER (WHERE x.ok AND NOT y.ok) AS b, count(*) FILTER (WHERE NOT x.ok AND y.ok) AS c FROM v x JOIN v y ON x.id = y.id AND x.system < y.system GROUP BY ALL)
+    SELECT sa AS a, sb AS b, d.b AS a_only, d.c AS b_only, {_P.replace('b, c', 'd.b, d.c').replace('b + c', 'd.b + d.c')} AS p FROM d"""))
+def mcnemar_escalation(spark, sf_dir):
+    """Pairs of policies on the correctness of their decisions; constant ones aren't paired."""
+    varied = op.without_constants(_plain(spark, sf_dir))
+    return op.pairwise_mcnemar(varied.select("system", "id", (F.col("decision") == F.col("escalation")).alias("correct")))
+
 
 
 @query(q("""SELECT system, count(*) FILTER (WHERE decision = 'ESCALATE' AND reason = '') AS missing, count(*) FILTER (WHERE decision = 'ESCALATE' AND reason NOT IN ('', 'safety_abuse', 'high_frustration')) AS illegal,

@@ -29,12 +29,12 @@ def label_distribution(spark, sf_dir):
 
 
 @query(with_ctes(""", u AS (SELECT 'intent' AS field, intent AS v FROM gold UNION ALL SELECT 'escalation', escalation FROM gold UNION ALL SELECT 'reason', reason FROM gold),
-    n AS (SELECT field, v, count(*) AS n FROM u GROUP BY ALL) SELECT field, round(max(n) / sum(n), 6) AS modal_share, max(n) / sum(n) >= 0.7 AS near_constant FROM n GROUP BY field""", "gold"))
+    n AS (SELECT field, v, count(*) AS n FROM u GROUP BY ALL) SELECT field, round(max(n) / sum(n), 6) AS modal_share, max(n) / sum(n) >= 0.9 AS near_constant FROM n GROUP BY field""", "gold"))
 def near_constant(spark, sf_dir):
-    """Fields whose most frequent value has 70% or more of the rows."""
+    """Fields whose most frequent value has 90% or more of the rows."""
     u = gold(spark, sf_dir).select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("v")) for c in ("intent", "escalation", "reason")))).alias("x")).select("x.*")
     n = u.groupBy("field", "v").agg(F.count("*").alias("n")).groupBy("field").agg((F.max("n") / F.sum("n")).alias("s"))
-    return n.select("field", F.round("s", 6).alias("modal_share"), (F.col("s") >= 0.7).alias("near_constant"))
+    return n.select("field", F.round("s", 6).alias("modal_share"), (F.col("s") >= 0.9).alias("near_constant"))
 
 
 @query(with_ctes(", n AS (SELECT intent, escalation, count(*) AS n FROM gold GROUP BY ALL) SELECT intent, CAST(sum(n) AS BIGINT) AS n, round(max(n) / sum(n), 6) AS purity, arg_min(escalation, (-n, escalation)) AS majority FROM n GROUP BY intent", "gold"))
