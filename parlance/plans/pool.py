@@ -33,9 +33,10 @@ def build_pool(openers: DataFrame, shown: DataFrame, percent: int = 80, n: int =
     rows = stored(dedup.marked(p, steps, "id"), "pool")
     left = rows.where(F.col("_left") == len(steps)).select("id", "thread", "author", "clean")
     texts = left.select("id", F.col("clean").alias("text"))
-    alone = left.join(dedup.greedy_collapse(texts.select("id"), dedup.similar_pairs(texts, None, percent, n)).where("kept"), "id", "left_semi")
-    near = dedup.similar_pairs(alone.select("id", F.col("clean").alias("text")), shown.select("id", F.col("clean").alias("text")), percent, n)
-    pool = stored(alone.join(near.select(F.col("a").alias("id")).distinct(), "id", "left_anti"), "pool")
+    alone = left.join(dedup.collapsed(texts, percent, n).where("kept"), "id", "left_semi")
+    near = dedup.similar(alone.select("id", F.col("clean").alias("text")), shown.select("id", F.col("clean").alias("text")), percent, n)
+    gone = near.left.join(near.pairs.select(F.col("a").alias("rep")), "rep", "left_semi")
+    pool = stored(alone.join(gone.select("id"), "id", "left_anti"), "pool")
     trace = dedup.counted(rows, [name for name, _, _ in steps])
     for name, df in (("near_copy", alone), ("near_shown", pool)):
         trace = trace.unionByName(df.agg(F.lit(name).alias("step"), F.count("*").alias("rows")))

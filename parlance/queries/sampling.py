@@ -41,43 +41,52 @@ def _docs(spark, sf_dir):
     return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
 
 
-_PAIRS = f"""WITH src AS (SELECT doc_id AS id, text FROM documents), {SHINGLE_CTE}, n AS (SELECT id, count(*) AS n FROM sh GROUP BY id)
-    SELECT a.id AS a, b.id AS b, count(*) AS common, any_value(na.n) AS size_a, any_value(nb.n) AS size_b FROM sh a JOIN sh b ON a.g = b.g AND a.id < b.id
-    JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id GROUP BY a.id, b.id"""
+_CLASSES = """cls AS (SELECT id, n, min(id) OVER (PARTITION BY id >= 0, gs) AS rep FROM (SELECT id, count(*) AS n, list_sort(list(g)) AS gs FROM sh GROUP BY id)),
+    rs AS (SELECT sh.*, n FROM sh JOIN cls ON cls.id = sh.id AND cls.rep = sh.id)"""
+_CLASSED = f"WITH src AS (SELECT doc_id AS id, text FROM documents), {SHINGLE_CTE}, {_CLASSES}"
+_PAIRS = f"""{_CLASSED} SELECT a.id AS a, b.id AS b, count(*) AS common, any_value(a.n) AS size_a, any_value(b.n) AS size_b FROM rs a JOIN rs b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id"""
 
 
-@query(_PAIRS + " HAVING count(*) * 180 >= 80 * (any_value(na.n) + any_value(nb.n))")
+@query(f"{_CLASSED} SELECT id AS doc_id, rep, n AS shingles FROM cls")
+def neardup_members(spark, sf_dir):
+    """The class of texts with equal shingles that a document is in, by its least id; documents without words are in none."""
+    return dedup.similar(_docs(spark, sf_dir), None, 80).left.select(F.col("id").alias("doc_id"), "rep", F.col("n").alias("shingles"))
+
+
+@query(_PAIRS + " HAVING count(*) * 180 >= 80 * (any_value(a.n) + any_value(b.n))")
 def neardup_pairs(spark, sf_dir):
-    return dedup.similar_pairs(_docs(spark, sf_dir), None, 80)
+    """Similar classes, by their representatives; with ``neardup_members`` these are all similar documents."""
+    return dedup.similar(_docs(spark, sf_dir), None, 80).pairs
 
 
-@query(f"SELECT a, b, round(common / (size_a + size_b - common), 6) AS jaccard FROM ({_PAIRS} HAVING count(*) * 160 >= 60 * (any_value(na.n) + any_value(nb.n)))")
+@query(f"SELECT a, b, round(common / (size_a + size_b - common), 6) AS jaccard FROM ({_PAIRS} HAVING count(*) * 160 >= 60 * (any_value(a.n) + any_value(b.n)))")
 def jaccard_pairs(spark, sf_dir):
-    """Similarities of at least 0.6 among documents."""
-    p = dedup.similar_pairs(_docs(spark, sf_dir), None, 60)
+    """Similarities of at least 0.6 among classes of documents."""
+    p = dedup.similar(_docs(spark, sf_dir), None, 60).pairs
     return p.select("a", "b", F.round(F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common")), 6).alias("jaccard"))
 
 
-@query(f"""WITH src AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark), {SHINGLE_CTE}, n AS (SELECT id, count(*) AS n FROM sh GROUP BY id)
-    SELECT a.id AS doc_id, -1 - b.id AS item_id, count(*) AS common FROM sh a JOIN sh b ON a.g = b.g AND a.id >= 0 AND b.id < 0
-    JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id GROUP BY a.id, b.id HAVING count(*) * 120 >= 20 * (any_value(na.n) + any_value(nb.n))""")
+@query(f"""WITH src AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark), {SHINGLE_CTE}, {_CLASSES.replace("min(id) OVER", "CASE WHEN id >= 0 THEN min(id) OVER w ELSE max(id) OVER w END AS rep, max(id) OVER").replace("gs) AS rep FROM (SELECT id, count", "gs) AS unused FROM (SELECT id, count").replace("FROM sh GROUP BY id)),", "FROM sh GROUP BY id) WINDOW w AS (PARTITION BY id >= 0, gs)),")}
+    SELECT a.id AS doc_id, -1 - b.id AS item_id, count(*) AS common FROM rs a JOIN rs b ON a.g = b.g AND a.id >= 0 AND b.id < 0
+    GROUP BY a.id, b.id HAVING count(*) * 120 >= 20 * (any_value(a.n) + any_value(b.n))""")
 def neardup_cross(spark, sf_dir):
-    """Documents against reference passages at a similarity of 0.2 or more."""
+    """Classes of documents against classes of reference passages at a similarity of 0.2 or more."""
     refs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return dedup.similar_pairs(_docs(spark, sf_dir), refs, 20).select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), "common")
+    return dedup.similar(_docs(spark, sf_dir), refs, 20).pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), "common")
 
 
+_ALL_PAIRS = f"""WITH src AS (SELECT doc_id AS id, text FROM documents), {SHINGLE_CTE}, n AS (SELECT id, count(*) AS n FROM sh GROUP BY id)
+    SELECT a.id AS a, b.id AS b FROM sh a JOIN sh b ON a.g = b.g AND a.id < b.id JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id GROUP BY a.id, b.id"""
 _GREEDY = """near AS MATERIALIZED (SELECT b AS id, list(a) AS earlier, row_number() OVER (ORDER BY b) AS rn FROM links GROUP BY b),
     g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gone UNION ALL
           SELECT i + 1, CASE WHEN len(list_filter(earlier, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, id) ELSE gone END FROM g JOIN near ON rn = i + 1),
     dropped AS (SELECT unnest(gone) AS id FROM g WHERE i = (SELECT max(i) FROM g))"""
 
 
-@query(f"WITH RECURSIVE links AS MATERIALIZED ({_PAIRS} HAVING count(*) * 180 >= 80 * (any_value(na.n) + any_value(nb.n))), {_GREEDY} SELECT doc_id, doc_id NOT IN (SELECT id FROM dropped) AS kept FROM documents")
+@query(f"WITH RECURSIVE links AS MATERIALIZED ({_ALL_PAIRS} HAVING count(*) * 180 >= 80 * (any_value(na.n) + any_value(nb.n))), {_GREEDY} SELECT doc_id, doc_id NOT IN (SELECT id FROM dropped) AS kept FROM documents")
 def neardup_collapse(spark, sf_dir):
     """In the order of ids a row goes if it is similar to an earlier one that stays; the SQL walks the rows one by one."""
-    d = _docs(spark, sf_dir)
-    return dedup.greedy_collapse(d.select("id"), dedup.similar_pairs(d, None, 80)).select(F.col("id").alias("doc_id"), "kept")
+    return dedup.collapsed(_docs(spark, sf_dir), 80).select(F.col("id").alias("doc_id"), "kept")
 
 
 _POOL = f"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import stats, text as t
 from parlance.lexicon import MUST, REASONS, TOPICS, seeds, template
-from parlance.operators import clusters, decisions, dedup, evaluation, replies, sampling, threads
+from parlance.operators import clusters, decisions, dedup, evaluation, prefix, replies, sampling, threads
 from parlance.plans import pool
 from parlance.sources import tables
 
@@ -108,10 +108,65 @@ def test_similar_pairs_at_the_threshold(spark):
     # 9 shared of 10 and 9 of 9 three-word shingles: 9 / 10; and exactly 8 / 10
     base = [f"w{i}" for i in range(11)]
     docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join([*base, "x"])), (3, " ".join(base[:-1])), (4, ""), (5, None)], "id long, text string")
-    got = {(r.a, r.b): r.common for r in dedup.similar_pairs(docs, None, 80).collect()}
+    got = {(r.a, r.b): r.common for r in dedup.similar(docs, None, 80).pairs.collect()}
     assert got == {(1, 2): 9, (1, 3): 8, (2, 3): 8}
 
 
+def test_equal_texts_are_one_class(spark):
+    """800 equal texts are 800 rows of membership and no pair; all pairs come on demand and equal brute force."""
+    many = spark.range(800).selectExpr("id", "'one text that is written again and again' as text")
+    found = dedup.similar(many, None, 80)
+    assert found.pairs.count() == 0 and {(r.rep, r.n) for r in found.left.collect()} == {(0, 6)} and found.left.count() == 800
+    assert found.expanded().count() == 319_600
+    rng = random.Random(4)
+    texts = [(i, " ".join(f"w{rng.randrange(4)}" for _ in range(rng.randrange(0, 9)))) for i in range(60)] + [(60, None), (61, "  "), (62, "w1\t w2\n\x0bw3 "), (63, "w1 w2 w3")]
+    sets = {i: {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if (w := (t or "").split()) else set() for i, t in texts}
+    like = lambda a, b: len(sets[a] & sets[b]) * 160 >= 60 * (len(sets[a]) + len(sets[b])) and sets[a] & sets[b]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    got = [(r.a, r.b, r.common, r.size_a, r.size_b) for r in dedup.similar(docs, None, 60).expanded().collect()]
+    assert sorted(got) == [(a, b, len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a in range(64) for b in range(a + 1, 64) if like(a, b)]
+    left, right = docs.where("id % 2 = 0"), docs.where("id % 2 = 1")
+    assert sorted((r.a, r.b) for r in dedup.similar(left, right, 60).expanded().collect()) == [(a, b) for a in range(0, 64, 2) for b in range(1, 64, 2) if like(a, b)]
+    kept = []
+    for i in range(64):
+        if not any(like(k, i) for k in kept):
+            kept.append(i)
+    assert sorted(r.id for r in dedup.collapsed(docs, 60).where("kept").collect()) == kept
+
+
+def test_running_sums_over_ranges(spark):
+    """Several tasks share one group; sums and numbers are as in a window over the whole."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(5000).selectExpr("if(id % 3 = 0, null, id % 2) as g", "(id * 7919) % 5000 as k", "if(id % 11 = 0, null, id % 13) as x")
+        got = prefix.running_before(rows, ["g"], ["k"], ["x"])
+        assert got.select(F.spark_partition_id()).distinct().count() > 1
+        want, run = {}, {}
+        for g, k, x in sorted(map(tuple, rows.collect()), key=lambda r: r[1]):
+            want[k] = run.get(g, 0)
+            run[g] = want[k] + (x or 0)
+        assert {r.k: r.x_before for r in got.collect()} == want
+        assert {r.k: r.place for r in prefix.numbered(rows, ["k"], "place").collect()} == {k: k for k in range(5000)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_curves_of_few_scores(spark):
+    """Three scores are enough, 0.0 among them or not; two aren't."""
+    rows = [(s, x, "ESCALATE" if x > 0.4 else "AUTO_OK") for s, of in (("zero", (0.0, 0.3, 0.6)), ("three", (0.1, 0.3, 0.6)), ("two", (0.0, 1.0, 1.0))) for x in of]
+    curve = evaluation.risk_coverage(spark.createDataFrame(rows, "system string, score double, escalation string"))
+    got = {(r.system, r.target): (r.threshold, r.coverage) for r in evaluation.matched_coverage(curve, [0.5, 1.0]).collect()}
+    assert got == {("zero", 0.5): (0.3, 0.333333), ("zero", 1.0): (1.0001, 1.0), ("three", 0.5): (0.3, 0.333333), ("three", 1.0): (1.0001, 1.0)}
+    others = spark.createDataFrame([("always", 0.0, 0.0), ("three", 0.3, 0.0), ("plain", 0.7, 0.2)], "system string, coverage double, unsafe_rate double")
+    near = {(r.system, r.other): (r.threshold, r.risk) for r in evaluation.matched_systems(curve, others).collect()}
+    assert near == {("zero", "always"): (0.0, 0.0), ("zero", "plain"): (0.6, 0.0), ("three", "always"): (0.0, 0.0), ("three", "plain"): (0.6, 0.0)}
+
+
+def test_constant_policies_are_left_out(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "x"), ("b", 2, "x"), ("c", 1, None), ("c", 2, "x")], "system string, id long, decision string")
+    assert {r.system for r in evaluation.without_constants(rows).collect()} == {"a"}
+
+
 def test_samples(spark):
     df = spark.range(100).withColumn("g", F.col("id") % 2)
     first = sampling.take(df, "id", 10, "s", "core")
