@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
-from pyspark.ml import Pipeline
+from pyspark.ml.feature import StringIndexer
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..lexicon import REASONS, template
+from ..sources.tables import stored
+from . import search
+from .prefix import numbered
 
 
 def lookup_policy(pred: DataFrame, roles: dict[str, str], default: str, always: str = "independent") -> DataFrame:
@@ -45,26 +49,38 @@ def templates(spark) -> DataFrame:
     return spark.createDataFrame([(r, f"HANDOFF-{i:02d}-{r}", template(r)) for i, r in enumerate(sorted(REASONS), 1)], "reason string, template_id string, reply string")
 
 
+def sparse_vectors(docs: DataFrame, min_df: int = 2) -> tuple[DataFrame, int]:
+    """((id, features), size of the vocabulary): sublinear TF-IDF of ``docs`` (id, text) over all terms in ``min_df`` texts, of length 1.
+
+    Terms are numbered in the cluster by their order, so no vocabulary passes through the driver; a text without terms has no entry.
+    """
+    counted = stored(search.bags(docs), "bags")
+    table = stored(numbered(search.vocabulary(counted, counted.count(), min_df).withColumnRenamed("idf", "_idf"), ["term"], "number"), "vocabulary")
+    size = max(table.count(), 1)
+    v = search.vectors(counted, table.select("term", F.col("_idf").alias("idf")))
+    each = v.select("id", "norm", F.explode(F.arrays_zip("terms", "raw")).alias("x")).select("id", F.col("x.terms").alias("term"), (F.col("x.raw") / F.col("norm")).alias("w"))
+    entries = each.join(table.select("term", "number"), "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.col("number").cast("int").alias("i"), "w"))).alias("e"))
+    packed = F.udf(lambda i, w: Vectors.sparse(size, i or [], w or []), VectorUDT())  # a text's entries, once a text
+    rows = docs.select("id").join(entries, "id", "left")
+    return rows.select("id", packed(F.col("e.i"), F.col("e.w")).alias("features")), size
+
+
 def distant_lr(docs: DataFrame, label: str) -> DataFrame:
-    """(doc_id, predicted, max_proba) of a balanced multinomial logistic regression over hashed TF-IDF, fitted on rule labels."""
+    """(doc_id, predicted, max_proba, probabilities) of a balanced multinomial logistic regression over sublinear TF-IDF, fitted on rule labels.
+
+    ``probabilities`` is a map with every class.  The penalty is half the squared length of the coefficients against the sum of
+    losses, as of a plain fit with C = 1; intercepts are free.
+    """
+    features, _ = sparse_vectors(docs.select(F.col("doc_id").alias("id"), "text"))
     n = docs.count()
     weights = docs.groupBy(label).agg(F.count("*").alias("_n"))
     classes = weights.count()
-    rows = docs.join(F.broadcast(weights), label).withColumn("_w", n / (classes * F.col("_n")))  # one row a class
-    stages = [
-        RegexTokenizer(inputCol="text", outputCol="_t", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2),
-        NGram(n=2, inputCol="_t", outputCol="_b"),
-        SQLTransformer(statement="SELECT *, concat(_t, _b) AS _g FROM __THIS__"),
-        HashingTF(inputCol="_g", outputCol="_tf", numFeatures=1 << 14), IDF(inputCol="_tf", outputCol="_idf", minDocFreq=2), Normalizer(inputCol="_idf", outputCol="_x"),
-        StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc"),
-        LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1 / max(n, 1), standardization=False, maxIter=50, family="multinomial"),
-    ]
-    model = Pipeline(stages=stages).fit(rows)
-    names = F.array(*(F.lit(x) for x in model.stages[6].labels))
-    from pyspark.ml.functions import vector_to_array
-
-    out = model.transform(rows)
-    return out.select("doc_id", names[F.col("prediction").cast("int")].alias("predicted"), F.array_max(vector_to_array("probability")).alias("max_proba"))
+    rows = stored(docs.select("doc_id", label).join(F.broadcast(weights), label).withColumn("_w", n / (classes * F.col("_n"))).join(features.withColumnRenamed("id", "doc_id"), "doc_id"), "features")  # one row a class
+    index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(rows)
+    fit = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="_w", regParam=1 / max(n, 1), standardization=False, maxIter=200, tol=1e-8, family="multinomial").fit(index.transform(rows))
+    names = F.array(*(F.lit(x) for x in index.labels))  # one a class
+    p = vector_to_array("probability")
+    return fit.transform(rows).select("doc_id", names[F.col("prediction").cast("int")].alias("predicted"), F.array_max(p).alias("max_proba"), F.map_from_arrays(names, p).alias("probabilities"))
 
 
 def class_score(probabilities: dict[str, Column], roles: dict[str, str], always: str = "independent") -> Column:

@@ -44,8 +44,17 @@ def seed_assign(spark, sf_dir):
 
 @query()
 def distant_lr(spark, sf_dir):
-    """A fitted model; tests check its classes and probabilities."""
-    return op.distant_lr(ruled(spark, sf_dir), "intent")
+    """A fitted model and the probability of each class; tests hold it against a plain fit."""
+    out = op.distant_lr(ruled(spark, sf_dir), "intent")
+    return out.select("doc_id", "predicted", F.round("max_proba", 6).alias("max_proba"), *(F.round(F.coalesce(F.try_element_at("probabilities", F.lit(n)), F.lit(0.0)), 6).alias(f"p_{n}") for n in (*FAMILIES, "other_unclear")))
+
+
+@query()
+def policy_classifier(spark, sf_dir):
+    """Escalates where the fitted classifier gives the intents that always escalate half the probability or more."""
+    out = op.distant_lr(ruled(spark, sf_dir), "intent")
+    score = op.class_score({n: F.coalesce(F.try_element_at("probabilities", F.lit(n)), F.lit(0.0)) for n in (*FAMILIES, "other_unclear")}, ROLES)
+    return op.score_policy(out.select("doc_id", "predicted", F.round(score, 6).alias("score")))
 
 
 @query("""SELECT doc_id, CASE WHEN CAST(('0x' || substr(sha256(text), 1, 8)) AS BIGINT) % 8 < 5 THEN ['licence', 'insult', 'english', 'romance', 'german'][CAST(CAST(('0x' || substr(sha256(text), 1, 8)) AS BIGINT) % 8 AS INT) + 1] ELSE 'other_unclear' END AS intent FROM documents""")

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,6 +240,45 @@ def test_prediction_files(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/out.meta").first().system == "rule"
 
 
+def test_distant_lr_equals_a_plain_fit(spark):
+    """Probabilities of every class against gradient descent over all terms, balanced, with free intercepts."""
+    rng, n = random.Random(2), 60
+    texts = [(i, " ".join(rng.choice(("red green blue", "one two three four", "sun moon rain")[i % 3 if rng.random() < 0.8 else 0].split()) for _ in range(rng.randrange(1, 9))), ("c", "a", "b")[i % 3] if i > 20 else "a") for i in range(n)] + [(99, None, "b"), (98, "unheardof", "c")]
+    counts = []
+    for _, text, _ in texts:
+        w = (text or "").split()
+        c = {}
+        for x in w + [" ".join(p) for p in zip(w, w[1:], strict=False)]:
+            c[x] = c.get(x, 0) + 1
+        counts.append(c)
+    df = {x: sum(x in c for c in counts) for c in counts for x in c}
+    vocabulary = sorted(x for x in df if df[x] >= 2)
+    x = np.array([[(1 + math.log(c[v])) * (math.log((1 + len(texts)) / (1 + df[v])) + 1) if v in c else 0.0 for v in vocabulary] for c in counts])
+    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+    classes = ["a", "b", "c"]
+    y = np.array([[float(k == label) for k in classes] for *_, label in texts])
+    weight = (len(texts) / (3 * y.sum(0)))[y.argmax(1)][:, None]
+    coef, free = np.zeros((len(vocabulary), 3)), np.zeros(3)
+    for _ in range(30_000):
+        z = x @ coef + free
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        g = weight * (p - y)
+        coef -= 0.02 * (x.T @ g + coef)
+        free -= 0.02 * g.sum(0)
+    got = {r.doc_id: r for r in decisions.distant_lr(spark.createDataFrame(texts, "doc_id long, text string, intent string"), "intent").collect()}
+    for (i, *_), want in zip(texts, p, strict=True):
+        r = got[i]
+        assert [r.probabilities[k] for k in classes] == pytest.approx(want, abs=2e-3) and r.predicted == classes[int(np.argmax(list(r.probabilities[k] for k in classes)))] and r.max_proba == max(r.probabilities.values())
+
+
+def test_terms_are_numbered_without_gaps(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} w{i % 3}") for i in range(40)], "id long, text string")
+    rows, size = decisions.sparse_vectors(docs)
+    used = {int(i) for r in rows.collect() for i in r.features.indices}
+    assert used == set(range(size)) and all(abs(sum(v * v for v in r.features.values) - 1) < 1e-9 for r in rows.collect())
+
+
 def test_distant_lr(spark):
     docs = spark.createDataFrame([(i, "alpha beta gamma" if i % 2 else "delta epsilon zeta", "a" if i % 2 else "b") for i in range(20)], "doc_id long, text string, intent string")
     got = decisions.distant_lr(docs, "intent").collect()
