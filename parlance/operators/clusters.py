@@ -1,12 +1,10 @@
-"""Clusters and topics, and what is reported about them."""
+"""Clusters, and what is reported about them."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.clustering import LDA, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import CountVectorizer, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,21 +21,6 @@ def kmeans_scan(vectors: DataFrame, ks: tuple[int, ...], seed: int = 1) -> DataF
     return vectors.sparkSession.createDataFrame(out, "k int, silhouette double, inertia double")
 
 
-def topics(docs: DataFrame, k: int, top: int = 8, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """((topic, term, weight), (id, topic)): latent Dirichlet allocation, declared in place of a factorisation.
-
-    A text without a term of the vocabulary has topic -1.
-    """
-    stages = [RegexTokenizer(inputCol="text", outputCol="tk", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2), CountVectorizer(inputCol="tk", outputCol="features", minDF=5.0, vocabSize=5000), LDA(k=k, maxIter=8, seed=seed)]
-    model = Pipeline(stages=stages).fit(docs)
-    vocabulary = F.array(*(F.lit(x) for x in model.stages[1].vocabulary))
-    described = model.stages[2].describeTopics(top).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("place", "t"))
-    words = described.select("topic", "place", vocabulary[F.col("t.termIndices")].alias("term"), F.col("t.termWeights").alias("weight"))
-    mix = vector_to_array("topicDistribution")
-    assigned = model.transform(docs).select("id", F.when(F.array_max(mix) <= 0, -1).otherwise(F.array_position(mix, F.array_max(mix)) - 1).cast("int").alias("topic"))
-    return words, assigned
-
-
 def described(rows: DataFrame, cluster: str, flags: dict[str, Column], least: float = 0.04) -> DataFrame:
     """For each cluster its size, share, whether that is large enough, and each flag's rate and lift over all rows."""
     whole = rows.agg(F.count("*").alias("_n"), *(F.avg(c.cast("double")).alias(f"_{n}") for n, c in flags.items()))

@@ -39,7 +39,7 @@ VECTORS = BAGS + ", raw array<double>, norm double"
 MARGIN = 1e-9  # more than sums in another order can move a cosine
 ROUNDED = 1e-6 + MARGIN  # two cosines that are equal when rounded are no further apart
 
-_WORD = re.compile(r"\w{2,}")
+WORD = re.compile(r"\w{2,}")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -112,7 +112,7 @@ def _bags(batches: Iterator[pa.RecordBatch], bigrams: bool, accents: bool, bound
                 text = (batch["text"][end].as_py() or "").lower()
                 if not (accents or text.isascii()):
                     text = text.translate(plain)
-                found.append(np.fromiter(map(known.__getitem__, _WORD.findall(text)), np.int64))
+                found.append(np.fromiter(map(known.__getitem__, WORD.findall(text)), np.int64))
                 size, end = size + len(found[-1]), end + 1
             ends, term, tf = _counted(np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])]), bigrams)
             ends = pa.array(ends, pa.int32())

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import text as t
 from ..functions.stats import rate
 from ..lexicon import FAMILIES
-from ..operators import clusters, retrieval as op, search
+from ..operators import clusters, factors, retrieval as op, search
 from ..registry import query
 from ..sources.bindings import documents, with_ctes
 from ..sources.tables import stored, table
@@ -209,12 +209,19 @@ def kmeans_scan(spark, sf_dir):
 
 @query()
 def topics(spark, sf_dir):
-    return clusters.topics(_index(spark, sf_dir), 4)[0]
+    return factors.topics(_index(spark, sf_dir), 4)[0]
+
+
+@query()
+def topic_error(spark, sf_dir):
+    """The reconstruction error after each round; it never rises."""
+    errors = factors.topics(_index(spark, sf_dir), 4)[2]
+    return spark.createDataFrame([(i, round(e, 6)) for i, e in enumerate(errors)], "round int, error double")
 
 
 @query()
 def topic_assign(spark, sf_dir):
-    return clusters.topics(_index(spark, sf_dir), 4)[1]
+    return factors.topics(_index(spark, sf_dir), 4)[1]
 
 
 _EN, _RO = sql_has("text", FAMILIES["english"]), sql_has("text", FAMILIES["romance"])

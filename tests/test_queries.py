@@ -31,7 +31,7 @@ def test_equals_sql(spark, duck, name):
     assert found == rows([c[0] for c in want.description], want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - {"distant_lr", "kmeans_scan", "topics", "topic_assign"}))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - {"kmeans_scan", "topics", "topic_assign"}))
 def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
