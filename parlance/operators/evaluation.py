@@ -16,6 +16,15 @@ def with_interval(df: DataFrame, k: str, n: str) -> DataFrame:
     return df.withColumn("rate", F.round(share(F.col(k), F.col(n)), 6)).withColumn("low", F.round(low, 6)).withColumn("high", F.round(high, 6))
 
 
+def distribution(rows: DataFrame, group: str, value: str, domain: list[str]) -> DataFrame:
+    """(group, value, k, n, rate, low, high) of every value of the domain and of every other that occurs, in each group."""
+    counts = rows.groupBy(group, F.col(value).alias("value")).agg(F.count("*").alias("k"))
+    total = counts.groupBy(group).agg(F.sum("k").alias("n"))
+    values = counts.select("value").unionByName(rows.sparkSession.createDataFrame([(v,) for v in domain], "value string")).where("value is not null").distinct()
+    each = total.crossJoin(F.broadcast(values)).join(counts, [group, "value"], "left")  # one row a value
+    return with_interval(each.select(group, "value", F.coalesce("k", F.lit(0)).alias("k"), "n"), "k", "n")
+
+
 def per_class(rows: DataFrame, classes: list[str], gold: str = "gold", pred: str = "pred") -> DataFrame:
     """(system, class, tp, fp, fn, precision, recall, f1); a row counts for its gold and for its predicted class."""
     counts = rows.groupBy("system", gold, pred).agg(F.count("*").alias("n"))

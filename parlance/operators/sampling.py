@@ -13,12 +13,14 @@ def draw_key(salt: str, key: Column) -> Column:
 
 
 def draw(df: DataFrame, key: str, k: int, salt: str, stratum: str, within: list[str] | None = None) -> DataFrame:
-    """k rows a group in digest order, with the group's size, the probability k/n and its inverse as weight."""
-    w = Window.partitionBy(*(within or [F.lit(0)]))
+    """k rows a group in digest order, with the group's size, the probability k/n and its inverse as weight; without groups as ``take``."""
+    if not within:
+        return take(df, key, k, salt, stratum)
+    w = Window.partitionBy(*within)
     ranked = df.withColumn("_n", F.row_number().over(w.orderBy(draw_key(salt, F.col(key)), key)))
-    sizes = df.groupBy(*(within or [])).agg(F.count("*").alias("eligible"))
+    sizes = df.groupBy(*within).agg(F.count("*").alias("eligible"))
     top = ranked.where(F.col("_n") <= k).drop("_n")
-    top = top.join(sizes, within) if within else top.crossJoin(sizes)
+    top = top.join(sizes, within)
     p = F.least(F.lit(1.0), k / F.col("eligible"))
     return top.withColumn("stratum", F.lit(stratum)).withColumn("inclusion_prob", p).withColumn("design_weight", 1 / p)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..lexicon import FAMILIES, INTENT_FALLBACK, INTENT_PROXY, MUST, MUST_FAMILIES, REASON_RULES, REASONS, REQUESTS, ROLES, SUPPORT_FALLBACK, TOPICS, seeds, support_rules, template
+from ..lexicon import FAMILIES, FOLLOW_UP, INTENT_FALLBACK, INTENT_PROXY, MUST, MUST_FAMILIES, REASON_RULES, REASONS, REQUESTS, ROLES, SUPPORT_FALLBACK, TOPICS, seeds, support_rules, template
 from ..operators import decisions as op, replies as rp
 from ..registry import query
 from ..sources.bindings import documents, gold, messages, predictions, with_ctes
@@ -193,6 +193,13 @@ def support(spark, sf_dir):
     return r.withColumn("why", why).select("id", "text", "intent", "decision", "why.reason", "why.source")
 
 
+@query(with_ctes(f""", {SQL_REQUESTS} SELECT id, CASE WHEN {_SQL_ANY} OR {sql_has('text', FOLLOW_UP)} THEN 'ESCALATE' ELSE 'AUTO_OK' END AS decision, CASE WHEN {_SQL_ANY} OR {sql_has('text', FOLLOW_UP)} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM requests""", "messages"))
+def support_keyword(spark, sf_dir):
+    """The keyword policy: the families that must escalate, and words that refer to a private message."""
+    flag = _any(MUST | {"follow_up": FOLLOW_UP})
+    return requests(spark, sf_dir).select("id", op.decision(flag).alias("decision"), F.when(flag, 1.0).otherwise(0.0).alias("score"))
+
+
 @query(with_ctes(f", {SQL_SUPPORT} SELECT id, intent FROM support", "messages"))
 def support_intent(spark, sf_dir):
     return support(spark, sf_dir).select("id", "intent")

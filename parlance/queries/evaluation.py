@@ -178,7 +178,7 @@ def draft_eval(spark, sf_dir):
 
 
 _PROBED = f"""a AS (SELECT r.doc_id, d.text FROM routed r JOIN documents d USING (doc_id) WHERE route = 'auto_reply'),
-    o AS (SELECT doc_id, text, coalesce(lead(text) OVER (PARTITION BY doc_id % 64 ORDER BY doc_id), first_value(text) OVER (PARTITION BY doc_id % 64 ORDER BY doc_id)) AS other FROM a),
+    o AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS other FROM a),
     planted AS (SELECT doc_id, d AS defect, CASE d WHEN 'wrong_intent' THEN other WHEN 'fabricated_fact' THEN text || ' The sum of 83.10 went back to your card last Tuesday.'
             WHEN 'missing_escalation' THEN 'All good, nothing more is needed from you.' ELSE 'You should have read the manual first. ' || text END AS reply
           FROM o CROSS JOIN (VALUES ('wrong_intent'), ('fabricated_fact'), ('missing_escalation'), ('hostile_tone')) k(d)),
@@ -189,8 +189,8 @@ _PROBED = f"""a AS (SELECT r.doc_id, d.text FROM routed r JOIN documents d USING
 def probe_detection(spark, sf_dir):
     """Four defects planted in each automatic reply, judged, parsed: those that a judge rejects, among those whose verdict could be read."""
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    drafts = routed(spark, sf_dir).where("route = 'auto_reply'").select("doc_id").join(texts, "doc_id").withColumn("ring", F.col("doc_id") % 64)
-    planted = replies.corrupted(drafts, "doc_id", "text", "ring")
+    drafts = routed(spark, sf_dir).where("route = 'auto_reply'").select("doc_id").join(texts, "doc_id")
+    planted = replies.corrupted(drafts, "doc_id", "text")
     v = planted.withColumn("acceptable", replies.verdict(replies.mock_verdict(F.col("reply")))["acceptable"])
     return op.with_interval(v.groupBy("defect").agg(F.count("acceptable").alias("n"), F.count_if(~F.col("acceptable")).alias("k")), "k", "n")
 

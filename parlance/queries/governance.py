@@ -16,16 +16,14 @@ _DOMAIN = ["abuse", "complaint", "other", "question", "praise"]
 
 @query(with_ctes(f"""
     , s AS (SELECT unnest(['full', CASE WHEN stratum = 'core' THEN 'core' ELSE 'targeted' END]) AS subset, intent FROM gold),
-      cells AS (SELECT subset, value, count(s.intent) AS k FROM (SELECT DISTINCT subset AS sub FROM s) CROSS JOIN (VALUES ('abuse'), ('complaint'), ('other'), ('question'), ('praise')) v(value) LEFT JOIN s ON s.subset = sub AND s.intent = value, LATERAL (SELECT sub AS subset) GROUP BY ALL),
+      cells AS (SELECT subset, value, count(s.intent) AS k FROM (SELECT DISTINCT subset AS sub FROM s) CROSS JOIN (SELECT value FROM (VALUES ('abuse'), ('complaint'), ('other'), ('question'), ('praise')) d(value) UNION SELECT DISTINCT intent FROM s) v LEFT JOIN s ON s.subset = sub AND s.intent = value, LATERAL (SELECT sub AS subset) GROUP BY ALL),
       t AS (SELECT subset, count(*) AS n FROM s GROUP BY subset)
     SELECT subset, value, k, n, round(k / n, 6) AS rate, {sql_wilson('k', 'n')[0]} AS low, {sql_wilson('k', 'n')[1]} AS high FROM cells JOIN t USING (subset)""".replace("SELECT subset, value, count(s.intent) AS k FROM", "SELECT sub AS subset, value, count(s.intent) AS k FROM").replace(", LATERAL (SELECT sub AS subset) GROUP BY ALL", " GROUP BY sub, value"), "gold"))
 def label_distribution(spark, sf_dir):
-    """Every value of the domain in each overlapping subset, those that never occur with 0."""
+    """Every value of the domain in each overlapping subset, those that never occur with 0, and values that occur outside the domain."""
     core = F.col("stratum") == "core"
     s = gold(spark, sf_dir).select(ev.subsets({"full": F.lit(True), "core": core, "targeted": ~core}).alias("subset"), "intent")
-    one = s.groupBy("subset").agg(F.count("*").alias("n"), *(F.count_if(F.col("intent") == v).alias(v) for v in _DOMAIN))
-    rows = one.select("subset", "n", F.explode(F.array(*(F.struct(F.lit(v).alias("value"), F.col(v).alias("k")) for v in _DOMAIN))).alias("x")).select("subset", "n", "x.*")
-    return ev.with_interval(rows, "k", "n")
+    return ev.distribution(s, "subset", "intent", _DOMAIN)
 
 
 @query(with_ctes(""", u AS (SELECT 'intent' AS field, intent AS v FROM gold UNION ALL SELECT 'escalation', escalation FROM gold UNION ALL SELECT 'reason', reason FROM gold),

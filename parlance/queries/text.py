@@ -120,12 +120,12 @@ def pii_flags(spark, sf_dir):
 
 @query("""SELECT doc_id, d AS defect, md5(CASE d WHEN 'wrong_intent' THEN other WHEN 'fabricated_fact' THEN text || ' The sum of 83.10 went back to your card last Tuesday.'
             WHEN 'missing_escalation' THEN 'All good, nothing more is needed from you.' ELSE 'You should have read the manual first. ' || text END) AS reply
-          FROM (SELECT doc_id, text, coalesce(lead(text) OVER (PARTITION BY doc_id % 64 ORDER BY doc_id), first_value(text) OVER (PARTITION BY doc_id % 64 ORDER BY doc_id)) AS other FROM documents)
+          FROM (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS other FROM documents)
           CROSS JOIN (VALUES ('wrong_intent'), ('fabricated_fact'), ('missing_escalation'), ('hostile_tone')) k(d)""")
 def corruption_probes(spark, sf_dir):
-    """Four planted defects of each text; 'wrong_intent' takes the next text of the same ring of ids."""
-    d = documents(spark, sf_dir).select("doc_id", "text", (F.col("doc_id") % 64).alias("ring"))
-    return rp.corrupted(d, "doc_id", "text", "ring").select("doc_id", "defect", F.md5("reply").alias("reply"))
+    """Four planted defects of each text; 'wrong_intent' takes the text of the next id."""
+    d = documents(spark, sf_dir).select("doc_id", "text")
+    return rp.corrupted(d, "doc_id", "text").select("doc_id", "defect", F.md5("reply").alias("reply"))
 
 
 @query("SELECT doc_id, CAST(('0x' || substr(sha256(text), 1, 8)) AS BIGINT) % 8 AS intent FROM documents")

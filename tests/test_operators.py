@@ -432,3 +432,15 @@ def test_ratings_in_any_spelling(spark):
     rows = spark.createDataFrame([(1, " Yes", "True", "4", "4"), (2, "n", "true", "", "3"), (3, "", "True", "1", "1"), (4, "Y", "False", "2", "5")], "id long, human_acceptable string, judge_acceptable string, human_tone string, judge_tone string")
     got = sorted((r.id, r.field, r.a, r.b) for r in evaluation.rated(rows, ("tone",), "id").collect())
     assert got == [(1, "acceptable", "yes", "yes"), (1, "tone", "4", "4"), (2, "acceptable", "no", "yes"), (4, "acceptable", "yes", "no"), (4, "tone", "2", "5")]
+
+
+def test_values_outside_the_domain_are_shown(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "odd"), ("b", "x"), ("b", None)], "g string, v string")
+    got = {(r.g, r.value): (r.k, r.n) for r in evaluation.distribution(rows, "g", "v", ["x", "y", "never"]).collect()}
+    assert got == {("a", "x"): (1, 3), ("a", "y"): (1, 3), ("a", "odd"): (1, 3), ("a", "never"): (0, 3), ("b", "x"): (1, 2), ("b", "y"): (0, 2), ("b", "odd"): (0, 2), ("b", "never"): (0, 2)}
+
+
+def test_other_texts_go_round(spark):
+    got = replies.corrupted(spark.createDataFrame([(5, "a"), (9, "b"), (70, "c")], "id long, text string"), "id", "text").where("defect = 'wrong_intent'").collect()
+    assert {r.id: r.reply for r in got} == {5: "b", 9: "c", 70: "a"}
+    assert replies.corrupted(spark.createDataFrame([], "id long, text string"), "id", "text").count() == 0
