@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
-from ..operators import evaluation as ev
-from ..operators.decisions import majority
+from ..operators import codebook, evaluation as ev
+from ..operators.decisions import lookup_policy, majority
 from ..registry import query
 from ..sources.bindings import gold, with_ctes
 from ..sources.tables import table
@@ -74,6 +76,63 @@ def schema_validation(spark, sf_dir):
     return marks(spark, sf_dir).select("id", ev.subsets(rules).alias("error"))
 
 
+#: A codebook of the stored labels, in the form of ``operators.codebook``.
+CODEBOOK = {
+    "version": "1",
+    "intents": [
+        {"name": "abuse", "definition": "insults or threats", "escalation_role": "independent", "confusable_with": ["complaint"]}, {"name": "complaint", "definition": "something went wrong", "escalation_role": "dependent", "confusable_with": ["abuse", "question"]},
+        {"name": "question", "definition": "asks for something", "escalation_role": "none", "confusable_with": []}, {"name": "other", "definition": "none of these", "escalation_role": "none", "confusable_with": None},
+    ],
+    "boundary_rules": [{"id": "R1", "test": "a threat is abuse whatever else it is"}, {"id": "R2", "test": "a complaint that asks is a complaint"}],
+    "fields": [
+        {"name": "intent", "values": ["abuse", "complaint", "question", "other"]}, {"name": "conversation_state", "values": ["opener", "followup", "unclear"]}, {"name": "urgency", "values": ["low", "normal", "high"]},
+        {"name": "frustration", "values": ["low", "normal", "high"]}, {"name": "language", "values": ["en", "de", "fr", "es"]}, {"name": "escalation", "values": ["ESCALATE", "AUTO_OK"]},
+        {"name": "escalation_reason", "values": ["none", "safety_abuse", "high_frustration", "ambiguous"], "blank_if": {"field": "escalation", "value": "AUTO_OK"}}, {"name": "confidence", "values": ["low", "medium", "high"]},
+    ],
+    "cross_rules": [
+        {"id": "auto_has_no_reason", "field": "escalation", "value": "AUTO_OK", "other": "escalation_reason", "allowed": ["none", ""]}, {"id": "escalation_has_reason", "field": "escalation", "value": "ESCALATE", "other": "escalation_reason", "refused": ["none"]},
+    ],
+}
+#: Annotations of all labelled documents, some of them faulty, in plain SQL of both engines.
+_ANNOTATED = {
+    "intent": "CASE WHEN id % 29 = 0 THEN '' WHEN id % 31 = 1 THEN 'praise' ELSE intent END", "conversation_state": "CASE WHEN id % 29 = 0 THEN '' WHEN id % 3 = 0 THEN 'followup' ELSE 'opener' END", "urgency": "CASE WHEN id % 29 = 0 OR id % 23 = 2 THEN ' ' ELSE 'low' END",
+    "frustration": "CASE WHEN id % 29 = 0 THEN '' WHEN reason = 'high_frustration' THEN ' high ' ELSE 'normal' END", "language": "CASE WHEN id % 29 = 0 THEN '' ELSE coalesce(lang, '') END", "escalation": "CASE WHEN id % 29 = 0 THEN '' ELSE escalation END",
+    "escalation_reason": "CASE WHEN id % 29 = 0 THEN '' WHEN id % 13 = 3 THEN 'none' WHEN id % 17 = 4 THEN 'ambiguous' ELSE reason END", "confidence": "CASE WHEN id % 29 = 0 THEN '' WHEN id % 19 = 5 THEN 'sure' ELSE 'high' END",
+}
+
+
+def _codebook(spark):
+    return codebook.parsed(spark.createDataFrame([(json.dumps(CODEBOOK),)], "json string"))
+
+
+def _sql_violations() -> str:
+    """The same checks, written out from the codebook."""
+    listed = lambda values: "(" + ", ".join(f"'{v}'" for v in values) + ")"
+    out = []
+    for f in CODEBOOK["fields"]:
+        spared = f" AND trim({f['blank_if']['field']}) <> '{f['blank_if']['value']}'" if "blank_if" in f else ""
+        out += [("empty", f["name"], f"trim({f['name']}) = ''{spared}"), ("domain", f["name"], f"trim({f['name']}) <> '' AND trim({f['name']}) NOT IN {listed(f['values'])}")]
+    for r in CODEBOOK["cross_rules"]:
+        test = f"NOT IN {listed(r['allowed'])}" if "allowed" in r else f"IN {listed(r['refused'])}"
+        out.append((r["id"], r["other"], f"trim({r['field']}) = '{r['value']}' AND trim({r['other']}) {test}"))
+    return " UNION ALL ".join(f"SELECT id, '{name}' AS field, '{error}' AS error FROM annotated WHERE {wrong}" for error, name, wrong in out)
+
+
+@query(with_ctes(f""", annotated AS (SELECT id, {', '.join(f'{x} AS a_{name}' for name, x in _ANNOTATED.items())} FROM gold JOIN (SELECT doc_id AS id, lang FROM documents) USING (id)),
+    filled AS (SELECT * FROM annotated WHERE {' OR '.join(f"trim(a_{name}) <> ''" for name in _ANNOTATED)}) {_sql_violations().replace('FROM annotated', 'FROM (SELECT id, ' + ', '.join(f'a_{name} AS {name}' for name in _ANNOTATED) + ' FROM filled)')}""", "gold"))
+def codebook_violations(spark, sf_dir):
+    """Everything that is wrong with the annotations, by rules that the codebook states: emptiness and domain of eight fields, two cross rules."""
+    g = gold(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
+    return codebook.violations(g.select("id", *(F.expr(x).alias(name) for name, x in _ANNOTATED.items())), _codebook(spark), "id")
+
+
+@query(with_ctes(", m AS (SELECT id, intent, CASE intent " + " ".join(f"WHEN '{i['name']}' THEN '{i['escalation_role']}'" for i in CODEBOOK["intents"]) + " END AS role FROM gold) SELECT id, intent, role, CASE WHEN role = 'independent' THEN 'ESCALATE' ELSE 'AUTO_OK' END AS decision FROM m", "gold"))
+def codebook_roles(spark, sf_dir):
+    """Decisions by the role that the codebook gives the intent."""
+    rows = gold(spark, sf_dir).select("id", F.col("intent").alias("pred"))
+    return lookup_policy(rows, codebook.roles(_codebook(spark)), "other").select("id", F.col("pred").alias("intent"), "role", "decision")
+
+
 _LEDGER = "ledger AS (SELECT 'mock:' || event_type AS model, event_id % 4 = 0 AS cached, CAST(coalesce(props ->> 'k', '0') AS BIGINT) AS tokens_in, event_id % 50 AS tokens_out FROM events)"
 
 

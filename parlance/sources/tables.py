@@ -114,7 +114,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, sha256) of whole files."""
+    """(file_name, sha256) of whole files; Spark's reader gives no row for a file without a byte."""
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.sha2("content", 256).alias("sha256"))
 
 

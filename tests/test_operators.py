@@ -1,5 +1,7 @@
 """Edge cases of the operators, on small frames."""
 
+import hashlib
+import json
 import math
 import random
 
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import stats, text as t
 from parlance.lexicon import MUST, REASONS, TOPICS, seeds, template
-from parlance.operators import clusters, decisions, dedup, evaluation, factors, prefix, replies, sampling, threads
+from parlance.operators import clusters, codebook, decisions, dedup, evaluation, factors, prefix, replies, sampling, threads
 from parlance.plans import pool
 from parlance.sources import tables
 
@@ -444,3 +446,31 @@ def test_other_texts_go_round(spark):
     got = replies.corrupted(spark.createDataFrame([(5, "a"), (9, "b"), (70, "c")], "id long, text string"), "id", "text").where("defect = 'wrong_intent'").collect()
     assert {r.id: r.reply for r in got} == {5: "b", 9: "c", 70: "a"}
     assert replies.corrupted(spark.createDataFrame([], "id long, text string"), "id", "text").count() == 0
+
+
+def test_a_codebook_file_drives_prompt_roles_and_checks(spark, tmp_path):
+    book = {
+        "version": "2", "intents": [{"name": "b", "definition": "second", "escalation_role": "independent", "confusable_with": ["a"]}, {"name": "a", "definition": "first", "escalation_role": "none"}], "boundary_rules": [{"id": "R", "test": "b wins"}],
+        "fields": [{"name": "intent", "values": ["a", "b"]}, {"name": "why", "values": ["none", "x"], "blank_if": {"field": "out", "value": "no"}}, {"name": "out", "values": ["yes", "no"]}],
+        "cross_rules": [{"id": "no_reason", "field": "out", "value": "no", "other": "why", "allowed": ["none", ""]}, {"id": "a_reason", "field": "out", "value": "yes", "other": "why", "refused": ["none"]}],
+    }
+    (tmp_path / "codebook.json").write_text(json.dumps(book, indent=1))
+    read = codebook.read_codebook(spark, f"file://{tmp_path}/codebook.json")
+    assert codebook.roles(read) == {"b": "independent", "a": "none"}
+    said = decisions.codebook_prompt(*codebook.prompt_parts(read)).first().prompt
+    assert "* b: second\n  not to be mixed up with: a\n* a: first\n\nRules" in said and "* R: b wins" in said
+    rows = [(1, "a", "none", "no"), (2, "a", "", "no"), (3, "b", "", "yes"), (4, "c", "x", "no"), (5, None, "none", "yes"), (6, "", None, " "), (7, " b ", "x", "yes"), (8, "a", "zzz", "maybe")]
+    got = sorted(map(tuple, codebook.violations(spark.createDataFrame(rows, "id long, intent string, why string, out string"), read, "id").collect()))
+    assert got == [(3, "why", "empty"), (4, "intent", "domain"), (4, "why", "no_reason"), (5, "intent", "empty"), (5, "why", "a_reason"), (8, "out", "domain"), (8, "why", "domain")]
+    (tmp_path / "bad.json").write_text("{not json")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        codebook.read_codebook(spark, f"file://{tmp_path}/bad.json").collect()
+
+
+def test_whole_file_digests_and_reports(spark, tmp_path):
+    (tmp_path / "one.bin").write_bytes(b"abc" * 1000)
+    (tmp_path / "two.bin").write_bytes(b"")
+    got = {r.file_name: r.sha256 for r in tables.file_digests(spark, f"file://{tmp_path}/*.bin").collect()}
+    assert got == {"one.bin": hashlib.sha256(b"abc" * 1000).hexdigest()}
+    rows = tables.report(spark.createDataFrame([(1, "a", None), (2, None, [1.5])], "n long, s string, x array<double>")).collect()
+    assert [json.loads(r.json) for r in rows] == [{"n": 1, "s": "a"}, {"n": 2, "x": [1.5]}]
