@@ -6,8 +6,8 @@ the columns of documents.
 
 Edge cases, the same in every stage: nulls may be in any column and other columns are kept (by all but the last);
 repeated rows are judged alike; an empty table gives an empty result.  Null, empty and letterless texts pass
-toxicity (their score is the bias's), are rejected by the language stage, link with nothing, have no tokens to mix
-and are packed as their end token.
+toxicity (their score is the bias's), are rejected by the language stage if any row has a lang, link with nothing, have no
+tokens to mix and are packed as their end token.
 """
 
 from __future__ import annotations
