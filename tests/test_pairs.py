@@ -17,3 +17,13 @@ def test_every_copy_is_crossed(spark, tmp_path):
     got = sorted(tuple(r) for r in sampling.neardup_cross(spark, f"file://{tmp_path}").collect())
     assert got == [(1, 7, 4), (1, 8, 4), (2, 7, 4), (2, 8, 4)]
     assert sorted((r.a, r.b, r.jaccard) for r in sampling.jaccard_pairs(spark, f"file://{tmp_path}").collect()) == [(1, 2, 1.0)]
+
+
+def test_shingles_are_not_shuffled_for_their_order(spark):
+    """Sets come from rare to frequent, in one order for both sides, from a fixed number of counts."""
+    docs = spark.createDataFrame([(i, f"same words here x{i} y{i} z{i}") for i in range(30)], "id long, text string")
+    sets = dedup.shingle_sets(docs)
+    left, right = dedup._rare_first([sets.where("id % 2 = 0"), sets.where("id % 2 = 1")])
+    rows = [r.s for r in left.unionByName(right).collect()]
+    assert len({s[-1] for s in rows}) == 1 and all(len(s) == 4 for s in rows)
+    assert "Exchange" not in left._jdf.queryExecution().executedPlan().toString()
