@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled by one numpy call; longer single texts form a slice of their own.
 SLICE_BYTES = 2 << 20
+#: The same where shingles are made: their arrays, eight bytes for each of the text, then stay in a core's cache.
+SET_BYTES = 1 << 18
 
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -96,12 +98,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, past last row, bytes, offsets) for slices of about SLICE_BYTES."""
+def slices(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, past last row, bytes, offsets) for slices of about ``most`` bytes, SLICE_BYTES if not given."""
+    most = most or SLICE_BYTES
     data, offs = text_bytes(column)
     row, rows = 0, len(offs) - 1
     while row < rows:
-        end = int(np.searchsorted(offs, offs[row] + SLICE_BYTES, "right")) - 1
+        end = int(np.searchsorted(offs, offs[row] + most, "right")) - 1
         end = min(max(end, row + 1), rows)
         yield row, end, data[offs[row] : offs[end]], offs[row : end + 1] - offs[row]
         row = end
@@ -191,19 +194,31 @@ def short_hash(words: np.ndarray) -> np.uint64:
     return mix((words * _PLACE[: len(words)]).sum(dtype=np.uint64, keepdims=True) + _PLACE[32 + len(words)])[0]
 
 
-def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """For each row the sorted distinct hashes of its n-word shingles (see ``ngram_join``)."""
-    for _, _, data, offs in slices(column):
+def flat_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, hashes, bounds) for slices of rows: the sorted distinct hashes of each row's n-word shingles, row after row."""
+    for first, _, data, offs in slices(column, SET_BYTES):
         starts, ends, bounds = word_spans(data, offs)
         words = word_hashes(data, starts, ends)
+        flat = words.copy()
         grams = gram_hashes(words, n)
+        flat[: len(grams)] = grams
+        count = np.diff(bounds)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if b - a >= n:
-                yield np.unique(grams[a : b - n + 1])
+                flat[a : b - n + 1].sort()
             elif b > a:
-                yield short_hash(words[a:b]).reshape(1)
-            else:
-                yield grams[:0]
+                flat[a] = short_hash(words[a:b])
+        place = np.arange(len(flat)) - np.repeat(bounds[:-1], count)
+        keep = place < np.repeat(np.where(count >= n, count - n + 1, 1), count)
+        keep[1:] &= (flat[1:] != flat[:-1]) | (place[1:] == 0)
+        yield first, flat[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
+
+
+def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """For each row the sorted distinct hashes of its n-word shingles (see ``ngram_join``)."""
+    for _, flat, bounds in flat_sets(column, n):
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield flat[a:b]
 
 
 def signed(x: np.ndarray) -> np.ndarray:

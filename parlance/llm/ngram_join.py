@@ -20,7 +20,7 @@ hashes) and is given as components of linked documents, never as all pairs of a
    made again.  What is crowded after ROUNDS rounds is split by exact numbers, so no task compares or holds more.
 4. *Bound and open.*  For such a pair the overlap of the query with the block's shingle union
    is an upper bound for every member.  Only blocks whose bound reaches the need are opened
-   and their members verified.
+   and their members verified; a block of one member is verified at once.
 5. Components of all verified links.
 
 A link between two different groups survives step 3, because the first common shingle of a
@@ -37,14 +37,14 @@ the links of both count for it; other columns are ignored; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, mix, shingle_sets, signed, stored
+from .common import drop_stored, flat_sets, mix, shingle_sets, signed, stored  # noqa: F401
 from .components import components
 
 LEADERS = 16  # sets held per key while grouping; what matches none of them is left to the matrix
@@ -52,13 +52,16 @@ CENTRES = 6  # of these, the first ones are held even where they match others
 SALT_ROWS = 512  # representatives under one key and salt
 BLOCK = 64  # members of a block of the matrix
 LINKS = "u long, v long"
+FEW = 4  # blocks that a query meets all at once
 QUERY_ROWS = 2048  # queries that meet one copy of a block
 FREQUENT = 1 << 20  # shingles at most in the list of frequent ones (12 MB), fixed at every scale
 REPEATS = 4  # rows of a task that must have a shingle for it to be counted
 COUNTED = 4_000_000  # shingles a task counts before it forgets those met once
 ROUNDS = 2  # times at most that the list is mended
 CELL_ROWS = 4096  # rows of a shingle that are compared with as many in one cell
+PAIRS = 1 << 17  # pairs of rows compared at once, or those of one asker
 
+_HEAD = np.uint64(42)  # bits of a hash below those that tell whether it may be in the list
 _C, _D = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 _KEYS = tuple(np.uint64(x) for x in (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x71D67FFFEDA60000, 0x8CB92BA72F3D8DD7, 0x5851F42D4C957F2D))
 
@@ -78,32 +81,67 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def _digest(s: np.ndarray) -> tuple[int, int]:
-    return int(signed(mix(s ^ _C).sum(dtype=np.uint64, keepdims=True))[0]), int(signed(mix(s ^ _D).sum(dtype=np.uint64, keepdims=True))[0])
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted distinct arrays link."""
+    return min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)) and linked(overlap(a, b), len(a), len(b), percent)
+
+
+def _mixed(flat: np.ndarray, bounds: np.ndarray, key: np.uint64, fold: np.ufunc) -> np.ndarray:
+    """``fold`` of the mixed hashes of each row's set, 0 for an empty one."""
+    out = np.zeros(len(bounds) - 1, np.uint64)
+    some = bounds[1:] > bounds[:-1]
+    if some.any():
+        out[some] = fold.reduceat(mix(flat ^ key), bounds[:-1][some])
+    return signed(out)
 
 
 def _summaries(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(len(s), *_digest(s), [int(signed(mix(s ^ k).min(keepdims=True))[0]) for k in _KEYS] if len(s) else []) for s in shingle_sets(batch["text"], n)]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n", "d1", "d2", "keys"])
+        found = [(np.diff(bounds), *(_mixed(flat, bounds, k, np.add) for k in (_C, _D)), *(_mixed(flat, bounds, k, np.minimum) for k in _KEYS)) for _, flat, bounds in flat_sets(batch["text"], n)]
+        size, d1, d2, *keys = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * (3 + len(_KEYS))
+        some = size > 0
+        ends = np.concatenate([[0], np.cumsum(some) * len(_KEYS)]).astype(np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.stack(keys, axis=1)[some].ravel()))
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(size), pa.array(d1), pa.array(d2), keys], ["doc_id", "n", "d1", "d2", "keys"])
+
+
+def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
+    """Each row's set; empty where the row only has the id of a representative, whose digest is ``d1``."""
+    d1 = batch["d1"].to_numpy(zero_copy_only=False)
+    for first, flat, bounds in flat_sets(batch["text"], n):
+        own = _mixed(flat, bounds, _C, np.add) == d1[first : first + len(bounds) - 1]
+        for a, b, ok in zip(bounds[:-1].tolist(), bounds[1:].tolist(), own.tolist(), strict=True):
+            yield flat[a:b] if ok else flat[:0]
+
+
+def _counted(parts: list[np.ndarray], token: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, sorted, of ``parts`` and ``token``, and how often: ``count`` times for those of ``token``."""
+    fresh = np.sort(np.concatenate(parts)) if parts else token[:0]
+    edge = np.flatnonzero(np.concatenate([[True], fresh[1:] != fresh[:-1]])[: len(fresh)])
+    fresh, times = fresh[edge], np.diff(np.concatenate([edge, [len(fresh)]]))
+    if not len(token):
+        return fresh, times
+    at = np.searchsorted(token, fresh)
+    old = token[np.minimum(at, len(token) - 1)] == fresh
+    count = count.copy()
+    count[at[old]] += times[old]
+    return np.insert(token, at[~old], fresh[~old]), np.insert(count, at[~old], times[~old])
 
 
 def _frequent(batches: Iterator[pa.RecordBatch], n: int, repeats: int, most: int) -> Iterator[pa.RecordBatch]:
     """Shingles that ``repeats`` or more rows of a task have, and how many."""
     token, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    parts, held = [], 0
     for batch in batches:
-        sets = [s for s in shingle_sets(batch["text"], n) if len(s)]
-        if not sets:
-            continue
-        fresh, times = np.unique(np.concatenate(sets), return_counts=True)
-        if len(token):
-            token, at = np.unique(np.concatenate([token, fresh]), return_inverse=True)
-            count = np.bincount(at, np.concatenate([count, times]), len(token)).astype(np.int64)
-        else:
-            token, count = fresh, times
-        if len(token) > most:
-            token, count = token[count > 1], count[count > 1]
+        for _, flat, _ in flat_sets(batch["text"], n):
+            parts.append(flat)
+            held += len(flat)
+            if held > most:
+                token, count = _counted(parts, token, count)
+                parts, held = [], 0
+                if len(token) > most:
+                    token, count = token[count > 1], count[count > 1]
+    token, count = _counted(parts, token, count)
     often = count >= repeats
     yield pa.RecordBatch.from_arrays([pa.array(signed(token[often])), pa.array(count[often])], ["token", "count"])
 
@@ -139,14 +177,33 @@ def _relisted(asked: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> tuple[n
     return None if np.array_equal(token[kept], order[0]) else (token[kept], count[kept])
 
 
-def _often(s: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """How often each shingle was counted, 0 where it isn't in the list."""
+def _often(s: np.ndarray, order: tuple[np.ndarray, np.ndarray], heads: np.ndarray) -> np.ndarray:
+    """How often each shingle was counted, 0 where it isn't in the list; ``heads`` tells which leading bits any in the list has."""
     token, count = order
-    if not len(token):
-        return np.zeros(len(s), np.int64)
-    at = np.searchsorted(token, s)
-    at[at == len(token)] = 0
-    return np.where(token[at] == s, count[at], 0)
+    often = np.zeros(len(s), np.int64)
+    maybe = np.flatnonzero(heads[s >> _HEAD])
+    if len(maybe):
+        at = np.minimum(np.searchsorted(token, s[maybe]), len(token) - 1)
+        often[maybe] = np.where(token[at] == s[maybe], count[at], 0)
+    return often
+
+
+def _rarest(often: np.ndarray, row: np.ndarray, bounds: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, places): the ``keep`` shingles of each row that were counted least, of equal ones the least hashes, and their places in this order."""
+    listed = np.flatnonzero(often)
+    unlisted = np.concatenate([[0], np.cumsum(often == 0)])
+    rare = unlisted[bounds[1:]] - unlisted[bounds[:-1]]
+    at = np.flatnonzero(often == 0)
+    place = unlisted[at] - unlisted[bounds[:-1]][row[at]]
+    ok = place < keep[row[at]]
+    listed = listed[(rare < keep)[row[listed]]]
+    if not len(listed):
+        return at[ok], place[ok]
+    listed = listed[np.lexsort((often[listed], row[listed]))]  # stable: rows hold their hashes sorted
+    of = row[listed]
+    after = np.arange(len(of)) - np.searchsorted(of, of) + rare[of]
+    fits = after < keep[of]
+    return np.concatenate([at[ok], listed[fits]]), np.concatenate([place[ok], after[fits]])
 
 
 def _grouping(batches: Iterator[pa.RecordBatch], n: int, percent: int, most: int, centres: int) -> Iterator[pa.RecordBatch]:
@@ -154,14 +211,14 @@ def _grouping(batches: Iterator[pa.RecordBatch], n: int, percent: int, most: int
     key, leaders = None, []
     for batch in batches:
         links: list[tuple[int, int]] = []
-        for k, salt, doc, d1, s in zip(batch["k"].to_pylist(), batch["salt"].to_pylist(), batch["doc_id"].to_pylist(), batch["d1"].to_pylist(), shingle_sets(batch["text"], n), strict=True):
+        for k, salt, doc, s in zip(batch["k"].to_pylist(), batch["salt"].to_pylist(), batch["doc_id"].to_pylist(), _sets(batch, n), strict=True):
             if key != (k, salt):
                 key, leaders = (k, salt), []
-            if not len(s) or _digest(s)[0] != d1:
-                continue  # another row with the id of a representative
-            size, alone = len(s), True
+            if not len(s):
+                continue
+            alone = True
             for lead, held in leaders:
-                if min(size, len(held)) * 100 >= percent * max(size, len(held)) and linked(overlap(s, held), size, len(held), percent):
+                if alike(s, held, percent):
                     links.append((doc, lead))
                     alone = False
             if len(leaders) < most and (alone or len(leaders) < centres):
@@ -184,23 +241,21 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, order, ce
     held in the cells of its column and asks in those of its row (``role`` 1 and 2; 3 is both).
     """
     names = ["token", "cell", "doc_id", "grp", "members", "np", "role"]
+    heads = np.zeros(1 << (64 - int(_HEAD)), bool)
+    heads[order.value[0] >> _HEAD] = True
     for batch in batches:
-        tokens, rows, places, sizes, counts = [], [], [], [], []
+        parts = []
         d1 = batch["d1"].to_numpy(zero_copy_only=False)
-        for i, s in enumerate(shingle_sets(batch["text"], n)):
-            if not len(s) or _digest(s)[0] != d1[i]:
-                continue
-            keep = probing(len(s), percent)
-            often = _often(s, order.value)
-            at = np.argsort(often, kind="stable")[:keep] if often.any() else np.arange(keep)
-            tokens.append(s[at])
-            rows.append(np.full(keep, i))
-            places.append(np.arange(keep, dtype=np.int64))
-            sizes.append(np.full(keep, len(s), np.int64))
-            counts.append(often[at])
-        if not tokens:
+        for first, flat, bounds in flat_sets(batch["text"], n):
+            sizes = np.diff(bounds)
+            own = (sizes > 0) & (_mixed(flat, bounds, _C, np.add) == d1[first : first + len(sizes)])
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            often = _often(flat, order.value, heads)
+            at, place = _rarest(often, row, bounds, np.where(own, probing(sizes, percent), 0))
+            parts.append((flat[at], first + row[at], place, sizes[row[at]], often[at]))
+        if not parts:
             continue
-        token, row, place, size, count = (np.concatenate(x) for x in (tokens, rows, places, sizes, counts))
+        token, row, place, size, count = (np.concatenate(x) for x in zip(*parts, strict=True))
         doc = batch["doc_id"].to_numpy(zero_copy_only=False)[row]
         bands = -(-count // cell_rows)
         one = np.flatnonzero(bands <= 1)
@@ -233,24 +288,39 @@ def _celled(rows: DataFrame) -> DataFrame:
     return split.select("token", "at.cell", "doc_id", "grp", "members", "np", "at.role")
 
 
-def _pairs(grp: np.ndarray, members: np.ndarray, doc: np.ndarray, size: np.ndarray, place: np.ndarray, role: np.ndarray, percent: int) -> list[np.ndarray]:
-    """(query, group) pairs that the rows of one cell, sorted by group, still allow."""
-    found = []
-    indexed = place < indexing(size, percent)
-    holds = np.flatnonzero(role & 1)
-    asks = np.flatnonzero(role & 2)
-    for a in range(0, len(asks), 256):
-        q = asks[a : a + 256, None]
-        asked = holds[(members[holds] >= members[q].min())]
-        less = (members[q] < members[asked]) | ((members[q] == members[asked]) & (grp[q] > grp[asked]))
-        small, large = np.minimum(size[q], size[asked]), np.maximum(size[q], size[asked])
-        most = np.minimum(size[q] - place[q], size[asked] - place[asked])
-        ok = less & ((indexed[q] & (size[q] == small)) | (indexed[asked] & (size[asked] == small)))
+def _distinct(doc: np.ndarray, grp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((grp, doc))
+    doc, grp = doc[order], grp[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (grp[1:] != grp[:-1])])[: len(doc)]
+    return doc[new], grp[new]
+
+
+def _pairs(first: np.ndarray, last: np.ndarray, grp: np.ndarray, members: np.ndarray, doc: np.ndarray, np_: np.ndarray, role: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, group) pairs that the rows of each cell ``first`` to ``last`` still allow, about PAIRS compared at once."""
+    length = last - first
+    asks = np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
+    cell = np.repeat(np.arange(len(first)), length)
+    asking = (role[asks] & 2) > 0
+    asks, cell = asks[asking], cell[asking]
+    before = np.concatenate([[0], np.cumsum(length[cell])])  # pairs of the askers so far
+    a = 0
+    while a < len(asks):
+        b = max(a + 1, int(np.searchsorted(before, before[a] + PAIRS, "right")) - 1)
+        each = length[cell[a:b]]
+        q = np.repeat(asks[a:b], each)
+        held = np.repeat(first[cell[a:b]] - before[a:b] + before[a], each) + np.arange(len(q))
+        less = (members[q] < members[held]) | ((members[q] == members[held]) & (grp[q] > grp[held]))
+        ok = np.flatnonzero(less & ((role[held] & 1) > 0))
+        q, held = q[ok], held[ok]
+        size, other = np_[q] >> 32, np_[held] >> 32
+        place, there = np_[q] & 0xFFFFFFFF, np_[held] & 0xFFFFFFFF
+        small, large = np.minimum(size, other), np.maximum(size, other)
+        most = np.minimum(size - place, other - there)
+        ok = ((place < indexing(size, percent)) & (size == small)) | ((there < indexing(other, percent)) & (other == small))
         ok &= (small * 100 >= percent * large) & (most * (100 + percent) >= percent * (small + large))
-        i, j = np.nonzero(ok)
-        if len(i):
-            found.append(np.unique(np.stack([doc[q[i, 0]], grp[asked[j]]]), axis=1))
-    return found
+        if ok.any():
+            yield _distinct(doc[q[ok]], grp[held[ok]])
+        a = b
 
 
 _ROWS = ("token", "cell", "grp", "members", "doc_id", "np", "role")
@@ -276,9 +346,9 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int, most: int | Non
         large = np.zeros(len(first), bool) if most is None else last - first > most
         for a, b in zip(first[mixed & large].tolist(), last[mixed & large].tolist(), strict=True):
             yield handed([x[a:b] for x in cols])
-        found = [x for a, b in zip(first[mixed & ~large].tolist(), last[mixed & ~large].tolist(), strict=True) for x in _pairs(grp[a:b], members[a:b], doc[a:b], np_[a:b] >> 32, np_[a:b] & 0xFFFFFFFF, role[a:b], percent)]
+        found = list(_pairs(first[mixed & ~large], last[mixed & ~large], grp, members, doc, np_, role, percent))
         if found:
-            docs, groups = np.unique(np.concatenate(found, axis=1), axis=1)
+            docs, groups = _distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
             none = pa.nulls(len(docs), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, pa.array(groups), none, pa.array(docs), none, pa.nulls(len(docs), pa.int8())], [*_ROWS])
 
@@ -318,19 +388,19 @@ def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator
     key, members, union = None, [], None
     for batch in batches:
         links: list[tuple[int, int]] = []
-        for *now, is_query, doc, d1, s in zip(*(batch[c].to_pylist() for c in ("grp", "part", "salt", "is_query", "doc_id", "d1")), shingle_sets(batch["text"], n), strict=True):
+        for *now, is_query, doc, s in zip(*(batch[c].to_pylist() for c in ("grp", "part", "salt", "is_query", "doc_id")), _sets(batch, n), strict=True):
             if key != now:
                 key, members, union = now, [], None
-            if not len(s) or _digest(s)[0] != d1:
+            if not len(s):
                 continue
             if not is_query:
                 members.append((doc, s))
                 continue
-            if union is None:
-                union = np.unique(np.concatenate([x for _, x in members])) if members else s[:0]
-            if overlap(s, union) * 100 < percent * len(s):
+            if union is None and len(members) > 1:
+                union = _counted([x for _, x in members], s[:0], s[:0])[0]
+            if union is not None and overlap(s, union) * 100 < percent * len(s):
                 continue
-            links += [(doc, other) for other, held in members if other != doc and linked(overlap(s, held), len(s), len(held), percent)]
+            links += [(doc, other) for other, held in members if other != doc and alike(s, held, percent)]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["u", "v"])
 
 
@@ -380,18 +450,25 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     found = stored(asked.where("token is null").unionByName(rest).select("doc_id", "grp").distinct(), "candidates")
     drop_stored(asked, rest)
 
-    # A group folds to blocks of about BLOCK members.  First each query meets one block of the largest
-    # group it was found with; what still lies in another component meets all blocks of its groups.
+    # A group folds to blocks of about BLOCK members.  A query whose groups have FEW blocks in all meets these.  Any
+    # other first meets one block of its largest group; what still lies in another component meets all of its groups.
     sizes = stored(placed.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.count("*").alias("members")), "sizes")
-    best = found.join(sizes, "grp").groupBy("doc_id").agg(F.max_by(F.struct("grp", "parts"), F.struct("members", -F.col("grp"))).alias("b")).select("doc_id", "b.grp", F.pmod(F.xxhash64("doc_id"), "b.parts").alias("part"))
-    links = [near, _far(docs, placed, sizes, stored(best, "wanted"), n, percent)]
+    asked_of = found.join(sizes, "grp")
+    queries = stored(asked_of.groupBy("doc_id").agg(F.max_by("grp", F.struct("members", -F.col("grp"))).alias("best"), F.sum("parts").alias("blocks")), "queries")
+    parts = F.when(F.col("blocks") <= FEW, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), "parts")))
+    first = asked_of.join(queries, "doc_id").where((F.col("blocks") <= FEW) | (F.col("grp") == F.col("best"))).select("doc_id", "grp", F.explode(parts).alias("part"))
+    links = [near, _far(docs, placed, sizes, stored(first, "wanted"), n, percent)]
     label = stored(components(links[0].unionByName(links[1])), "labels")
-    of_query = found.join(label.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left")
+    of_query = found.join(queries.where(F.col("blocks") > FEW).select("doc_id"), "doc_id").join(label.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left")
     open_ = of_query.join(label.select(F.col("node").alias("grp"), F.col("component").alias("g")), "grp", "left").where(F.coalesce("c", "doc_id") != F.coalesce("g", "grp"))
     rest = open_.select("doc_id", "grp").join(sizes, "grp").select("doc_id", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    links.append(_far(docs, placed, sizes, stored(rest, "wanted"), n, percent))
-    drop_stored(found, sizes, groups, placed, label)
-    whole = components(links[0].unionByName(links[1]).unionByName(links[2]))
+    wanted = stored(rest, "wanted")
+    if wanted.isEmpty():
+        drop_stored(wanted)
+    else:
+        links.append(_far(docs, placed, sizes, wanted, n, percent))
+    drop_stored(found, sizes, queries, groups, placed, label)
+    whole = components(reduce(DataFrame.unionByName, links))
 
     labels = classes.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("n", "d1", "d2", F.coalesce("component", "doc_id").alias("component_id"))
     out = stored(summary.join(labels, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "components")

@@ -137,6 +137,68 @@ def test_unlisted_shingle_of_many_rows(spark, monkeypatch):
     assert 0.9 * n < seen[0] <= n and seen[1:] == [0]  # once listed it is in no prefix
 
 
+def test_sets_are_worked_on_by_slices_not_row_by_row(monkeypatch):
+    calls = {"mix": 0, "_pairs": 0}
+
+    def counting(name):
+        real = getattr(nj, name)
+
+        def counted(*args):
+            calls[name] += 1
+            return real(*args)
+
+        monkeypatch.setattr(nj, name, counted)
+
+    counting("mix")
+    counting("_pairs")
+    texts = [None, "", " \t", "a b", *(f"a b c d e f{i} g{i}" for i in range(2000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    rows = next(nj._summaries(iter([batch]), 5)).to_pylist()
+    assert [r["n"] for r in rows] == [0, 0, 0, 1] + [3] * 2000 and [len(r["keys"]) for r in rows[:5]] == [0, 0, 0, 5, 5]
+    assert len({(r["d1"], r["d2"]) for r in rows}) == 2002 and calls["mix"] <= 2 * (2 + len(nj._KEYS))
+    cells = [(t, 0, t * 3 + g, 1, t * 3 + g, (5 << 32) | 0, 3) for t in range(3000) for g in range(1 + t % 3)]
+    asked = pa.RecordBatch.from_arrays([pa.array([r[k] for r in cells], pa.int64() if k < 6 else pa.int8()) for k in range(7)], [*nj._ROWS])
+    found = [(r["doc_id"], r["grp"]) for out in nj._candidates(iter([asked]), 80, 100) for r in out.to_pylist()]
+    assert sorted(found) == [(t * 3 + g, t * 3 + h) for t in range(3000) for g in range(1 + t % 3) for h in range(g)]
+    assert calls["_pairs"] <= 2
+
+
+@pytest.mark.parametrize("listed", [0, 3, 40])
+def test_prefixes_follow_counts_then_hashes(listed):
+    rng = random.Random(listed)
+    texts = ["", None, *(" ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 60))) for _ in range(80))]
+    sets = list(nj.shingle_sets(pa.array(texts), 1))
+    token = np.array(sorted(rng.sample(sorted({int(x) for s in sets for x in s}), min(listed, 29))), np.uint64)
+    often = {int(t): rng.randrange(4, 9) for t in token}
+    ids = pa.array(range(len(texts)), pa.int64())
+    summary = next(nj._summaries(iter([pa.RecordBatch.from_arrays([ids, pa.array(texts)], ["doc_id", "text"])]), 1))
+    d1 = summary["d1"].to_numpy().copy()
+    d1[5] += 1  # a row with another's id
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(texts), pa.array(d1), ids, ids], ["doc_id", "text", "d1", "grp", "members"])
+    order = type("order", (), {"value": (token, np.array([often[int(t)] for t in token], np.int64))})
+    got = sorted((r["doc_id"], r["np"] & 0xFFFFFFFF, r["np"] >> 32, r["token"] % 2**64) for out in nj._prefixes(iter([batch]), 1, 60, order, 4096) for r in out.to_pylist())
+    want = []
+    for i, s in enumerate(sets):
+        if len(s) and i != 5:
+            kept = sorted((often.get(int(x), 0), int(x)) for x in s)[: nj.probing(len(s), 60)]
+            want += [(i, k, len(s), x) for k, (_, x) in enumerate(kept)]
+    assert got == want
+
+
+def test_no_block_is_met_twice_where_a_query_has_few(spark, monkeypatch):
+    rows = [(i, " ".join([f"a{i}w{k}" for k in range(9)] + [f"s{i // 2}w{k}" for k in range(20)]), "en", "s") for i in range(40)]
+    met, real = [], nj._far
+
+    def far(docs, placed, sizes, wanted, n, percent):
+        met.extend((r.doc_id, r.grp, r.part) for r in wanted.collect())
+        return real(docs, placed, sizes, wanted, n, percent)
+
+    monkeypatch.setattr(nj, "_far", far)
+    got = nj.ngram_components(build(spark, rows), 5, 60).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in brute([r[:2] for r in rows], 5, 60).items()}
+    assert met and len(met) == len(set(met))
+
+
 def test_threshold_is_exact(spark):
     # ten shingles against nine of them and one other: 9 / 11 links at 80, 8 / 12 does not
     base = [f"a{i}" for i in range(14)]
