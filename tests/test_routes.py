@@ -20,7 +20,7 @@ def odd(spark, tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["draft_routing"])
+@pytest.mark.parametrize("name", ["draft_routing", "probe_detection"])
 def test_equals_sql_on_odd_texts(spark, odd, name):
     folder, con = odd
     df = registry.queries()[name](spark, folder)
